@@ -97,7 +97,7 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op8_host_quality_rules": r"""
         WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS txt, source AS host FROM documents),
-        w AS (SELECT rid, list_filter(string_split_regex(txt, '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM d),
+        w AS (SELECT rid, list_filter(string_split_regex(txt, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM d),
         g AS (
             SELECT rid, i, array_to_string(list_slice(words, i, i + 7), ' ') AS gram
             FROM (SELECT rid, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) >= 8)
