@@ -13,10 +13,10 @@ same doc_id and text count once and get the same result. Extra columns pass thro
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .work import cut
+from .work import cut, grown
 
 WINDOW, MIN_LINES, MIN_WORDS = 2, 2, 8
 
@@ -54,10 +54,10 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WO
     marks = fingerprints(lines, window)
     place = F.struct("doc_id", "text_hash", "pos")
     first = cut(marks.groupBy("fp").agg(F.min(place).alias("src"), F.count("*").alias("n")).where("n > 1").select("fp", "src"), "sources")
-    later = marks.join(first, "fp").where(place > F.col("src"))
+    later = marks.join(grown(first), "fp").where(place > F.col("src"))
     diagonals = later.select("doc_id", "text_hash", F.col("src.doc_id").alias("src_doc_id"), F.col("src.text_hash").alias("src_hash"), (F.col("pos") - F.col("src.pos")).alias("shift")).distinct()
     source = lines.select(F.col("doc_id").alias("src_doc_id"), F.col("text_hash").alias("src_hash"), F.col("hashes").alias("src_hashes"), F.col("at").alias("src_at"))
-    both = cut(diagonals, "diagonals").join(source, ["src_doc_id", "src_hash"]).join(lines, ["doc_id", "text_hash"])
+    both = cut(diagonals, "diagonals").join(grown(source), ["src_doc_id", "src_hash"]).join(grown(lines), ["doc_id", "text_hash"])
     equal = F.filter(
         F.transform("hashes", lambda h, i: F.struct(i.alias("pos"), F.get("src_hashes", i - F.col("shift")).eqNullSafe(h).alias("same"))),
         lambda x: x["same"] & (x["pos"] >= F.col("shift")),
@@ -75,7 +75,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORD
     runs = repeated_runs(docs, window, min_words)
     gone = runs.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("first_line", "last_line"))))).alias("__gone"))
     gone = cut(gone, "removed")
-    joined = docs.join(gone, (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left")
+    joined = docs.join(grown(gone), (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left")
     # blank lines between removed lines go with them
     kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("__gone"), i))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))

@@ -31,6 +31,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def grown(df: DataFrame) -> DataFrame:
+    """A join side that grows with the input: merged, never broadcast, so that plans are the same at every size."""
+    return df.hint("merge")
+
+
 def forget(df: DataFrame) -> None:
     """Delete what cut() wrote for df, once nothing reads it any more."""
     spark = df.sparkSession
