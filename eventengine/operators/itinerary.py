@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, text, timex
 from .profile import with_intent
 from .rank import components, penalised, tag_scores
+from .scratch import written
 
 # Fixed values.
 ANCHOR_HOURS = {"date_night": (17, 23), "bar_crawl": (17, 23), "general_night_out": (17, 23), "out_of_town_guests": (9, 23)}
@@ -122,7 +123,8 @@ def title(intent: Column, label: Column) -> Column:
 
 def plan(requests: DataFrame, events: DataFrame, profiles: DataFrame, preferred: DataFrame, counts: DataFrame, as_of: Column, limit: int = 25, tz: str = timex.TZ) -> DataFrame:
     """requests(request_id, user_id, prompt) -> stops."""
-    parsed = parse_intents(requests, as_of, tz)
+    # written, so that the windows are worked out once and not wherever they are compared
+    parsed = written(parse_intents(requests, as_of, tz), "intents")
     chosen = anchors(parsed, events, profiles, preferred, counts, as_of, limit, tz)
     return sequence(chosen, supports(chosen, events, limit))
 
