@@ -13,32 +13,47 @@ as one document with the least text of these; the others are left alone. Extra c
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .words import WordHashes, hash_words, ngrams, split_words
-from .work import cut, forget
+from .work import cut, forget, grown
 
 MIN_LINE_WORDS = 20
 MIN_WORDS = 50
 GRAM = 25
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SPANS = "array<struct<start:int,end:int,src_doc_id:bigint,src_start:int>>"
 
 
 def winnow(h: np.ndarray, window: int) -> np.ndarray:
-    """Places of the minima of all windows, the last of equal ones; with fewer hashes than a window, the least of all."""
+    """Places of the minima of all windows, the last of equal ones; with fewer hashes than a window, the least of all.
+
+    A hash is the minimum of some window if the greatest of the minima of its windows equals it.
+    """
     if not len(h):
         return np.empty(0, np.int64)
     window = min(window, len(h))
-    views = np.lib.stride_tricks.sliding_window_view(h[::-1], window)
-    at = np.unique(np.argmin(views, axis=1) + np.arange(len(views)))
-    return len(h) - 1 - at
+    low = np.uint64((1 << 20) - 1)
+    keys = (h & ~low) | (low - (np.arange(len(h), dtype=np.uint64) & low))
+    least = _sliding(keys, window, np.minimum, ~np.uint64(0))
+    edge = np.zeros(window - 1, np.uint64)
+    return np.nonzero(_sliding(np.concatenate([edge, least, edge]), window, np.maximum, np.uint64(0)) == keys)[0]
+
+
+def _sliding(x: np.ndarray, window: int, pick: np.ufunc, neutral: np.uint64) -> np.ndarray:
+    """pick over each window, from running picks forwards and backwards within blocks of its length."""
+    if window == 1:
+        return x
+    blocks = np.append(x, np.full(-len(x) % window, neutral)).reshape(-1, window)
+    ahead = pick.accumulate(blocks, axis=1).ravel()
+    back = pick.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    n = len(x) - window + 1
+    return pick(back[:n], ahead[window - 1 : window - 1 + n])
 
 
 def units(docs: DataFrame, gram: int = GRAM, min_words: int = MIN_WORDS, min_line: int = MIN_LINE_WORDS) -> DataFrame:
@@ -59,7 +74,7 @@ def units(docs: DataFrame, gram: int = GRAM, min_words: int = MIN_WORDS, min_lin
                     h = hash_words(words, cache)
                     ends = np.cumsum(counts)
                     long_lines = [(e - n, e) for e, n in zip(ends.tolist(), counts, strict=True) if n >= min_line]
-                    got = [ngrams(h[a:b], b - a)[0] ^ np.uint64(0x94D049BB133111EB) for a, b in long_lines]
+                    got = [xxhash.xxh3_64_intdigest(h[a:b].tobytes(), 1) for a, b in long_lines]
                     where = [a for a, _ in long_lines]
                     if len(h) >= min_words:
                         grams = ngrams(h, gram)
@@ -94,14 +109,14 @@ def _matches(rows: DataFrame, min_words: int, min_line: int) -> DataFrame:
 
     def words_of(text: str, cache: WordHashes):
         data = text.encode("utf-8", "surrogatepass")
-        spans = np.array([m.span() for m in WORD.finditer(data)], np.int64).reshape(-1, 2)
+        raw = np.frombuffer(data, np.uint8)
+        inside = np.concatenate([[False], ~((raw == 32) | ((raw >= 9) & (raw <= 13))), [False]])
+        edges = np.nonzero(inside[1:] != inside[:-1])[0]
+        spans = edges.reshape(-1, 2)
         # bytes to characters: continuation bytes do not count
-        chars = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
-        low = data.lower()
-        starts = {int(x) + 1 for x in np.nonzero(np.frombuffer(data, np.uint8) == 10)[0]}
-        first = spans[:, 0]
-        line = np.searchsorted(np.array(sorted(starts), np.int64), first, "right") if len(first) else first
-        return hash_words([low[a:b] for a, b in spans.tolist()], cache), chars[spans], line
+        chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+        line = np.searchsorted(np.nonzero(raw == 10)[0], spans[:, 0])
+        return hash_words(data.lower().split(), cache), chars[spans], line
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, of, src = WordHashes(), None, None
@@ -138,13 +153,14 @@ def repeated_spans(docs: DataFrame, gram: int = GRAM, min_words: int = MIN_WORDS
     found = cut(units(plain, gram, min_words, min_line), "units")
     first = found.groupBy("digest").agg(F.min(F.struct("doc_id", "pos")).alias("src"), F.count("*").alias("n")).where("n > 1").select("digest", "src")
     first = cut(first, "sources")
-    later = found.join(first, "digest").where(F.struct("doc_id", "pos") > F.col("src"))
+    later = found.join(grown(first), "digest").where(F.struct("doc_id", "pos") > F.col("src"))
     seeds = later.groupBy("doc_id", F.col("src.doc_id").alias("src_doc_id")).agg(F.collect_set(F.struct(F.col("pos"), (F.col("pos") - F.col("src.pos")).alias("shift"))).alias("seeds"))
     seeds = cut(seeds, "seeds")
     forget(found)
     wanted = seeds.select("doc_id").union(seeds.select("src_doc_id")).distinct()
-    texts = cut(plain.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
-    rows = seeds.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("src_doc_id"), F.col("text").alias("src_text")), "src_doc_id")
+    texts = cut(plain.join(grown(wanted), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+    sources = texts.select(F.col("doc_id").alias("src_doc_id"), F.col("text").alias("src_text"))
+    rows = seeds.join(grown(texts), "doc_id").join(grown(sources), "src_doc_id")
     return _matches(rows, min_words, min_line)
 
 
@@ -153,7 +169,7 @@ def dedup_substrings(docs: DataFrame, gram: int = GRAM, min_words: int = MIN_WOR
     spans = repeated_spans(docs, gram, min_words, min_line)
     by_doc = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "src_doc_id", "src_start"))).alias("__spans"))
     by_doc = cut(by_doc.withColumnRenamed("doc_id", "__id"), "spans")
-    joined = docs.join(by_doc, F.col("doc_id").cast("long") == F.col("__id"), "left")
+    joined = docs.join(grown(by_doc), F.col("doc_id").cast("long") == F.col("__id"), "left")
     # what stands between the spans, in order; spans may overlap
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("kept"))
 
