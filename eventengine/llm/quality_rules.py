@@ -5,7 +5,7 @@ corpus by an empirical beta prior, and the verdict on the host is joined back to
 
 Prior: with host rates of mean m and variance v (each host weighted by its documents), the beta prior has strength
 s = m(1 - m)/v - 1, held within 1 and ``MAX_STRENGTH``, and the shrunk rate of a host is (failures + s m)/(n + s). A host is
-rejected when that rate is above ``MAX_RATE`` and also above three times m.
+rejected when that rate is above ``MAX_RATE`` and its own rate is above the corpus's, so that it is judged by its own failures.
 
 Defined results: text null: no words, so the base rules fail. source null: a host of its own. doc_id null: a row as any.
 Repeated rows count each. Extra columns are ignored (or kept by :func:`keep_good`). No rows: no rows.
@@ -83,7 +83,7 @@ def host_verdicts(rows: DataFrame) -> DataFrame:
     prior = prior.select("m", F.least(F.greatest(F.col("m") * (1 - F.col("m")) / F.col("v") - 1, F.lit(1.0)), F.lit(MAX_STRENGTH)).alias("s"))
     rate = (F.col("f") + F.col("s") * F.col("m")) / (F.col("n") + F.col("s"))
     # the prior is one row
-    return hosts.crossJoin(F.broadcast(prior)).select("host", rate.alias("rate"), ((rate > MAX_RATE) & (rate > 3 * F.col("m"))).alias("rejected"))
+    return hosts.crossJoin(F.broadcast(prior)).select("host", rate.alias("rate"), ((rate > MAX_RATE) & (F.col("f") > F.col("m") * F.col("n"))).alias("rejected"))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:

@@ -117,9 +117,9 @@ ORACLE_SQL: dict[str, str] = {
         h AS (SELECT host, count(*) AS n, sum(CAST(base_failed AS INT)) AS f FROM f GROUP BY host),
         p0 AS (SELECT sum(f) / sum(n) AS m, sum(f * f / n) / sum(n) AS m2 FROM h),
         p AS (SELECT m, least(greatest(m * (1 - m) / greatest(m2 - m * m, 1e-12) - 1, 1.0), 1000.0) AS s FROM p0),
-        v AS (SELECT host, (f + s * m) / (n + s) AS rate, m FROM h, p)
+        v AS (SELECT host, (f + s * m) / (n + s) AS rate, f > m * n AS worse FROM h, p)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-               NOT base_failed AND NOT (rate > 0.5 AND rate > 3 * m) AS kept, f.host AS host, round(rate, 9) AS host_rate
+               NOT base_failed AND NOT (rate > 0.5 AND worse) AS kept, f.host AS host, round(rate, 9) AS host_rate
         FROM f JOIN v ON f.host IS NOT DISTINCT FROM v.host
     """,
 }

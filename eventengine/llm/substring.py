@@ -5,7 +5,7 @@ occurrence by (doc_id, place) is kept, and the rest is removed; spans name the o
 unit. Lines of at least ``MIN_LINE_WORDS`` words are the plain form of the method. Repeated passages mostly begin and end
 inside longer lines, where hashes of whole lines cannot meet, so that windows of ``GRAM`` words, chosen by winnowing, are
 units too: any repeated passage of ``MIN_WORDS`` words holds one. What the digests propose is compared word by word with
-the earliest occurrence and extended both ways; lines count when equal as a whole, passages from ``MIN_WORDS`` words up.
+the earliest occurrence and extended both ways; runs of whole lines count from ``MIN_LINE_WORDS`` words, passages from ``MIN_WORDS`` words up.
 
 Defined results: text null: stays null, no spans. doc_id null: left alone, and no source. Rows that share a doc_id count
 as one document with the least text of these; the others are left alone. Extra columns pass through. No rows: no rows.
@@ -167,7 +167,9 @@ def repeated_spans(docs: DataFrame, gram: int = GRAM, min_words: int = MIN_WORDS
 def dedup_substrings(docs: DataFrame, gram: int = GRAM, min_words: int = MIN_WORDS, min_line: int = MIN_LINE_WORDS) -> DataFrame:
     """documents -> the same rows and columns, text without the repeated spans, and spans (original offsets, sorted)."""
     spans = repeated_spans(docs, gram, min_words, min_line)
-    by_doc = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "src_doc_id", "src_start"))).alias("__spans"))
+    # a span that several sources have is the earliest one's
+    spans = spans.groupBy("doc_id", "start", "end").agg(F.min(F.struct("src_doc_id", "src_start")).alias("src"))
+    by_doc = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "src.src_doc_id", "src.src_start"))).alias("__spans"))
     by_doc = cut(by_doc.withColumnRenamed("doc_id", "__id"), "spans")
     joined = docs.join(grown(by_doc), F.col("doc_id").cast("long") == F.col("__id"), "left")
     # what stands between the spans, in order; spans may overlap

@@ -1,0 +1,40 @@
+import corpus_pipeline
+from eventengine.llm import linededup, minhash, quality_rules, substring
+from eventengine.llm.work import cut
+from test_tokens import check_pieces
+
+
+def test_stages_act_and_keep_columns(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns, counts = docs.columns, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = cut(stage(spark, docs, sf_dir), "test")
+        assert out.columns == columns and out.dtypes == docs.dtypes, name
+        before, after = ({r["doc_id"]: r["text"] for r in d.collect()} for d in (docs, out))
+        assert set(after) <= set(before)
+        if name == "quality rules":
+            kept = {r["doc_id"] for r in quality_rules.quality_rules(docs).collect() if r["kept"]}
+            assert set(after) == kept and {i: before[i] for i in kept} == after
+        elif name == "line dedup":
+            assert after == {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs).collect()} and after != before
+        elif name == "near dedup":
+            assert set(after) == {r["doc_id"] for r in minhash.near_duplicates(docs).collect() if r["kept"]}
+        else:
+            assert after == {r["doc_id"]: r["text"] for r in substring.dedup_substrings(docs).collect()} and after != before
+        assert all(r["n_chars"] == len(r["text"]) for r in out.collect())
+        counts.append(len(after))
+        docs = out
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
+    check_pieces(pieces, {r["doc_id"]: r["text"] for r in docs.collect()}, "ids")
+    assert counts[0] > counts[2]
+
+
+def test_names_and_order():
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "near dedup", "substring dedup", "packing"]
+
+
+def test_documents_with_nulls_pass(docs_of, spark):
+    df = docs_of([(1, None), (2, ""), (None, "a b"), (4, " ".join(f"w{i}" for i in range(80)), None)])
+    for _, stage in corpus_pipeline.STAGES:
+        df = cut(stage(spark, df, ""), "test")
+    assert {r["doc_id"] for r in df.collect()} == {4}

@@ -1,0 +1,224 @@
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from eventengine.llm import chat, classifier, hnsw, quality_rules, sharding
+from eventengine.llm.queries import ORACLE_SQL, QUERIES, op2_virtual_slot_sharding, op3_quality_classifier, op7_sharded_hnsw
+from helpers import duck, rows
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_equals_its_sql(spark, sf_dir, name):
+    got, want = QUERIES[name](spark, sf_dir).toPandas(), duck(sf_dir).execute(ORACLE_SQL[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    assert rows(got) == rows(want)
+
+
+# quality rules
+
+
+def brute_counts(text):
+    import re
+
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    grams = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+    c = Counter(grams)
+    covered = {p for i, g in enumerate(grams) if c[g] > 1 for p in range(i, i + 8)}
+    full = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return (len(w), sum(map(len, w)), sum(ch in "#*$%&|<>" for ch in text or ""), len(full) - len(set(full)), len(covered))
+
+
+def test_counts(docs_of):
+    texts = {1: None, 2: "", 3: "a\x0bb\x0cc d é", 4: "x y\nx y\n \nx  y", 5: "a b c d e f g h " * 3, 6: "q " * 5_000, 7: " ".join(f"w{i % 700}" for i in range(20_000)), 8: "#*$%&|<>\r\n"}
+    got = {r["doc_id"]: tuple(r[c] for c in quality_rules.COUNTS) for r in quality_rules.quality_rules(docs_of(texts.items())).collect()}
+    assert got == {i: brute_counts(t) for i, t in texts.items()}
+
+
+def test_hosts(docs_of):
+    good = " ".join(f"w{i}" for i in range(40))
+    docs = [(i, good if i % 10 else "short", "fine") for i in range(300)] + [(1_000 + i, "short" if i % 5 else good, "bad") for i in range(100)] + [(2_000, good, None), (2_001, "short", "rare")]
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(docs_of(docs)).collect()}
+    assert got[1]["kept"] and not got[0]["kept"]
+    assert not got[1_000]["base_failed"] and not got[1_000]["kept"], "the host is rejected"
+    assert got[2_000]["kept"] and got[2_001]["host_rate"] < 1
+    kept = quality_rules.keep_good(docs_of(docs))
+    assert kept.columns == docs_of(docs).columns
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["kept"]}
+
+
+def test_rules_on_an_empty_table(docs_of):
+    assert quality_rules.quality_rules(docs_of([])).count() == 0
+    assert quality_rules.keep_good(docs_of([])).count() == 0
+
+
+def test_rules_are_native(docs_of):
+    plan = quality_rules.measured(docs_of([(1, "a")]))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+# sharding
+
+
+def test_op2(spark, sf_dir, corpus):
+    got = op2_virtual_slot_sharding(spark, sf_dir).collect()
+    assert len(got) == len(corpus)
+    slots, sizes = defaultdict(list), Counter()
+    for r in got:
+        data = (corpus[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(data) + 16, zlib.crc32(data), "bytes", None)
+        slots[r["shard"]].append(r["slot"])
+        sizes[r["shard"]] += r["size"]
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(40))
+
+
+def test_shards_are_near_equal(docs_of):
+    rng = np.random.default_rng(2)
+    df = docs_of([(i, "x" * int(rng.integers(0, 3_000))) for i in range(4_000)])
+    out, maps = sharding.shard(df)
+    sizes = Counter()
+    for r in out.collect():
+        sizes[r["shard"]] += r["size"]
+    assert max(sizes.values()) - min(sizes.values()) < 0.01 * max(sizes.values())
+    assert maps.groupBy("version").count().collect() == [(0, sharding.SLOTS), (1, sharding.SLOTS)] or maps.count() == 2 * sharding.SLOTS
+
+
+def test_a_new_shard_only_receives():
+    sizes = {s: 100 + s % 7 for s in range(2_000)}
+    one = sharding.rebalance(sharding.first_map(8, 2_000), sizes, 8)
+    two = sharding.rebalance(one, sizes, 9)
+    filled = Counter()
+    for s, b in sizes.items():
+        filled[two[s]] += b
+    assert max(filled.values()) - min(filled.values()) < 200
+
+
+def test_sharding_edge_cases(docs_of):
+    out = sharding.shard(docs_of([(1, None), (1, None), (None, "é")]))[0].collect()
+    assert sorted((r["doc_id"] or -1, r["size"], r["text_crc32"]) for r in out) == [(-1, 18, zlib.crc32("é".encode())), (1, 16, 0), (1, 16, 0)]
+    assert sharding.shard(docs_of([]))[0].count() == 0
+
+
+# classifier
+
+
+def test_op3_on_held_out_labels(spark, sf_dir):
+    label = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    got = op3_quality_classifier(spark, sf_dir).collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and r["predicted"] == int(r["score"] >= 0.5) for r in got)
+    held = [(r["predicted"], label[r["doc_id"]]) for r in got if r["held_out"] and r["doc_id"] in label]
+    assert np.mean([p == y for p, y in held]) >= 0.9
+
+
+def test_classifier_edge_cases(docs_of, spark):
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    got = classifier.classify(docs_of([(1, None), (2, ""), (None, "a b"), (4, "z" * 200_000)]), labels).collect()
+    assert {r["score"] for r in got} == {0.5} and len(got) == 4
+    assert classifier.classify(docs_of([]), labels).count() == 0
+
+
+def test_labels_of_the_held_out_third_do_not_matter(docs_of, spark):
+    texts = [(i, "good fine words" if i % 2 else "bad *** ###") for i in range(60)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    label = lambda flip: spark.createDataFrame([(i, (i % 2) ^ int(flip and held(i))) for i in range(60)], "doc_id long, quality int")
+    a, b = (classifier.train(docs_of(texts), label(f)) for f in (False, True))
+    assert np.array_equal(a, b) and np.abs(a).sum() > 0
+
+
+# nearest neighbours
+
+
+def exact(ids, vectors, q, k):
+    s = vectors @ vectors[q]
+    order = [i for i in np.lexsort((ids, -s)) if i != q][:k]
+    return [int(ids[i]) for i in order]
+
+
+def test_op7_recall(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
+    ids, vectors = np.array([r["vec_id"] for r in table]), np.array([r["embedding"] for r in table], np.float64)
+    got = defaultdict(list)
+    for r in op7_sharded_hnsw(spark, sf_dir).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    hits = total = 0
+    for q in np.nonzero(ids % 20 == 0)[0]:
+        mine = sorted(got[ids[q]])
+        assert [m[0] for m in mine] == list(range(1, 21)) and ids[q] not in [m[1] for m in mine]
+        for _, v, s in mine:
+            assert s == pytest.approx(float(vectors[q] @ vectors[ids == v][0]), abs=1e-12)
+        hits += len(set(exact(ids, vectors, q, 20)) & {m[1] for m in mine})
+        total += 20
+    assert hits / total >= 0.95
+
+
+def test_shards_copies_and_lengths(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(900, 8)) * rng.uniform(0.2, 3, size=(900, 1))
+    v[300:600] = v[0]
+    df = spark.createDataFrame([(i, x.tolist(), "clash") for i, x in enumerate(v)], "vec_id long, embedding array<double>, vkey string")
+    got = defaultdict(list)
+    for r in hnsw.nearest(df, shard_rows=200).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    hits = 0
+    for q in range(0, 900, 20):
+        hits += len({m[1] for m in got[q]} & set(exact(np.arange(900), v, q, 20)))
+        assert len(got[q]) == 20
+    assert hits >= 0.95 * 45 * 20
+    assert [m[1] for m in sorted(got[0])] == exact(np.arange(900), v, 0, 20), "of equal vectors, the smallest ids"
+
+
+def test_vectors_that_take_no_part(spark):
+    rows = [(0, [1.0, 0.0]), (20, [0.5, 0.5]), (1, None), (2, [0.0, 0.0]), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (None, [1.0, 1.0]), (6, [2.0, 0.0]), (40, [0.0, 0.0]), (60, [1.0, 2.0, 3.0]), (6, [2.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in hnsw.nearest(df).collect())
+    assert got == [(0, 1, 6, 2.0), (0, 2, 20, 0.5), (20, 1, 6, 1.0), (20, 2, 0, 0.5)]
+    assert hnsw.nearest(df.where("false")).count() == 0
+
+
+def test_flat_arrays_hold_the_graph():
+    v = np.random.default_rng(5).normal(size=(300, 6))
+    g = hnsw.Graph(v).build()
+    h = hnsw.Graph.of_flat(v, *g.flat())
+    for q in v[:20]:
+        assert g.nearest(q, 10) == h.nearest(q, 10)
+
+
+# chat
+
+
+def test_trees_write_shared_turns_once(spark):
+    said = [("user", "hi"), ("assistant", "hello")]
+    convs = {1: said + [("user", "a"), ("assistant", "x")], 2: said + [("user", "b"), ("assistant", "y")], 3: said, 4: said + [("user", "a"), ("assistant", "x")], 5: [("user", "other")]}
+    df = spark.createDataFrame([(c, t, r, x) for c, turns in convs.items() for t, (r, x) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    trees, leaf = chat.format_chats(df.repartition(3))
+    got = trees.collect()
+    stream = "".join(t["stream"] for t in got)
+    if len(got) == 1:
+        assert stream.count("hello") == 1 and stream.count("<|user|>\nhi") == 1
+    for t in got:
+        for n in t["nodes"]:
+            above = sum(a["end"] - a["start"] for a in n["attends"])
+            assert n["position"] == above, "position ids continue the ancestors'"
+            assert n["start"] == 0 or all(a["end"] <= n["start"] for a in n["attends"])
+    back = {r["leaf"]: r["n_turns"] for r in chat.read_back(trees).collect()}
+    assert {r["conv_id"]: back[r["leaf"]] for r in leaf.collect()} == {c: len(t) for c, t in convs.items()}
+
+
+@pytest.mark.parametrize("text", ["", "%", "<|end|>\n", "%3C|x", "<|user|>\nhi<|end|>", "a<", "<|", "é%25", "[INST] </s>", "\n\n"])
+def test_escapes_are_reversible(text):
+    assert chat.unescape(chat.escape(text)) == text
+    formatted = f"<|{chat.escape_role('us|er<\n%')}|>\n{chat.escape(text)}{chat.END}"
+    assert chat.read_turns(formatted * 2) == [("us|er<\n%", text)] * 2
+
+
+def test_chat_edge_cases(spark):
+    rows = [(1, 0, None, None), (1, 0, "user", "b"), (1, None, "user", "first"), (None, 1, "assistant", "x"), (3, 0, "assistant", "z" * 300_000), (1, 0, "user", "b")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("leaf", F.lit("clash"))
+    trees, leaf = chat.format_chats(df)
+    back = {r["leaf"]: r for r in chat.read_back(trees).collect()}
+    got = {r["conv_id"]: back[r["leaf"]] for r in leaf.collect()}
+    assert {c: (r["n_turns"], r["loss_chars"]) for c, r in got.items()} == {1: (4, 0), None: (1, 1), 3: (1, 300_000)}
+    empty = chat.format_chats(df.where("false"))
+    assert empty[0].count() == 0 and empty[1].count() == 0
