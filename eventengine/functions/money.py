@@ -54,3 +54,18 @@ def freshness(created_at: Column, as_of: Column) -> Column:
     age = F.unix_micros(as_of) - F.unix_micros(created_at)
     hour = 3_600_000_000
     return F.when(age <= 24 * hour, 100.0).when(age <= 48 * hour, 75.0).when(age <= 168 * hour, 50.0).otherwise(25.0)
+
+
+def cost_fields(*texts: Column) -> Column:
+    """Struct of price, currency, is_free from the first text that says something; 'Cost:' narrows a text to its label."""
+
+    def one(t: Column) -> Column:
+        label = F.regexp_extract(t, r"(?i)cost:\s*([^|\n]*)", 1)
+        scope = F.when(t.rlike(r"(?i)cost:"), label).otherwise(t)
+        free = scope.rlike(r"(?i)\bfree\b") & ~scope.contains("$")
+        amount = F.nullif(F.regexp_extract(scope, r"\$\s*(\d+(?:\.\d{2})?)", 1), F.lit("")).try_cast("double")
+        price = F.when(free, F.lit(0.0)).otherwise(amount)
+        return F.when(price.isNotNull(), F.struct(price.alias("price"), F.lit("USD").alias("currency"), (price == 0).alias("is_free")))
+
+    none = F.struct(F.lit(None).cast("double").alias("price"), F.lit(None).cast("string").alias("currency"), F.lit(False).alias("is_free"))
+    return F.coalesce(*map(one, texts), none)

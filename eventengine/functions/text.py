@@ -180,3 +180,19 @@ def stems(text: Column) -> Column:
 
 # The commonest English function words.
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with"]
+
+
+def street_address(detail: Column) -> Column:
+    """'12 Main Street, Town, CA 94100' out of a block of parts between bars; null without one."""
+    return blank_to_null(F.regexp_extract(F.coalesce(detail, F.lit("")), r"(\d{1,6}\s+[^|]*?,\s*[A-Za-z .]+,\s*[A-Z]{2}(?:\s+\d{5})?)", 1))
+
+
+def venue_after_dash(blurb: Column) -> tuple[Column, Column]:
+    """Venue and address of '… — The Room, 12 Main St'."""
+    tail = F.regexp_extract(F.coalesce(blurb, F.lit("")), r"\s[–—-]\s+([A-Z][^.\n]{2,120})", 1)
+    return blank_to_null(F.substring_index(tail, ",", 1)), blank_to_null(F.when(tail.contains(","), F.regexp_replace(tail, "^[^,]*,", "")))
+
+
+def snippet(c: Column, limit: int = 280) -> Column:
+    """What a source's retention policy lets one keep of a text."""
+    return F.substring(F.trim(c), 1, limit)

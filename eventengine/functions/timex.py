@@ -153,3 +153,61 @@ def local_label(instant: Column, pattern: str = "EEE MMM d h:mma", tz: str = TZ)
 def expires_at(created_at: Column, ttl_days: Column) -> Column:
     """Null or zero days: never."""
     return F.when(ttl_days > 0, F.timestamp_add("DAY", ttl_days.cast("int"), created_at))
+
+
+def listing_range(text: Column, as_of: Column, tz: str = TZ) -> tuple[Column, Column]:
+    """Start and end of a listing such as 'Sat Mar 7 10pm-4am', in UTC; 20:00 to 23:59 without a range, nulls without a day.
+
+    The year is that of now, but for a January listed in December and a December listed in January.
+    """
+    day_p = r"\b([A-Za-z]{3})\s+(\d{1,2})\b"
+    range_p = r"(?i)(\d{1,2})(?::(\d{2}))?\s*(am|pm)\s*-\s*(\d{1,2})(?::(\d{2}))?\s*(am|pm)"
+    today = F.from_utc_timestamp(as_of, tz)
+    month = month_number(F.regexp_extract(text, day_p, 1))
+    year = F.year(today) + F.when((F.month(today) == 12) & (month == 1), 1).when((F.month(today) == 1) & (month == 12), -1).otherwise(0)
+    ranged = text.rlike(range_p)
+
+    def at(hour_group: int, hour: int, minute: int) -> Column:
+        h = F.when(ranged, hour24(_int(text, range_p, hour_group), F.regexp_extract(text, range_p, hour_group + 2))).otherwise(hour)
+        m = F.when(ranged, F.coalesce(_int(text, range_p, hour_group + 1), F.lit(0))).otherwise(minute)
+        return F.try_make_timestamp_ntz(year, month, _int(text, day_p, 2), h, m, F.lit(0)).cast("timestamp")
+
+    start = at(1, 20, 0)
+    return F.to_utc_timestamp(start, tz), F.to_utc_timestamp(roll_end(start, at(4, 23, 59)), tz)
+
+
+def end_of_range(text: Column, start: Column, tz: str = TZ) -> Column:
+    """The end of a time range on the start's local day, or the next if it is not later; null without a second time."""
+    p = r"(?i)(\d{1,2}(?::\d{2})?\s*(?:am|pm))"
+    second = F.get(F.regexp_extract_all(text, F.lit(p), 1), F.lit(1))
+    local = F.from_utc_timestamp(start, tz)
+    clock = r"(?i)(\d{1,2})(?::(\d{2}))?\s*(am|pm)"
+    end = F.try_make_timestamp_ntz(F.year(local), F.month(local), F.dayofmonth(local), hour24(_int(second, clock, 1), F.regexp_extract(second, clock, 3)), F.coalesce(_int(second, clock, 2), F.lit(0)), F.lit(0)).cast("timestamp")
+    return F.to_utc_timestamp(roll_end(local, end), tz)
+
+
+def absolute_date(text: Column) -> Column:
+    """'Sunday, March 1, 2026', 'March 1, 2026' or an ISO date; null for anything else."""
+    named, iso = r"(?i)([a-z]{3,9})\s+(\d{1,2}),\s+(\d{4})", r"(\d{4})-(\d{2})-(\d{2})"
+    zero = F.lit(0)
+    by_name = F.try_make_timestamp_ntz(_int(text, named, 3), month_number(F.regexp_extract(text, named, 1)), _int(text, named, 2), zero, zero, zero)
+    return F.coalesce(by_name, F.try_make_timestamp_ntz(_int(text, iso, 1), _int(text, iso, 2), _int(text, iso, 3), zero, zero, zero)).cast("date")
+
+
+def page_times(full_text: Column, date_text: Column, as_of: Column, tz: str = TZ) -> tuple[Column, Column]:
+    """Start and end of a detail page in UTC: a relative day or a full date (else nulls), the first time of the text (else
+    midnight), and an end behind 'to', 'until' or a dash."""
+    today = F.from_utc_timestamp(as_of, tz).cast("date")
+    low = F.lower(date_text)
+    day = F.when(low.rlike("today|tonight"), today).when(low.contains("tomorrow"), F.date_add(today, 1)).when(low.contains("yesterday"), F.date_sub(today, 1)).otherwise(absolute_date(date_text))
+    time_p = r"(?i)(?:(\d{1,2}):(\d{2})\s*(am|pm)?|(\d{1,2})\s*(am|pm))"
+    end_p = time_p + r"(?:(?!\d).)*?(?:to|until|[-–])\s*" + r"(?:(\d{1,2}):(\d{2})\s*(am|pm)?|(\d{1,2})\s*(am|pm))"
+
+    def at(pattern: str, g: int, default: int | None) -> Column:
+        hour, half = F.coalesce(_int(full_text, pattern, g), _int(full_text, pattern, g + 3)), F.lower(F.concat(F.regexp_extract(full_text, pattern, g + 2), F.regexp_extract(full_text, pattern, g + 4)))
+        hour = F.when((half == "pm") & (hour < 12), hour + 12).when((half == "am") & (hour == 12), 0).otherwise(hour)
+        hour = hour if default is None else F.coalesce(hour, F.lit(default))
+        return F.try_make_timestamp_ntz(F.year(day), F.month(day), F.dayofmonth(day), hour, F.coalesce(_int(full_text, pattern, g + 1), F.lit(0)), F.lit(0)).cast("timestamp")
+
+    start = at(time_p, 1, 0)
+    return F.to_utc_timestamp(start, tz), F.to_utc_timestamp(roll_end(start, at(end_p, 6, None)), tz)

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, money, similarity, text, timex
-from ..operators import digest, health, itinerary, profile, quality, rank, resolve, search, social
+from ..operators import digest, health, itinerary, profile, quality, rank, resolve, scratch, search, social
 from ..schema import CANON
 from ..sources import markup, payloads
+from ..streaming import jobs
 from .bindings import AS_OF, CANON_SQL, INTEREST_SQL, RUNS_SQL, SIGNALS_SQL, VIBES, as_of, canon_events, source_runs, table, user_signals, users
 
 NOW = datetime.fromisoformat(AS_OF)
@@ -425,3 +426,74 @@ def unseen_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events that a keyed table lacks: the idempotent load."""
     known = table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 3 == 0).select(F.col("o_orderkey").alias("id"))
     return resolve.unseen(canon_events(spark, sf_dir).select("id"), known, ("id",))
+
+
+def _streamed(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """What a stream has written when all that has landed is through; updates replace what they update in the last batch."""
+    out, schema = scratch.folder(spark, name), stream.schema
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", scratch.folder(spark, f"{name}-state")).trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", out).start().awaitTermination()
+    else:
+        writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start().awaitTermination()
+    return spark.read.schema(schema).parquet(out)
+
+
+@query(SQL["source_run_health"])
+def streamed_source_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stateful stream over landed runs, equal to its batch form."""
+    path = scratch.folder(spark, "runs")
+    runs = source_runs(spark, sf_dir).withColumn("run_at", F.col("run_at").cast("timestamp"))
+    runs.repartition("source_name").write.parquet(path)
+    return _streamed(spark, jobs.source_health(jobs.landed(spark, path, runs.schema)), "health")
+
+
+@query(SQL["people_interested"])
+def streamed_popularity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct users of each event from the signal stream; the watermark covers the log."""
+    path = scratch.folder(spark, "signals")
+    signals = user_signals(spark, sf_dir)
+    signals.write.parquet(path)
+    stream = jobs.live_popularity(jobs.landed(spark, path, signals.schema), "60 days")
+    return _streamed(spark, stream, "popularity", "complete")
+
+
+@query(f"WITH {CANON_SQL} SELECT id, least(cast(id % 50 AS INT) * 1.0 / 100.0, 1.0) AS votes_share, (id % 12) % 12 + CASE WHEN id % 2 = 0 THEN 12 ELSE 0 END AS hour24, CASE WHEN id % 3 >= 1 THEN 1 ELSE -1 END AS vote FROM canon")
+def number_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = canon_events(spark, sf_dir)
+    k = F.col("id")
+    half = F.when(k % 2 == 0, "pm").otherwise("am")
+    return ev.select("id", money.popularity_share(F.col("attendee_count"), 100.0).alias("votes_share"), timex.hour24(k % 12, half).alias("hour24"), money.vote_sign(k % 3).alias("vote"))
+
+
+@query("""
+    SELECT l_shipmode AS source_name, count(*) AS ingested, count(*) FILTER (l_quantity > 1) AS published, count(*) FILTER (l_quantity <= 1) AS rejected FROM (SELECT 'lines' || (l_linenumber % 5) AS l_shipmode, l_quantity FROM lineitem) GROUP BY l_shipmode
+""")
+def published_and_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("lines"), (F.col("l_linenumber") % 5).cast("string")).alias("source_name"), "l_quantity")
+    return quality.source_counts(rows.where("l_quantity > 1"), rows.where("l_quantity <= 1"))
+
+
+@query("""
+    WITH s AS (SELECT o_custkey % 7 AS src, o_orderkey % 40 AS key_id, arg_max(CASE WHEN o_orderstatus = 'O' THEN 'active' ELSE 'spent' END, o_orderkey) AS status FROM orders GROUP BY ALL)
+    SELECT src AS source_name, count(*) FILTER (status = 'active') AS active, count(*) FILTER (status <> 'active') AS inactive, count(*) FILTER (status = 'active') <= 1 AS alert FROM s GROUP BY src
+""")
+def key_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as snapshots of keys: the last status of each, by source."""
+    snaps = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 7).alias("source_name"), (F.col("o_orderkey") % 40).alias("key_id"), F.when(F.col("o_orderstatus") == "O", "active").otherwise("spent").alias("status"), F.col("o_orderkey").alias("at"))
+    return health.quota(snaps)
+
+
+@query(f"""
+    WITH {CANON_SQL}
+    SELECT id, lat, lon, CASE WHEN v.g IS NOT NULL THEN 0.9 ELSE 0.5 END AS location_confidence FROM (SELECT id, venue_name FROM canon) LEFT JOIN (SELECT s_name AS g, s_suppkey / 100.0 AS lat, -s_suppkey / 100.0 AS lon FROM supplier WHERE s_suppkey < 50) v ON venue_name = g
+""")
+def geocoded_venues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Venues found in a gazetteer of fifty entries; a null centroid for the rest."""
+    from ..operators import geocode
+
+    known = table(spark, sf_dir, "supplier").where("s_suppkey < 50").select(F.col("s_name").alias("name"), (F.col("s_suppkey") / 100.0).alias("lat"), (-F.col("s_suppkey") / 100.0).alias("lon"), F.col("s_suppkey").alias("ordinal"))
+    cities = spark.createDataFrame([], "name string, lat double, lon double")
+    rows = canon_events(spark, sf_dir).select("id", "venue_name", F.lit(None).cast("string").alias("city"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"))
+    out = geocode.geocode(rows, known, cities, default=(float("nan"), float("nan")))
+    return out.select("id", F.nanvl("lat", F.lit(None).cast("double")).alias("lat"), F.nanvl("lon", F.lit(None).cast("double")).alias("lon"), "location_confidence")
