@@ -41,9 +41,8 @@ def features(text: str | None, cache: TokenHashes) -> tuple[np.ndarray, np.ndarr
     tokens = _TOKEN.findall(text.lower()) if text else []
     h = np.fromiter(map(cache.__getitem__, tokens), np.uint64, len(tokens))
     grams = np.concatenate([h, (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ h[1:]]) if len(h) else h
-    counts = np.bincount((grams >> np.uint64(64 - BITS)).astype(np.int64)) if len(grams) else np.zeros(0, np.int64)
-    at = np.nonzero(counts)[0]
-    values = counts[at].astype(np.float64)
+    at, counts = np.unique((grams >> np.uint64(64 - BITS)).astype(np.int64), return_counts=True)
+    values = counts.astype(np.float64)
     if len(values):
         values /= np.sqrt(values @ values)
     return np.append(at, 1 << BITS), np.append(values, 1.0)

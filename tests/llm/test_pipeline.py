@@ -26,7 +26,7 @@ def test_stages_act_and_keep_columns(spark, sf_dir):
         docs = out
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
     check_pieces(pieces, {r["doc_id"]: r["text"] for r in docs.collect()}, "ids")
-    assert counts[0] > counts[2]
+    assert counts[0] >= counts[2] > 0
 
 
 def test_names_and_order():
