@@ -1,7 +1,7 @@
 """Quality classifier: logistic regression over hashed word n-grams, trained with follow-the-regularised-leader updates.
 
-Tokens are runs of letters, runs of digits and runs of marks, in lower case; unigrams and bigrams hash into 2**BITS
-weights, and a text is the vector of their counts at length one. Training takes labelled rows, about ``SAMPLE`` of them at
+Tokens are runs of letters (of any script, as bytes above 127), runs of digits and runs of marks, with A-Z in lower case;
+they are found and hashed in numpy, over the bytes of a text. Unigrams and bigrams hash into 2**BITS weights, and a text is the vector of their counts at length one. Training takes labelled rows, about ``SAMPLE`` of them at
 most (those with the least hash of doc_id, whole texts), through one task; the weights have a fixed size. Scoring is a
 sparse dot product in tasks, over whole texts.
 
@@ -11,40 +11,47 @@ Several labels of one document: the highest. No labels: weights of zero, score 0
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .words import mix
+
 BITS = 18
 SAMPLE = 8_000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-5
-CACHE = 300_000
-_TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
-
-
-class TokenHashes(dict):
-    def __missing__(self, token: str) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        self[token] = h = xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass"))
-        return h
-
-
-def features(text: str | None, cache: TokenHashes) -> tuple[np.ndarray, np.ndarray]:
+#: Of each byte: 0 white space, 1 letter, 2 digit, 3 mark.
+_KIND = np.array([0 if b <= 32 or b == 127 else 1 if chr(b).isalpha() or b > 127 else 2 if chr(b).isdigit() else 3 for b in range(256)], np.uint8)
+#: Random factors of bytes, and odd ones of places in a token; the places repeat after 256.
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
+_PLACE = mix(np.arange(1001, 1257, dtype=np.uint64)) | np.uint64(1)
+
+
+def token_hashes(text: str | None) -> np.ndarray:
+    """A hash for each token, in order."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8) if text else np.zeros(0, np.uint8)
+    if not len(raw):
+        return np.zeros(0, np.uint64)
+    kind = _KIND[raw]
+    starts = np.concatenate([[0], np.nonzero(kind[1:] != kind[:-1])[0] + 1])
+    place = np.arange(len(raw)) - np.repeat(starts, np.diff(starts, append=len(raw)))
+    sums = np.add.reduceat(_BYTE[raw] * _PLACE[place & 255], starts)
+    return mix(sums[kind[starts] != 0])
+
+
+def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Indices (the last one is the bias) and values of a text."""
-    tokens = _TOKEN.findall(text.lower()) if text else []
-    h = np.fromiter(map(cache.__getitem__, tokens), np.uint64, len(tokens))
+    h = token_hashes(text)
     grams = np.concatenate([h, (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ h[1:]]) if len(h) else h
-    at, counts = np.unique((grams >> np.uint64(64 - BITS)).astype(np.int64), return_counts=True)
-    values = counts.astype(np.float64)
+    placed = np.sort((grams >> np.uint64(64 - BITS)).astype(np.uint32))
+    first = np.nonzero(np.diff(placed, prepend=np.uint32(0xFFFFFFFF)))[0]
+    at, values = placed[first].astype(np.int64), np.diff(first, append=len(placed)).astype(np.float64)
     if len(values):
-        values /= np.sqrt(values @ values)
+        values /= np.sqrt((values * values).sum())
     return np.append(at, 1 << BITS), np.append(values, 1.0)
 
 
@@ -63,7 +70,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS) -
     for _ in range(epochs):
         for at, x, y in rows:
             w = weights(at)
-            g = (sigmoid(w @ x) - y) * x
+            g = (sigmoid((w * x).sum()) - y) * x
             sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
             z[at] += g - sigma * w
             n[at] += g * g
@@ -86,8 +93,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     rows = rows.select("__y", "text", order.alias("__o")).repartition(1).sortWithinPartitions("__o", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = TokenHashes()
-        seen = [(*features(t, cache), y) for b in batches for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        seen = [(*features(t), y) for b in batches for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array([ftrl(seen).tobytes()], pa.binary())], ["weights"])
 
     found = rows.mapInArrow(run, "weights binary").collect()  # one row of a fixed size
@@ -99,14 +105,14 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(np.asarray(weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, w = TokenHashes(), shared.value
+        w = shared.value
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
                 scores = []
                 for text in part.column(1).to_pylist():
-                    at, x = features(text, cache)
-                    scores.append(sigmoid(w[at] @ x))
+                    at, x = features(text)
+                    scores.append(sigmoid((w[at] * x).sum()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")

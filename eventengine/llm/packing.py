@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import count
 
 import numpy as np
@@ -31,30 +32,70 @@ from .work import cut
 CAPACITY = 4096
 END_ID = 2
 #: Ids in a block, beyond those of its last document.
-BLOCK_IDS = 512 * CAPACITY
-CACHE = 300_000
+BLOCK_IDS = 256 * CAPACITY
+CACHE = 400_000
+_CONTROLS = "\x1c\x1d\x1e\x1f\x85"
 _SPACE = re.compile(r"[ \t\n\r]+")
+#: A word of Latin letters (each one character, whatever the case and normal form) with marks behind it.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,!?;:]*)")
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, block long, window long, offset long"
 
 
+def _byte_letters() -> dict[int, int]:
+    """How byte-level BPE writes each byte as a letter: printable ones as themselves, the others from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: b for b in own} | {b: 256 + i for i, b in enumerate(rest)}
+
+
 class WordIds(dict):
-    """A run between white space -> its ids, as little-endian unsigned 32-bit numbers."""
+    """A run between white space -> its ids, as little-endian unsigned 32-bit numbers.
+
+    The pre-tokeniser parts plain words from the marks behind them; each part then goes to the BPE model as it is. All else
+    takes the whole way through the tokenizer.
+    """
 
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.parts: dict[str, bytes] = {}
+
+    def part(self, text: str) -> bytes:
+        ids = self.parts.get(text)
+        if ids is None:
+            if len(self.parts) >= CACHE:
+                self.parts.clear()
+            written = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+            self.parts[text] = ids = b"".join(x.id.to_bytes(4, "little") for x in self.model.tokenize(written))
+        return ids
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if word.isascii() and word.isalpha() and len(word) <= 64:
+            ids = self.part(word.lower())
+        elif len(word) > 64 or not (m := _PLAIN.fullmatch(word)):
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        else:
+            ids = self.part(m[1].lower()) + self.part(m[2]) if m[2] else self.part(m[1].lower())
         if len(word) <= 64:
             self[word] = ids
         return ids
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One for each worker process, so that its cache outlives a task."""
+    return WordIds(path)
+
+
 def tokens(text: str | None, words: WordIds, end_id: int = END_ID) -> bytes:
-    runs = [w for w in _SPACE.split(text) if w] if text else []
+    """The ids of a text and the end id, as little-endian unsigned 32-bit numbers."""
+    text = text or ""
+    # str.split() parts at a few controls too, which are no white space to the tokenizer
+    runs = text.split() if not any(c in text for c in _CONTROLS) else [w for w in _SPACE.split(text) if w]
     return b"".join([*map(words.__getitem__, runs), end_id.to_bytes(4, "little")])
 
 
@@ -119,7 +160,7 @@ def pack_blocks(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     """documents -> pieces with their block and window. No shuffle; ``tokenizer_path`` must be readable on every executor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, block, docs, held = WordIds(tokenizer_path), 0, [], 0
+        words, block, docs, held = word_ids(tokenizer_path), 0, [], 0
         part = None
 
         def out() -> Iterator[pa.RecordBatch]:
