@@ -5,36 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import cut, forget
+from .work import cut, forget, grown
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.join(grown(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    near = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    near = down.join(grown(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return near.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether each u has one v only, and no v is a u: then the v are the components."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(edges.select(F.col("v").alias("n"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+    return ends.groupBy("n").agg(F.sum("below").alias("b"), F.max("above").alias("a")).where("b > 1 or (b = 1 and a = 1)").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """links(u long, v long) -> (node, component): each linked node with the smallest node it reaches.
 
-    Hot nodes are joined, never gathered; only two numbers a round reach the driver. No link: no row.
+    Hot nodes are joined, never gathered; nothing but the end of the rounds reaches the driver. No link: no row.
     """
-    edges, before, mark = cut(links.where("u <> v").select("u", "v").distinct(), "links"), None, None
+    edges, before = links.where("u <> v").select("u", "v"), None
     while True:
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if mark == now:
-            break
-        mark, before = now, edges
-        if not now["n"]:
-            break
         edges = cut(_small_star(_large_star(edges)), "links")
-        forget(before)
+        if before is not None:
+            forget(before)
+        if _settled(edges):
+            break
+        before = edges
     top = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(top)

@@ -25,12 +25,14 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .words import WordHashes, hash_words, mix, ngrams, split_words
-from .work import cut, forget
+from .work import cut, forget, grown
 
 BANDS, ROWS = 32, 5
 SHINGLE = 5
 #: 100 * intersection >= THRESHOLD * union
 THRESHOLD = 85
+#: Centres of a bucket in the second round; each further round takes as many times more.
+CENTRES = 128
 #: Shingles handled at a time in numpy, so that they stay in the CPU's cache.
 BLOCK = 1 << 14
 
@@ -118,7 +120,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: int, shingle: int) -
 
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    rows = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
+    rows = pairs.join(grown(right), "b").join(grown(left), "a").select("a", "b", "ta", "tb")
     return rows.mapInArrow(run, "u long, v long")
 
 
@@ -139,21 +141,13 @@ def linkable(members: DataFrame, texts: DataFrame, threshold: int, shingle: int)
     """members(rep, n) that may still reach the threshold with another member -> rep, n, shared.
 
     A shingle that no other member has is in no intersection, so ``shared``, the size of a set without these, bounds each
-    intersection; a member with 100 * shared < threshold * n has no partner. Sets that go make others' shingles unique,
-    hence the repetition.
+    intersection; a member with 100 * shared < threshold * n has no partner.
     """
-    left, before = members.select("rep", "n").distinct(), None
-    sets = cut(_shingles(texts.join(left.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), shingle), "shingles")
-    while True:
-        common = sets.groupBy("hash").agg(F.count("*").alias("df")).where("df > 1").select("hash")
-        shared = sets.join(common, "hash").groupBy("rep").agg(F.count("*").alias("shared"))
-        left = cut(left.select("rep", "n").join(shared, "rep").where(F.col("shared") * 100 >= F.col("n") * threshold), "linkable")
-        now = left.count()
-        if not now or before is not None and now > 0.9 * before:
-            return left
-        before, all_sets = now, sets
-        sets = cut(all_sets.join(left.select("rep"), "rep", "left_semi"), "shingles")
-        forget(all_sets)
+    own = members.select("rep", "n").distinct()
+    sets = cut(_shingles(texts.join(grown(own.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi"), shingle), "shingles")
+    common = sets.groupBy("hash").agg(F.count("*").alias("df")).where("df > 1").select("hash")
+    shared = sets.join(grown(common), "hash").groupBy("rep").agg(F.count("*").alias("shared"))
+    return cut(own.join(grown(shared), "rep").where(F.col("shared") * 100 >= F.col("n") * threshold), "linkable")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
@@ -164,52 +158,59 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, bands: int = BA
         "classes",
     )
     buckets = classes.select("rep", "n", F.explode("bands").alias("key"))
-    crowded = buckets.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    active = cut(buckets.join(crowded, "key").select("key", "rep", "n").distinct(), "buckets")
+    # what is counted by bucket is written before it is joined, so that Spark can split the join of a large bucket
+    crowded = cut(buckets.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "crowded")
+    active = cut(buckets.join(grown(crowded), "key").select("key", "rep", "n"), "buckets")
     plain = docs.select(F.col("doc_id").cast("long"), "text")
     wanted = active.select(F.col("rep").alias("doc_id")).distinct()
-    texts = cut(plain.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    texts = cut(plain.join(grown(wanted), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
 
     # first round: one centre for each bucket
-    heads = active.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("head")).select("key", F.col("head.rep").alias("a"), F.col("head.n").alias("an"))
-    pairs = active.join(heads, "key").where(F.col("rep") != F.col("a")).where(100 * F.least("n", "an") >= threshold * F.greatest("n", "an"))
-    pairs = cut(pairs.select("a", F.col("rep").alias("b")).distinct(), "pairs")
+    heads = cut(active.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("head")).select("key", F.col("head.rep").alias("a"), F.col("head.n").alias("an")), "centres")
+    pairs = active.join(grown(heads), "key").where(F.col("rep") != F.col("a")).where(100 * F.least("n", "an") >= threshold * F.greatest("n", "an"))
+    pairs = pairs.select("a", F.col("rep").alias("b")).distinct()
     links = cut(verified(pairs, texts, threshold, shingle), "found")
     comps = cut(components(links), "components")
 
     def open_buckets(members: DataFrame) -> DataFrame:
         """Of the members with their components, those in buckets where two are unconnected."""
-        named = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-        still = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        return cut(named.join(still, "key"), "members")
+        named = members.join(grown(comps.withColumnRenamed("node", "rep")), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+        still = cut(named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "open")
+        return cut(named.join(grown(still), "key"), "members")
 
     members = open_buckets(active)
     if not members.isEmpty():
         able = linkable(members, texts, threshold, shingle)
-        codes = classes.select("rep", F.transform("bands", lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int")).alias("codes"), F.posexplode("bands").alias("band", "key"))
-        members = open_buckets(members.select("key", "rep").join(codes, ["key", "rep"]).join(able, "rep"))
-    centres = 1
+        codes = F.transform("bands", lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int"))
+        few = classes.select("rep", "bands").join(grown(able), "rep")
+        members = open_buckets(few.select("rep", "n", "shared", codes.alias("codes"), F.posexplode("bands").alias("band", "key")))
+    centres = CENTRES
     while not members.isEmpty():
         slot = F.pmod(F.xxhash64("rep", F.lit(centres)), F.lit(centres))
         mine = ["rep", "n", "shared", "comp", "codes"]
-        heads = cut(members.groupBy("key", slot.alias("slot")).agg(F.min_by(F.struct(*mine), "rep").alias("c")).drop("slot"), "centres")
+        placed = members.withColumn("slot", slot)
+        heads = cut(placed.groupBy("key", "slot").agg(F.min_by(F.struct(*mine), "rep").alias("c")), "centres")
+        first = heads.select("key", "slot", F.col("c.rep").alias("first"))
+        members = cut(placed.join(grown(first), ["key", "slot"]).withColumn("is_centre", F.col("rep") == F.col("first")).drop("slot", "first"), "members")
         least = F.least(F.col("shared"), F.col("c.shared"))
         possible = (
             (F.col("comp") != F.col("c.comp"))
+            # two centres meet once
+            & (~F.col("is_centre") | (F.col("c.rep") < F.col("rep")))
             & (100 * F.least("n", "c.n") >= threshold * F.greatest("n", "c.n"))
             & (100 * least >= threshold * (F.col("n") + F.col("c.n") - least))
             # a pair comes from the first of the bands that it shares
             & (F.array_position(F.zip_with("codes", "c.codes", lambda x, y: x == y), True) == F.col("band") + 1)
         )
-        pairs = members.join(heads, "key").where(possible).select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()
-        pairs = cut(pairs, "pairs")
-        links = links.unionByName(cut(verified(pairs, texts, threshold, shingle), "found"))
-        comps = cut(components(links), "components")
-        left = members.join(heads.select("key", F.col("c.rep").alias("rep")), ["key", "rep"], "left_anti").drop("comp")
-        members, centres = open_buckets(left), centres * 16
-
-    label = classes.select("set_key", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    out = feat.select("doc_id", "n_shingles", "set_key").join(cut(label, "labels"), "set_key", "left")
+        pairs = members.join(grown(heads.select("key", "c")), "key").where(possible).select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()
+        found = cut(verified(pairs, texts, threshold, shingle), "found")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            comps = cut(components(links), "components")
+        members, centres = open_buckets(members.where("not is_centre").drop("comp", "is_centre")), centres * CENTRES
+
+    label = classes.select("set_key", "rep").join(grown(comps.withColumnRenamed("node", "rep")), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
+    out = feat.select("doc_id", "n_shingles", "set_key").join(grown(cut(label, "labels")), "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
@@ -217,4 +218,4 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, bands: int = BA
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents, one of each group of near-duplicates: the one with the smallest doc_id. Columns as they came."""
     gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    return docs.join(grown(gone), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
