@@ -36,8 +36,9 @@ BLOCK_IDS = 256 * CAPACITY
 CACHE = 400_000
 _CONTROLS = "\x1c\x1d\x1e\x1f\x85"
 _SPACE = re.compile(r"[ \t\n\r]+")
-#: A word of Latin letters (each one character, whatever the case and normal form) with marks behind it.
-_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,!?;:]*)")
+#: Latin letters, each of them one character whatever its case and normal form; and ASCII marks that start no contraction.
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, block long, window long, offset long"
 
 
@@ -60,6 +61,7 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
+        self.bytes_of = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.parts: dict[str, bytes] = {}
 
     def part(self, text: str) -> bytes:
@@ -68,18 +70,19 @@ class WordIds(dict):
             if len(self.parts) >= CACHE:
                 self.parts.clear()
             written = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
-            self.parts[text] = ids = b"".join(x.id.to_bytes(4, "little") for x in self.model.tokenize(written))
+            self.parts[text] = ids = b"".join([self.bytes_of[x.id] for x in self.model.tokenize(written)])
         return ids
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        if word.isascii() and word.isalpha() and len(word) <= 64:
-            ids = self.part(word.lower())
-        elif len(word) > 64 or not (m := _PLAIN.fullmatch(word)):
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        core = word.rstrip(_MARKS)
+        if len(word) <= 64 and (core.isalpha() if core.isascii() else _LATIN.fullmatch(core)):
+            ids = self.part(core.lower())
+            if len(core) < len(word):
+                ids += self.part(word[len(core) :])
         else:
-            ids = self.part(m[1].lower()) + self.part(m[2]) if m[2] else self.part(m[1].lower())
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         if len(word) <= 64:
             self[word] = ids
         return ids
