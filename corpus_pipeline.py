@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from eventengine.llm import linededup, minhash, packing, quality_rules, substring
 from eventengine.llm.work import cut, table
 
+#: Near copies of the corpus share 0.8 of their shingles or more; op 1 has a threshold of its own.
+NEAR = 80
+
 
 def _rewritten(docs: DataFrame, cleaned: DataFrame) -> DataFrame:
     """cleaned with the columns of docs; n_chars, where there is one, follows the text."""
@@ -25,7 +28,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.keep_one(docs)
+    return minhash.keep_one(docs, NEAR)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

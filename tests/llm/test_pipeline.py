@@ -1,6 +1,7 @@
 import corpus_pipeline
 from eventengine.llm import linededup, minhash, quality_rules, substring
 from eventengine.llm.work import cut
+from test_minhash import brute, sets_of
 from test_tokens import check_pieces
 
 
@@ -38,3 +39,14 @@ def test_documents_with_nulls_pass(docs_of, spark):
     for _, stage in corpus_pipeline.STAGES:
         df = cut(stage(spark, df, ""), "test")
     assert {r["doc_id"] for r in df.collect()} == {4}
+
+
+def test_near_stage_takes_pairs_from_080(spark, docs_of, sf_dir, corpus):
+    """The stage against brute force at 0.8, on pairs that share 0.80 to 0.85 of their shingles and on the table."""
+    words = {i: [f"w{i}x{k}" for k in range(124)] for i in range(20)}
+    texts = {i: " ".join(w) for i, w in words.items()} | {100 + i: " ".join("new" if k in (20, 80) else x for k, x in enumerate(w)) for i, w in words.items()}
+    sets = sets_of(texts)
+    assert all(0.80 <= len(sets[i] & sets[100 + i]) / len(sets[i] | sets[100 + i]) < 0.85 for i in words)
+    for docs, rows in ((docs_of(texts.items()), texts), (spark.read.parquet(f"{sf_dir}/documents.parquet"), corpus)):
+        got = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()}
+        assert got == {i for i, v in brute(rows, 80).items() if v[2]}
