@@ -1,11 +1,14 @@
-"""Line dedup by winnowing over line hashes, with Spark functions only.
+"""Line dedup by fingerprints of short runs of lines, with Spark functions only.
 
-A text's lines are split at ``\\n``; blank lines are left out of the comparison and never removed. A line is compared
-trimmed, in lower case, with runs of white space as one space. Each pair of neighbouring lines has a hash; of each
-``window`` neighbouring hashes the least is selected as a fingerprint, so that any repeated run of ``window + 1`` lines
-holds one. The earliest place of a fingerprint, by (doc_id, text hash, line), is the source of all its later places. From
-each such place the match is extended both ways along the source, and each run of at least ``MIN_LINES`` lines and
-``MIN_WORDS`` words is removed from the later document. The earliest place of a line is never removed.
+A text's lines are split at ``\\n``; blank lines are left out of the comparison and never removed by themselves. A line is
+compared trimmed, in lower case, with runs of white space as one space. A span is a run of neighbouring lines of at least
+``MIN_WORDS`` words that would have fewer without its first line, or without its last: a line of so many words alone, short
+lines together. The hash of each span is a fingerprint. The earliest place of a fingerprint, by (doc_id, text hash, line),
+is the source of all its later places, and these are removed.
+
+Each line of a repeated run of ``MIN_WORDS`` words or more is in such a span within the run, so that exactly the lines of
+these runs go, wherever the earlier places of their parts are. With ``window`` over 1, only the least of each ``window``
+neighbouring fingerprints is kept, and runs may be missed. The earliest place of a line is never removed.
 
 Defined results: text null: stays null, nothing removed. doc_id null: left alone, and no source. Rows repeated with the
 same doc_id and text count once and get the same result. Extra columns pass through. No rows: no rows.
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .work import cut, grown
 
-WINDOW, MIN_LINES, MIN_WORDS = 2, 2, 8
+WINDOW, MIN_LINES, MIN_WORDS = 1, 2, 8
 
 
 def _normal(line: Column) -> Column:
@@ -40,43 +43,47 @@ def line_table(docs: DataFrame) -> DataFrame:
     return rows.where(F.size("at") > 0).dropDuplicates(["doc_id", "text_hash"])
 
 
-def fingerprints(lines: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, text_hash, pos, fingerprint: the window minima over hashes of neighbouring lines."""
-    pairs = F.transform(F.sequence(F.lit(0), F.size("hashes") - MIN_LINES), lambda i: F.struct(F.xxhash64(F.slice(F.col("hashes"), i + 1, MIN_LINES)).alias("fp"), i.alias("pos")))
-    with_pairs = lines.where(F.size("hashes") >= MIN_LINES).select("doc_id", "text_hash", pairs.alias("p"))
+def fingerprints(lines: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, text_hash, pos, fp, at: the spans, by the first one's place among the lines with words, and the numbers of their lines."""
+    ahead = [F.slice(c, F.col("pos") + 1, min_words).alias(c) for c in ("hashes", "words", "at")]
+    rows = lines.select("*", F.posexplode("hashes").alias("pos", "h")).select("doc_id", "text_hash", "pos", *ahead)
+    total, spans = F.lit(0), []
+    for n in range(1, min_words + 1):
+        last = F.get("words", F.lit(n - 1))
+        total = total + last
+        # past the end the total is null
+        short = total - F.greatest(F.get("words", F.lit(0)), last) < min_words
+        spans.append(F.when((total >= min_words) & short, F.struct(F.xxhash64(F.slice("hashes", 1, n)).alias("fp"), F.slice("at", 1, n).alias("at"))))
+    rows = rows.select("doc_id", "text_hash", "pos", F.explode(F.array_compact(F.array(*spans))).alias("s")).select("doc_id", "text_hash", "pos", "s.fp", "s.at")
+    if window == 1:
+        return rows
+    placed = rows.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("pos", "at", "fp"))).alias("p"))
+    by_hash = F.transform("p", lambda x: F.struct(x["fp"].alias("fp"), x["pos"].alias("pos"), x["at"].alias("at")))
+    placed = placed.select("doc_id", "text_hash", by_hash.alias("p"))
     minima = F.transform(F.sequence(F.lit(1), F.greatest(F.size("p") - window + 1, F.lit(1))), lambda i: F.array_min(F.slice(F.col("p"), i, window)))
-    return with_pairs.select("doc_id", "text_hash", F.explode(F.array_distinct(minima)).alias("m")).select("doc_id", "text_hash", F.col("m.pos").alias("pos"), F.col("m.fp").alias("fp"))
+    return placed.select("doc_id", "text_hash", F.explode(F.array_distinct(minima)).alias("m")).select("doc_id", "text_hash", "m.pos", "m.fp", "m.at")
 
 
-def repeated_runs(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
-    """documents -> doc_id, text_hash, first_line, last_line, src_doc_id, src_first_line: the runs to remove; lines from 0."""
-    lines = cut(line_table(docs), "lines")
-    marks = fingerprints(lines, window)
+def repeated_spans(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
+    """documents -> doc_id, text_hash, pos, at, src(doc_id, text_hash, pos): the spans to remove; lines from 0."""
+    # written before it is joined, so that Spark can split the join of a very common fingerprint
+    marks = cut(fingerprints(line_table(docs), window, min_words), "spans")
     place = F.struct("doc_id", "text_hash", "pos")
     first = cut(marks.groupBy("fp").agg(F.min(place).alias("src"), F.count("*").alias("n")).where("n > 1").select("fp", "src"), "sources")
-    later = marks.join(grown(first), "fp").where(place > F.col("src"))
-    diagonals = later.select("doc_id", "text_hash", F.col("src.doc_id").alias("src_doc_id"), F.col("src.text_hash").alias("src_hash"), (F.col("pos") - F.col("src.pos")).alias("shift")).distinct()
-    source = lines.select(F.col("doc_id").alias("src_doc_id"), F.col("text_hash").alias("src_hash"), F.col("hashes").alias("src_hashes"), F.col("at").alias("src_at"))
-    both = cut(diagonals, "diagonals").join(grown(source), ["src_doc_id", "src_hash"]).join(grown(lines), ["doc_id", "text_hash"])
-    equal = F.filter(
-        F.transform("hashes", lambda h, i: F.struct(i.alias("pos"), F.get("src_hashes", i - F.col("shift")).eqNullSafe(h).alias("same"))),
-        lambda x: x["same"] & (x["pos"] >= F.col("shift")),
-    )
-    key = ["doc_id", "text_hash", "src_doc_id", "src_hash", "shift"]
-    rows = both.select(*key, "at", "words", "src_at", F.posexplode(F.transform(equal, lambda x: x["pos"])).alias("k", "pos"))
-    # neighbours on a diagonal have one island number; a partition is one match of one document
-    rows = rows.select(*key, (F.col("pos") - F.col("k")).alias("island"), F.get("at", F.col("pos")).alias("line"), F.get("words", F.col("pos")).alias("w"), F.get("src_at", F.col("pos") - F.col("shift")).alias("src_line"))
-    runs = rows.groupBy(*key, "island").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.min("src_line").alias("src_first_line"), F.count("*").alias("lines"), F.sum("w").alias("w"))
-    return runs.where((F.col("lines") >= MIN_LINES) & (F.col("w") >= min_words)).select("doc_id", "text_hash", "first_line", "last_line", "src_doc_id", "src_first_line")
+    return marks.join(grown(first), "fp").where(place > F.col("src")).select("doc_id", "text_hash", "pos", "at", "src")
 
 
 def dedup_lines(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
     """documents -> the same rows and columns, text without the removed lines, and removed_lines (numbers, sorted)."""
-    runs = repeated_runs(docs, window, min_words)
-    gone = runs.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("first_line", "last_line"))))).alias("__gone"))
+    spans = repeated_spans(docs, window, min_words)
+    found = spans.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.explode(F.transform("at", lambda x, k: F.struct((F.col("pos") + k).alias("pos"), x.alias("line")))).alias("x"))
+    found = found.groupBy("__id", "__hash").agg(F.array_sort(F.collect_set("x")).alias("xs"))
+    # blank lines between removed lines go with them
+    before = lambda k: F.get("xs", k - 1)
+    since = lambda x, k: F.when(before(k)["pos"] == x["pos"] - 1, before(k)["line"] + 1).otherwise(x["line"])
+    gone = found.select("__id", "__hash", F.flatten(F.transform("xs", lambda x, k: F.sequence(since(x, k), x["line"]))).alias("__gone"))
     gone = cut(gone, "removed")
     joined = docs.join(grown(gone), (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left")
-    # blank lines between removed lines go with them
     kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("__gone"), i))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return joined.select(*[docs[c] if c != "text" else text.alias("text") for c in docs.columns], F.coalesce("__gone", F.array().cast("array<int>")).alias("removed_lines"))

@@ -147,6 +147,50 @@ def test_every_run_of_three_lines_is_found(docs_of, spark, sf_dir, corpus):
     assert set(left) == {x for i in corpus for _, x in full[i]}, "each line is still somewhere"
 
 
+def repeated_lines(texts, least=linededup.MIN_WORDS):
+    """Document -> numbers of the lines in runs of so many words or more that stand earlier, by definition."""
+    full, seen, gone = brute_lines(texts), set(), {i: set() for i in texts}
+    for i in sorted(texts):
+        rows = full[i]
+        for k in range(len(rows)):
+            # a repeated run's lines are in its shortest parts of enough words, none longer than that many lines
+            for n in range(1, min(2 * least, len(rows) - k) + 1):
+                key = tuple(x for _, x in rows[k : k + n])
+                if sum(len(x.split()) for x in key) >= least and key in seen:
+                    gone[i] |= {m for m, _ in rows[k : k + n]}
+                seen.add(key)
+    return gone
+
+
+def without_blanks(got, texts):
+    return {i: {n for n in got[i]["removed_lines"] if texts[i].split("\n")[n].strip()} for i in texts}
+
+
+def test_removed_lines_equal_brute_force_on_the_table(spark, sf_dir, corpus):
+    """Every repeated run of MIN_WORDS words, of one line or of several, and nothing else."""
+    got = deduped(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    assert without_blanks(got, corpus) == repeated_lines(corpus)
+
+
+def test_every_pair_of_lines_is_found(docs_of):
+    """Of many runs of exactly two lines between other lines, all go."""
+    pairs = {k: lines(20 + k, 2) for k in range(40)}
+    texts = {1: "\n".join(x for k in pairs for x in [*lines(100 + k, 1), *pairs[k]]), 2: "\n".join(x for k in pairs for x in [*lines(200 + k, 2), *pairs[k]])}
+    docs = docs_of(texts.items())
+    got = deduped(docs)
+    assert got[1]["removed_lines"] == []
+    assert got[2]["removed_lines"] == [n for n in range(160) if n % 4 >= 2]
+    fewer = {r["doc_id"]: r["removed_lines"] for r in linededup.dedup_lines(docs, window=3).collect()}
+    assert fewer[1] == [] and set(fewer[2]) < set(got[2]["removed_lines"])
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "b", "a b c", "d e f g h", "a b c d e f g", "a b c d e f g h", "", "  "]), max_size=14), min_size=1, max_size=6))
+def test_removed_lines_equal_brute_force(docs_of, rows):
+    texts = {i: "\n".join(r) for i, r in enumerate(rows)}
+    assert without_blanks(deduped(docs_of(texts.items())), texts) == repeated_lines(texts)
+
+
 def test_repeats_within_a_document(docs_of):
     a = lines(8, 3)
     got = deduped(docs_of([(1, "\n".join([*a, "middle line here", *a]))]))
