@@ -184,6 +184,15 @@ def test_every_pair_of_lines_is_found(docs_of):
     assert fewer[1] == [] and set(fewer[2]) < set(got[2]["removed_lines"])
 
 
+def test_long_lines_alone_are_found(docs_of):
+    """A long line goes wherever it repeats, a whole text of one line too; short lines go together only."""
+    rule = "all rights reserved by the owners of this page"
+    texts = {1: "\n".join([*lines(30, 1), rule, *lines(31, 1)]), 2: "\n".join([*lines(32, 1), rule.upper(), *lines(33, 1)]), 3: rule, 4: "two words\nat first\nthen more of it", 5: "a start\ntwo words\n\nat first\nthen more of it\nan end", 6: "two words\nat first"}
+    got = deduped(docs_of(texts.items()))
+    assert {i: got[i]["removed_lines"] for i in texts} == {1: [], 2: [1], 3: [0], 4: [], 5: [1, 2, 3, 4], 6: []}
+    assert got[3]["text"] == ""
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(["a", "b", "a b c", "d e f g h", "a b c d e f g", "a b c d e f g h", "", "  "]), max_size=14), min_size=1, max_size=6))
 def test_removed_lines_equal_brute_force(docs_of, rows):
