@@ -158,7 +158,7 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = F.array(*[F.lit(x) for x in ("date night tonight in sf", "bar crawl this weekend", "visiting guests tomorrow", "something on sunday", "", "anything in oakland")])
     rows = table(spark, sf_dir, "conversations").where("role = 'user'")
     key = F.col("conv_id") * 1000 + F.col("turn")
-    prompt = F.concat_ws(" ", F.substring("text", 1, 40), F.get(added, (F.col("conv_id") % 6).cast("int")))
+    prompt = F.concat_ws(" ", "text", F.get(added, (F.col("conv_id") % 6).cast("int")))
     return rows.select(key.alias("request_id"), (F.col("conv_id") % 150).alias("user_id"), prompt.alias("prompt"))
 
 

@@ -35,6 +35,15 @@ def test_itineraries_are_sequenced(spark, sf_dir):
         assert "main_event" in [k for _, k in stops]
 
 
+def test_prompts_are_whole_texts(spark, tmp_path):
+    """Keywords past the fortieth character of a turn count."""
+    far = "please look through everything on the list for us " + "and more " * 30
+    turns = [(4, 0, "user", far + "then a bar crawl in Oakland tonight"), (10, 0, "user", far), (4, 1, "assistant", "a date night in berkeley")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["request_id"]: (r["intent"], r["geography"], r["label"]) for r in QUERIES["prompt_intents"](spark, str(tmp_path)).collect()}
+    assert got == {4000: ("bar_crawl", "oakland", "tonight"), 10000: ("general_night_out", None, "upcoming_week")}
+
+
 def test_entry_points():
     import __spark_entry__ as e
 
