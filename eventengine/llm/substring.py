@@ -1,14 +1,16 @@
 """Substring dedup by hashing lines and passages.
 
 Units are normalised (words ``[^\\x20\\x09-\\x0D]+``, A-Z in lower case), their digests grouped globally, the earliest
-occurrence by (doc_id, place) is kept, and the rest is removed; spans name the original offsets. There are two kinds of
+occurrence by (doc_id, text hash, place) is kept, and the rest is removed; spans name the original offsets. There are two kinds of
 unit. Lines of at least ``MIN_LINE_WORDS`` words are the plain form of the method. Repeated passages mostly begin and end
 inside longer lines, where hashes of whole lines cannot meet, so that windows of ``GRAM`` words, chosen by winnowing, are
 units too: any repeated passage of ``MIN_WORDS`` words holds one. What the digests propose is compared word by word with
 the earliest occurrence and extended both ways; runs of whole lines count from ``MIN_LINE_WORDS`` words, passages from ``MIN_WORDS`` words up.
 
-Defined results: text null: stays null, no spans. doc_id null: left alone, and no source. Rows that share a doc_id count
-as one document with the least text of these; the others are left alone. Extra columns pass through. No rows: no rows.
+Defined results: text null: stays null, no spans. doc_id null: left alone, and no source. A document is a doc_id with a
+text: rows that repeat both count once and get the same result, rows that share a doc_id but not the text are documents of
+their own, earlier and later by the hashes of their texts. Extra columns pass through, whatever their names; where one is
+called ``spans``, the operator's own column is ``spans_``. No rows: no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .words import WordHashes, hash_words, ngrams, split_words
-from .work import cut, forget, grown
+from .work import cut, forget, free, grown, keyed
 
 MIN_LINE_WORDS = 20
 MIN_WORDS = 50
@@ -57,15 +59,15 @@ def _sliding(x: np.ndarray, window: int, pick: np.ufunc, neutral: np.uint64) ->
 
 
 def units(docs: DataFrame, gram: int = GRAM, min_words: int = MIN_WORDS, min_line: int = MIN_LINE_WORDS) -> DataFrame:
-    """doc_id, pos (number of the first word), digest."""
+    """docs(doc_id, th, text) -> doc_id, th, pos (number of the first word), digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids, places, digests = [], [], []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                ids, hashes, places, digests = [], [], [], []
+                for doc_id, th, text in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
                     words, counts = [], []
                     for line in (text or "").split("\n"):
                         found = split_words(line)
@@ -82,12 +84,13 @@ def units(docs: DataFrame, gram: int = GRAM, min_words: int = MIN_WORDS, min_lin
                         where += chosen.tolist()
                         got += grams[chosen].tolist()
                     ids.append(np.full(len(where), doc_id, np.int64))
+                    hashes.append(np.full(len(where), th, np.int64))
                     places.append(np.array(where, np.int32))
                     digests.append(np.array(got, np.uint64).view(np.int64))
                 if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, places, digests)], ["doc_id", "pos", "digest"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, hashes, places, digests)], ["doc_id", "th", "pos", "digest"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, pos int, digest long")
+    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, pos int, digest long")
 
 
 def _runs(own: np.ndarray, src: np.ndarray, shift: int, anchors: list[int], least: int) -> list[tuple[int, int]]:
@@ -105,7 +108,7 @@ def _runs(own: np.ndarray, src: np.ndarray, shift: int, anchors: list[int], leas
 
 
 def _matches(rows: DataFrame, min_words: int, min_line: int) -> DataFrame:
-    """rows(doc_id, text, src_doc_id, src_text, seeds) -> doc_id, start, end, src_doc_id, src_start in characters."""
+    """rows(doc_id, th, text, src_doc_id, src_th, src_text, seeds) -> doc_id, th, start, end, src_doc_id, src_start in characters."""
 
     def words_of(text: str, cache: WordHashes):
         data = text.encode("utf-8", "surrogatepass")
@@ -122,12 +125,12 @@ def _matches(rows: DataFrame, min_words: int, min_line: int) -> DataFrame:
         cache, of, src = WordHashes(), None, None
         for batch in batches:
             out: list[tuple] = []
-            columns = [batch.column(i) for i in range(5)]
+            columns = [batch.column(i) for i in range(7)]
             for i in range(batch.num_rows):
-                doc_id, text, src_id, src_text, seeds = (c[i].as_py() for c in columns)
-                if src_id != of:
-                    of, src = src_id, words_of(src_text, cache)
-                own = src if doc_id == src_id else words_of(text, cache)
+                doc_id, th, text, src_id, src_th, src_text, seeds = (c[i].as_py() for c in columns)
+                if (src_id, src_th) != of:
+                    of, src = (src_id, src_th), words_of(src_text, cache)
+                own = src if (doc_id, th) == of else words_of(text, cache)
                 by_shift: dict[int, list[int]] = {}
                 for seed in seeds:
                     by_shift.setdefault(seed["shift"], []).append(seed["pos"])
@@ -141,44 +144,55 @@ def _matches(rows: DataFrame, min_words: int, min_line: int) -> DataFrame:
                         a, b = (x for x in (np.searchsorted(lines, lines[a]) if a == 0 or lines[a - 1] != lines[a] else np.searchsorted(lines, lines[a], "right"), np.searchsorted(lines, lines[b - 1], "right") if b == len(lines) or lines[b] != lines[b - 1] else np.searchsorted(lines, lines[b - 1])))
                         if b - a < min_line:
                             continue
-                    out.append((doc_id, int(own[1][a][0]), int(own[1][b - 1][1]), src_id, int(src[1][a - shift][0])))
-            yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "start", "end", "src_doc_id", "src_start"), r, strict=True)) for r in out], pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("src_doc_id", pa.int64()), ("src_start", pa.int32())]))
+                    out.append((doc_id, th, int(own[1][a][0]), int(own[1][b - 1][1]), src_id, int(src[1][a - shift][0])))
+            yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "th", "start", "end", "src_doc_id", "src_start"), r, strict=True)) for r in out], pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("src_doc_id", pa.int64()), ("src_start", pa.int32())]))
 
-    return rows.select("doc_id", "text", "src_doc_id", "src_text", "seeds").mapInArrow(run, "doc_id long, start int, end int, src_doc_id long, src_start int")
+    return rows.select("doc_id", "th", "text", "src_doc_id", "src_th", "src_text", "seeds").mapInArrow(run, "doc_id long, th long, start int, end int, src_doc_id long, src_start int")
 
 
 def repeated_spans(docs: DataFrame, gram: int = GRAM, min_words: int = MIN_WORDS, min_line: int = MIN_LINE_WORDS) -> DataFrame:
-    """documents -> doc_id, start, end, src_doc_id, src_start: character spans that repeat an earlier place."""
-    plain = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """documents -> doc_id, th (hash of the text), start, end, src_doc_id, src_start: character spans that repeat an earlier place."""
+    plain = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     found = cut(units(plain, gram, min_words, min_line), "units")
-    first = found.groupBy("digest").agg(F.min(F.struct("doc_id", "pos")).alias("src"), F.count("*").alias("n")).where("n > 1").select("digest", "src")
-    first = cut(first, "sources")
-    later = found.join(grown(first), "digest").where(F.struct("doc_id", "pos") > F.col("src"))
-    seeds = later.groupBy("doc_id", F.col("src.doc_id").alias("src_doc_id")).agg(F.collect_set(F.struct(F.col("pos"), (F.col("pos") - F.col("src.pos")).alias("shift"))).alias("seeds"))
-    seeds = cut(seeds, "seeds")
+    place = F.struct("doc_id", "th", "pos")
+    first = cut(found.groupBy("digest").agg(F.min(place).alias("src"), F.count("*").alias("n")).where("n > 1").select("digest", "src"), "sources")
+    later = found.join(grown(first), "digest").where(place > F.col("src"))
+    seed = F.struct(F.col("pos"), (F.col("pos") - F.col("src.pos")).alias("shift"))
+    seeds = cut(later.groupBy("doc_id", "th", F.col("src.doc_id").alias("src_doc_id"), F.col("src.th").alias("src_th")).agg(F.collect_set(seed).alias("seeds")), "seeds")
     forget(found)
-    wanted = seeds.select("doc_id").union(seeds.select("src_doc_id")).distinct()
-    texts = cut(plain.join(grown(wanted), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
-    sources = texts.select(F.col("doc_id").alias("src_doc_id"), F.col("text").alias("src_text"))
-    rows = seeds.join(grown(texts), "doc_id").join(grown(sources), "src_doc_id")
+    wanted = seeds.select("doc_id", "th").union(seeds.select("src_doc_id", "src_th")).distinct()
+    texts = cut(plain.join(grown(wanted), ["doc_id", "th"], "left_semi").groupBy("doc_id", "th").agg(F.min("text").alias("text")), "texts")
+    sources = texts.toDF("src_doc_id", "src_th", "src_text")
+    rows = seeds.join(grown(texts), ["doc_id", "th"]).join(grown(sources), ["src_doc_id", "src_th"])
     return _matches(rows, min_words, min_line)
 
 
-def dedup_substrings(docs: DataFrame, gram: int = GRAM, min_words: int = MIN_WORDS, min_line: int = MIN_LINE_WORDS) -> DataFrame:
-    """documents -> the same rows and columns, text without the repeated spans, and spans (original offsets, sorted)."""
+def _without_spans(docs: DataFrame, gram: int, min_words: int, min_line: int) -> DataFrame:
+    """documents -> row (as it came, but for the text) and spans."""
     spans = repeated_spans(docs, gram, min_words, min_line)
     # a span that several sources have is the earliest one's
-    spans = spans.groupBy("doc_id", "start", "end").agg(F.min(F.struct("src_doc_id", "src_start")).alias("src"))
-    by_doc = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "src.src_doc_id", "src.src_start"))).alias("__spans"))
-    by_doc = cut(by_doc.withColumnRenamed("doc_id", "__id"), "spans")
-    joined = docs.join(grown(by_doc), F.col("doc_id").cast("long") == F.col("__id"), "left")
+    spans = spans.groupBy("doc_id", "th", "start", "end").agg(F.min(F.struct("src_doc_id", "src_start")).alias("src"))
+    span = F.struct("start", "end", "src.src_doc_id", "src.src_start")
+    by_doc = cut(spans.groupBy(F.col("doc_id").alias("did"), "th").agg(F.array_sort(F.collect_list(span)).alias("spans")), "spans")
+    joined = keyed(docs).join(grown(by_doc), ["did", "th"], "left")
     # what stands between the spans, in order; spans may overlap
+    old = F.col("row.text")
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("kept"))
 
     def step(acc, span):
-        piece = F.substring("text", acc["at"] + 1, F.greatest(span["start"] - acc["at"], F.lit(0)))
+        piece = F.substring(old, acc["at"] + 1, F.greatest(span["start"] - acc["at"], F.lit(0)))
         return F.struct(F.greatest(acc["at"], span["end"]).alias("at"), F.when(span["start"] > acc["at"], F.concat(acc["kept"], F.array(piece))).otherwise(acc["kept"]).alias("kept"))
 
-    text = F.aggregate("__spans", state, step, lambda acc: F.concat(F.array_join(acc["kept"], ""), F.substring("text", acc["at"] + 1, F.length("text"))))
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(text)
-    return joined.select(*[docs[c] if c != "text" else text.alias("text") for c in docs.columns], F.coalesce("__spans", F.array().cast(SPANS)).alias("spans"))
+    text = F.aggregate("spans", state, step, lambda acc: F.concat(F.array_join(acc["kept"], ""), F.substring(old, acc["at"] + 1, F.length(old))))
+    text = F.when(F.col("spans").isNull(), old).otherwise(text)
+    return joined.select(F.col("row").withField("text", text).alias("row"), F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+
+
+def dedup_substrings(docs: DataFrame, gram: int = GRAM, min_words: int = MIN_WORDS, min_line: int = MIN_LINE_WORDS) -> DataFrame:
+    """documents -> the same rows and columns, text without the repeated spans, and spans (original offsets, sorted)."""
+    return _without_spans(docs, gram, min_words, min_line).select("row.*", F.col("spans").alias(free(docs, "spans")))
+
+
+def without_repeats(docs: DataFrame, gram: int = GRAM, min_words: int = MIN_WORDS, min_line: int = MIN_LINE_WORDS) -> DataFrame:
+    """The documents, columns as they came, each text without its repeated spans."""
+    return _without_spans(docs, gram, min_words, min_line).select("row.*")

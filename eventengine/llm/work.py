@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +37,19 @@ def grown(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def free(taken: DataFrame, name: str) -> str:
+    """name, or name with as many underscores as keep it apart from the columns of ``taken``, in any case of letters."""
+    names = {c.lower() for c in taken.columns}
+    while name.lower() in names:
+        name += "_"
+    return name
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs as did (doc_id as a long), th (hash of the text) and row, a struct of all columns: no name of docs can clash."""
+    return docs.select(F.col("doc_id").cast("long").alias("did"), F.xxhash64("text").alias("th"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+
+
 def forget(df: DataFrame) -> None:
     """Delete what cut() wrote for df, once nothing reads it any more."""
     spark = df.sparkSession
