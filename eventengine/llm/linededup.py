@@ -11,7 +11,9 @@ these runs go, wherever the earlier places of their parts are. With ``window`` o
 neighbouring fingerprints is kept, and runs may be missed. The earliest place of a line is never removed.
 
 Defined results: text null: stays null, nothing removed. doc_id null: left alone, and no source. Rows repeated with the
-same doc_id and text count once and get the same result. Extra columns pass through. No rows: no rows.
+same doc_id and text count once and get the same result; rows that share a doc_id but not the text are documents of their
+own. Extra columns pass through, whatever their names; where one is called ``removed_lines``, the operator's own column is
+``removed_lines_``. No rows: no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .work import cut, grown
+from .work import cut, free, grown, keyed
 
 WINDOW, MIN_LINES, MIN_WORDS = 1, 2, 8
 
@@ -73,17 +75,29 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_W
     return marks.join(grown(first), "fp").where(place > F.col("src")).select("doc_id", "text_hash", "pos", "at", "src")
 
 
-def dedup_lines(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
-    """documents -> the same rows and columns, text without the removed lines, and removed_lines (numbers, sorted)."""
+def _without_lines(docs: DataFrame, window: int, min_words: int) -> DataFrame:
+    """documents -> row (as it came, but for the text) and gone (numbers of the removed lines, sorted)."""
     spans = repeated_spans(docs, window, min_words)
-    found = spans.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.explode(F.transform("at", lambda x, k: F.struct((F.col("pos") + k).alias("pos"), x.alias("line")))).alias("x"))
-    found = found.groupBy("__id", "__hash").agg(F.array_sort(F.collect_set("x")).alias("xs"))
+    found = spans.select(F.col("doc_id").alias("did"), F.col("text_hash").alias("th"), F.explode(F.transform("at", lambda x, k: F.struct((F.col("pos") + k).alias("pos"), x.alias("line")))).alias("x"))
+    found = found.groupBy("did", "th").agg(F.array_sort(F.collect_set("x")).alias("xs"))
     # blank lines between removed lines go with them
     before = lambda k: F.get("xs", k - 1)
     since = lambda x, k: F.when(before(k)["pos"] == x["pos"] - 1, before(k)["line"] + 1).otherwise(x["line"])
-    gone = found.select("__id", "__hash", F.flatten(F.transform("xs", lambda x, k: F.sequence(since(x, k), x["line"]))).alias("__gone"))
-    gone = cut(gone, "removed")
-    joined = docs.join(grown(gone), (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("__gone"), i))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return joined.select(*[docs[c] if c != "text" else text.alias("text") for c in docs.columns], F.coalesce("__gone", F.array().cast("array<int>")).alias("removed_lines"))
+    gone = cut(found.select("did", "th", F.flatten(F.transform("xs", lambda x, k: F.sequence(since(x, k), x["line"]))).alias("gone")), "removed")
+    joined = keyed(docs).join(grown(gone), ["did", "th"], "left")
+    # lines with their numbers, less the removed numbers: set operations hash, so that the work grows with the lines only
+    lines = F.split("row.text", "\n", -1)
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    text = F.array_join(F.get(F.transform(F.array(lines), lambda x: F.transform(left, lambda i: F.get(x, i))), F.lit(0)), "\n")
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(text)
+    return joined.select(F.col("row").withField("text", text).alias("row"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+
+
+def dedup_lines(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
+    """documents -> the same rows and columns, text without the removed lines, and removed_lines (numbers, sorted)."""
+    return _without_lines(docs, window, min_words).select("row.*", F.col("gone").alias(free(docs, "removed_lines")))
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
+    """The documents, columns as they came, each text without its removed lines."""
+    return _without_lines(docs, window, min_words).select("row.*")
