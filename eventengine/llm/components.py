@@ -10,13 +10,14 @@ from .work import cut, forget, grown
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(grown(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    # what is counted by node is written before it is joined, so that Spark can split the join of a hot node
+    least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+    return both.join(grown(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = cut(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     near = down.join(grown(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return near.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
@@ -34,7 +35,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges, before = links.where("u <> v").select("u", "v"), None
     while True:
-        edges = cut(_small_star(_large_star(edges)), "links")
+        edges = cut(_small_star(cut(_large_star(edges), "stars")), "links")
         if before is not None:
             forget(before)
         if _settled(edges):

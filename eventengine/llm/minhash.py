@@ -5,13 +5,16 @@ read at circularly shifted places, once for each coordinate. Bands of coordinate
 sets decide. With 32 bands of 5, a pair at the threshold of 0.85 shares no band with a probability under 1e-8, one at 0.80
 under 4e-6.
 
-Documents with equal sets form one class; only classes are banded. In a bucket, pairs are never emitted all against all:
-a round takes a few centres, pairs them with the members not yet connected to them, verifies, and merges components; a
-bucket is done when its members are connected or each unconnected pair has been verified or ruled out by a bound on its
-intersection. So no link is lost, and a large group of copies costs about as many pairs as it has members.
+Documents with equal sets form one class, a node with a number of its own; only classes are banded. In a bucket, pairs are
+never emitted all against all: a round takes a few centres, pairs them with the members not yet connected to them, verifies,
+and merges components; a bucket is done when its members are connected or each unconnected pair has been verified or ruled
+out by a bound on its intersection. So no link is lost, and a large group of copies costs about as many pairs as it has
+members.
 
 Defined results: text null or without words: n_shingles 0, linked with nothing, kept. doc_id null: linked with nothing,
-component_id null, kept. Rows that share a doc_id count as one document. Extra columns are ignored. No rows: no rows.
+component_id null, kept. A document is a doc_id with a text: repeated rows get the same result, and rows that share a doc_id
+but not the text are linked by their own texts only. Extra columns are ignored (or kept by :func:`keep_one`, whatever their
+names). No rows: no rows.
 """
 
 from __future__ import annotations
@@ -21,12 +24,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
 from .words import WordHashes, hash_words, mix, ngrams, split_words
-from .work import cut, forget, grown
+from .work import cut, grown, keyed
 
 BANDS, ROWS = 32, 5
 SHINGLE = 5
@@ -79,31 +82,32 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def features(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
-    """documents -> doc_id, n_shingles, set_key (digest of the set; null when empty), bands."""
+    """documents -> doc_id, th (hash of the text), n_shingles, set_key (digest of the set; null when empty), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sets = [shingle_set(t, cache, shingle) for t in part.column(1).to_pylist()]
+                sets = [shingle_set(t, cache, shingle) for t in part.column(2).to_pylist()]
                 full = [s for s in sets if len(s)]
                 keys = iter(band_keys(signatures(full, bands * rows), bands, rows)) if full else iter(())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0).cast(pa.int64()),
+                        part.column(0),
+                        part.column(1),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                         pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n_shingles", "set_key", "bands"],
+                    ["doc_id", "th", "n_shingles", "set_key", "bands"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, n_shingles long, set_key binary, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: int, shingle: int) -> DataFrame:
-    """pairs(a, b) whose full sets reach the threshold. texts(doc_id, text) holds each doc_id once."""
+    """pairs(a, b) of nodes whose full sets reach the threshold. texts(rep, text) holds each node once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, of, last = WordHashes(), None, None
@@ -119,21 +123,21 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: int, shingle: int) -
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["u", "v"])
 
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    left = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta"))
+    right = texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
     rows = pairs.join(grown(right), "b").join(grown(left), "a").select("a", "b", "ta", "tb")
     return rows.mapInArrow(run, "u long, v long")
 
 
 def _shingles(texts: DataFrame, shingle: int) -> DataFrame:
-    """texts(doc_id, text) -> rep, hash; a row for each element of a set."""
+    """texts(rep, text) -> rep, hash; a row for each element of a set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for rep, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found = shingle_set(text.as_py(), cache, shingle).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), doc_id, np.int64)), pa.array(found)], ["rep", "hash"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), rep, np.int64)), pa.array(found)], ["rep", "hash"])
 
     return texts.mapInArrow(run, "rep long, hash long")
 
@@ -145,26 +149,27 @@ def linkable(members: DataFrame, texts: DataFrame, threshold: int, shingle: int)
     intersection; a member with 100 * shared < threshold * n has no partner.
     """
     own = members.select("rep", "n").distinct()
-    sets = cut(_shingles(texts.join(grown(own.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi"), shingle), "shingles")
+    sets = cut(_shingles(texts.join(grown(own.select("rep")), "rep", "left_semi"), shingle), "shingles")
     common = sets.groupBy("hash").agg(F.count("*").alias("df")).where("df > 1").select("hash")
     shared = sets.join(grown(common), "hash").groupBy("rep").agg(F.count("*").alias("shared"))
     return cut(own.join(grown(shared), "rep").where(F.col("shared") * 100 >= F.col("n") * threshold), "linkable")
 
 
-def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
-    """documents -> doc_id, n_shingles, component_id, kept; a row for each row."""
+def _labelled(docs: DataFrame, threshold: int, bands: int, rows: int, shingle: int) -> DataFrame:
+    """documents -> doc_id, th, n_shingles, component_id (null without a set or an id); a row for each row."""
     feat = cut(features(docs, bands, rows, shingle), "minhash")
-    classes = cut(
-        feat.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.min("n_shingles").alias("n")),
-        "classes",
-    )
+    least = F.min(F.struct("doc_id", "th"))
+    classes = feat.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(least.alias("least"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
+    # numbered as they are written, so that the numbers stand; equal sets have equal bands
+    classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     buckets = classes.select("rep", "n", F.explode("bands").alias("key"))
     # what is counted by bucket is written before it is joined, so that Spark can split the join of a large bucket
     crowded = cut(buckets.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "crowded")
     active = cut(buckets.join(grown(crowded), "key").select("key", "rep", "n"), "buckets")
-    plain = docs.select(F.col("doc_id").cast("long"), "text")
-    wanted = active.select(F.col("rep").alias("doc_id")).distinct()
-    texts = cut(plain.join(grown(wanted), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    wanted = classes.select("rep", "least.doc_id", "least.th").join(grown(active.select("rep").distinct()), "rep", "left_semi")
+    # the text of the least document of a class, once where its row is repeated
+    texts = cut(plain.join(grown(wanted), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select("rep", "text"), "texts")
 
     # first round: one centre for each bucket
     heads = cut(active.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("head")).select("key", F.col("head.rep").alias("a"), F.col("head.n").alias("an")), "centres")
@@ -210,13 +215,27 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, bands: int = BA
             comps = cut(components(links), "components")
         members, centres = open_buckets(members.where("not is_centre").drop("comp", "is_centre")), centres * CENTRES
 
-    label = classes.select("set_key", "rep").join(grown(comps.withColumnRenamed("node", "rep")), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    out = feat.select("doc_id", "n_shingles", "set_key").join(grown(cut(label, "labels")), "set_key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    placed = classes.select("set_key", "rep", "least.doc_id").join(grown(comps.withColumnRenamed("node", "rep")), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+    placed = cut(placed.select("set_key", "comp", "doc_id"), "placed")
+    named = cut(placed.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "names")
+    label = cut(placed.join(grown(named), "comp").select("set_key", "component_id"), "labels")
+    found = feat.select("doc_id", "th", "n_shingles", "set_key").join(grown(label), "set_key", "left")
+    return found.select("doc_id", "th", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
+    """documents -> doc_id, n_shingles, component_id, kept; a row for each row."""
+    component = F.coalesce("component_id", "doc_id")
+    return _labelled(docs, threshold, bands, rows, shingle).select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """The documents, one of each group of near-duplicates: the one with the smallest doc_id. Columns as they came."""
-    gone = near_duplicates(docs, threshold).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(grown(gone), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    """The documents, one row of each group of near-duplicates: that with the smallest doc_id, then the least hash of the
+    text; of rows that repeat both, any one. Rows without words or without an id stay. Columns as they came."""
+    found = cut(_labelled(docs, threshold, BANDS, ROWS, SHINGLE).where("component_id is not null"), "labelled")
+    first = cut(found.groupBy("component_id").agg(F.min(F.struct("doc_id", "th")).alias("first")), "firsts").select("first.doc_id", "first.th", F.lit(True).alias("first"))
+    # each document once, with whether it is the first of its group
+    verdict = cut(found.select("doc_id", "th").distinct().join(grown(first), ["doc_id", "th"], "left").select(F.col("doc_id").alias("did"), "th", F.coalesce("first", F.lit(False)).alias("first")), "verdicts")
+    rows = keyed(docs).join(grown(verdict), ["did", "th"], "left")
+    again = F.row_number().over(Window.partitionBy("did", "th").orderBy("did"))
+    return rows.where("first is null or first").withColumn("again", again).where("first is null or again = 1").select("row.*")
