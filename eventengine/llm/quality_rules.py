@@ -8,7 +8,7 @@ s = m(1 - m)/v - 1, held within 1 and ``MAX_STRENGTH``, and the shrunk rate of a
 rejected when that rate is above ``MAX_RATE`` and its own rate is above the corpus's, so that it is judged by its own failures.
 
 Defined results: text null: no words, so the base rules fail. source null: a host of its own. doc_id null: a row as any.
-Repeated rows count each. Extra columns are ignored (or kept by :func:`keep_good`). No rows: no rows.
+Repeated rows count each. Extra columns are ignored (or kept by :func:`keep_good`, whatever their names). No rows: no rows.
 """
 
 from __future__ import annotations
@@ -70,9 +70,9 @@ def counts(text: Column) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """docs with __m, the struct of counts, and __failed, the base verdict."""
-    failed = (F.col("__m.w.n_words") < MIN_WORDS) | (100 * F.col("__m.w.n_repeat_words") > REPEAT_PERCENT * F.col("__m.w.n_words"))
-    return docs.withColumn("__m", counts(F.col("text"))).withColumn("__failed", failed)
+    """docs(row with text and source) -> row, m (the struct of counts) and failed, the base verdict."""
+    failed = (F.col("m.w.n_words") < MIN_WORDS) | (100 * F.col("m.w.n_repeat_words") > REPEAT_PERCENT * F.col("m.w.n_words"))
+    return docs.select("row", counts(F.col("row.text")).alias("m")).withColumn("failed", failed)
 
 
 def host_verdicts(rows: DataFrame) -> DataFrame:
@@ -88,16 +88,15 @@ def host_verdicts(rows: DataFrame) -> DataFrame:
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """documents -> doc_id, the counts, base_failed, kept, host, host_rate; a row for each row."""
-    m = measured(docs.select("doc_id", "text", F.col("source").alias("host")))
-    rows = cut(m.select("doc_id", "host", F.col("__m.w.n_words").alias("n_words"), "__m.word_chars", "__m.n_symbols", "__m.n_dup_lines", "__m.w.n_repeat_words", F.col("__failed").alias("base_failed")), "rules")
-    hosts = cut(host_verdicts(rows.select("host", F.col("base_failed").alias("failed"))), "hosts")
-    joined = rows.join(hosts.withColumnRenamed("host", "__host"), F.col("host").eqNullSafe(F.col("__host")), "left").drop("__host")
+    m = measured(docs.select(F.struct("doc_id", "text", "source").alias("row")))
+    rows = cut(m.select("row.doc_id", F.col("row.source").alias("host"), "m.w.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.w.n_repeat_words", F.col("failed").alias("base_failed")), "rules")
+    hosts = cut(host_verdicts(rows.select("host", F.col("base_failed").alias("failed"))), "hosts").withColumnRenamed("host", "h")
+    joined = rows.join(hosts, F.col("host").eqNullSafe(F.col("h")), "left")
     return joined.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & ~F.coalesce("rejected", F.lit(False))).alias("kept"), "host", F.round("rate", 9).alias("host_rate"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, columns as they came."""
-    m = measured(docs).select(*[docs[c] for c in docs.columns], "__failed")
-    hosts = cut(host_verdicts(m.select(F.col("source").alias("host"), F.col("__failed").alias("failed"))), "hosts")
-    bad = hosts.where("rejected").select(F.col("host").alias("__host"))
-    return m.where(~F.col("__failed")).join(bad, docs["source"].eqNullSafe(F.col("__host")), "left_anti").drop("__failed")
+    """The documents that the rules keep, columns as they came. Texts are measured once, and written with their verdicts."""
+    rows = cut(measured(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))).select("row", "failed"), "measured")
+    hosts = cut(host_verdicts(rows.select(F.col("row.source").alias("host"), "failed")), "hosts")
+    return rows.where("not failed").join(hosts.where("rejected").select("host"), F.col("row.source").eqNullSafe(F.col("host")), "left_anti").select("row.*")
