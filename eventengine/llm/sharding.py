@@ -1,27 +1,33 @@
 """Sharding over fixed virtual slots.
 
-A record's id hashes into one of ``SLOTS`` virtual slots, for good. Bytes are aggregated per slot, and a versioned
-slot-to-shard map says where a slot lives; rebalancing edits the map, slot by slot, and raises its version. The map has
-as many rows as there are slots, whatever the input, so that it may pass through the driver and be broadcast.
+A record's id hashes into one of ``SLOTS`` virtual slots, for good. Bytes are aggregated per slot, and a slot-to-shard map
+says where a slot lives. The map is a table of versions in a folder: a run reads the last version, edits it where the
+shards have grown uneven, and appends the edited one as the next version; without any, the slots are dealt round as version
+0. A map has as many rows as there are slots, whatever the input, so that it may pass through the driver and be broadcast.
+
+An edit moves (or exchanges) slots between the fullest and the emptiest shard only, until all are within ``SLACK`` of the
+mean or no move helps any more; all other slots stay. Where there are shards that the map does not know yet, slots move
+into these and nowhere else.
 
 Law: ``bytes``. Shards get sizes as near to equal as whole slots allow.
 
-Defined results: text null: 16 bytes, crc32 of the empty text. doc_id null: a slot of its own hash, as any other id.
-Repeated rows are rows of their own. Extra columns are ignored. No rows: no rows.
+Defined results: text null: 16 bytes, crc32 of the empty text. doc_id null: a slot by size and crc32 of the text. Repeated
+rows are rows of their own. Extra columns are ignored, whatever their names. No rows: no rows, and a map of version 0.
 """
 
 from __future__ import annotations
 
-import heapq
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .work import cut
+from .work import cut, grown
 
 SLOTS = 16_384
 SHARDS = 40
 OVERHEAD = 16
+#: Shards this near to the mean, as a share of it, are left as they are.
+SLACK = 0.001
 MAP = "version int, slot int, shard int, bytes long"
 
 
@@ -29,65 +35,122 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
 
 
-def slot_bytes(rows: DataFrame, slots: int = SLOTS) -> dict[int, int]:
-    """Bytes of each slot that has any: at most ``slots`` rows."""
-    return {r["virtual_slot"]: r["bytes"] for r in rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes")).collect()}
-
-
 def first_map(shards: int, slots: int = SLOTS) -> list[int]:
     """Version 0: slots dealt round."""
     return [s % shards for s in range(slots)]
 
 
-def rebalance(slot_map: list[int], sizes: dict[int, int], shards: int) -> list[int]:
-    """The map edited for these sizes, with any shards it does not know yet as empty ones.
-
-    Slots go, the largest first, to the least filled shard; a slot whose own shard is as little filled stays.
-    """
-    edited, filled = list(slot_map), [0] * shards
-    heap = [(0, s) for s in range(shards)]
-    for slot in sorted(sizes, key=lambda s: (-sizes[s], s)):
-        while heap[0][0] != filled[heap[0][1]]:
-            heapq.heappop(heap)
-        least, shard = heap[0]
-        if slot_map[slot] < shards and filled[slot_map[slot]] == least:
-            shard = slot_map[slot]
-        edited[slot] = shard
-        filled[shard] += sizes[slot]
-        heapq.heappush(heap, (filled[shard], shard))
+def _exchange(give: np.ndarray, take: np.ndarray, gap: int, want: float) -> tuple[int, int] | None:
+    """Places of a slot to give and of one to take back (-1 for none), sizes sorted, whose difference is within the gap and
+    nearest to what is wanted."""
+    back = np.concatenate([[0], take])
+    at, best = np.searchsorted(back, give - want), None
+    for k in (np.clip(at - 1, 0, len(back) - 1), np.clip(at, 0, len(back) - 1)):
+        moved = give - back[k]
+        off = np.where((moved > 0) & (moved < gap), np.abs(moved - want), np.inf)
+        i = int(np.argmin(off))
+        if np.isfinite(off[i]) and (best is None or off[i] < best[0]):
+            best = (float(off[i]), i, int(k[i]) - 1)
+    return None if best is None else best[1:]
+
+
+def rebalance(slot_map: list[int], sizes: dict[int, int], shards: int, slack: float = SLACK) -> list[int]:
+    """The map edited for these sizes. Slots of shards beyond ``shards`` go to the emptiest ones. With shards that the map
+    does not know, slots move into these only."""
+    edited, new = list(slot_map), sorted(set(range(shards)) - set(slot_map))
+    held: list[list[tuple[int, int]]] = [[] for _ in range(shards)]
+    homeless = []
+    for slot, size in sorted(sizes.items()):
+        (held[edited[slot]] if edited[slot] < shards else homeless).append((size, slot))
+    filled = [sum(b for b, _ in h) for h in held]
+    for slot, shard in enumerate(edited):
+        if shard >= shards and slot not in sizes:
+            edited[slot] = slot % shards
+    for size, slot in sorted(homeless, reverse=True):
+        lo = int(np.argmin(filled))
+        held[lo].append((size, slot))
+        filled[lo] += size
+        edited[slot] = lo
+    for h in held:
+        h.sort()
+    mean, stuck = sum(filled) / shards, set(new)
+    while len(stuck) < shards:
+        hi = max((k for k in range(shards) if k not in stuck), key=filled.__getitem__)
+        lo = min(new or range(shards), key=filled.__getitem__)
+        above, below = filled[hi] - mean, mean - filled[lo]
+        if max(above, below) <= slack * mean or (new and below <= slack * mean):
+            break
+        take = [] if new else [b for b, _ in held[lo]]
+        found = _exchange(np.array([b for b, _ in held[hi]]), np.array(take), filled[hi] - filled[lo], max(min(above, below), 0)) if held[hi] else None
+        if found is None:
+            stuck.add(hi)
+            continue
+        moves = [(hi, lo, held[hi][found[0]])] + ([(lo, hi, held[lo][found[1]])] if found[1] >= 0 else [])
+        for a, b, moved in moves:
+            held[a].remove(moved)
+            held[b].append(moved)
+            filled[a] -= moved[0]
+            filled[b] += moved[0]
+            edited[moved[1]] = b
+        held[hi].sort()
+        held[lo].sort()
+        stuck = set(new)
     return edited
 
 
-def map_frame(spark: SparkSession, slot_map: list[int], sizes: dict[int, int], version: int) -> DataFrame:
-    return spark.createDataFrame([(version, s, shard, sizes.get(s, 0)) for s, shard in enumerate(slot_map)], MAP)
+def read_maps(spark: SparkSession, folder: str) -> DataFrame:
+    """All versions of the map in a folder; no rows where there is none yet."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    return spark.read.schema(MAP).parquet(folder) if there else spark.createDataFrame([], MAP)
+
+
+def last_map(spark: SparkSession, folder: str) -> tuple[int, list[int]] | None:
+    """The number and the shards by slot of the last version; a bounded number of rows."""
+    maps = read_maps(spark, folder)
+    version = maps.agg(F.max("version")).collect()[0][0]
+    if version is None:
+        return None
+    return version, [r["shard"] for r in sorted(maps.where(F.col("version") == version).collect(), key=lambda r: r["slot"])]
+
+
+def store_map(spark: SparkSession, folder: str, version: int, slot_map: list[int], sizes: dict[int, int]) -> None:
+    """Append a version, as one file."""
+    rows = [(version, s, shard, sizes.get(s, 0)) for s, shard in enumerate(slot_map)]
+    spark.createDataFrame(rows, MAP).coalesce(1).write.mode("append").parquet(folder)
 
 
 def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), slot_of(F.col("doc_id"), slots).alias("virtual_slot"))
+    size, crc = (F.octet_length(text) + OVERHEAD).cast("long"), F.crc32(F.encode(text, "UTF-8"))
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64(size, crc)).otherwise(F.xxhash64("doc_id"))
+    return docs.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.pmod(key, F.lit(slots)).cast("int").alias("virtual_slot"))
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
-    """documents -> (doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version; the map's versions).
+def shard(docs: DataFrame, folder: str, shards: int = SHARDS, slots: int = SLOTS, slack: float = SLACK) -> DataFrame:
+    """documents -> doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version.
 
-    ``slot`` numbers the rows of a shard from 0, without gaps: those of a virtual slot are numbered by themselves, and start
-    where the rows of the shard's earlier virtual slots end.
+    The maps are read from and appended to ``folder``. ``slot`` numbers the rows of a shard from 0, without gaps: those of
+    each written part are numbered by themselves, and start where the shard's rows of the parts before end.
     """
     spark = docs.sparkSession
-    rows = cut(sized(docs, slots), "sized")
-    totals = {r["virtual_slot"]: (r["bytes"], r["n"]) for r in rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}
-    sizes = {s: b for s, (b, _) in totals.items()}
-    version0 = first_map(shards, slots)
-    version1 = rebalance(version0, sizes, shards)
-    ends, starts = [0] * shards, {}
-    for s, (_, n) in sorted(totals.items()):
-        starts[s] = ends[version1[s]]
-        ends[version1[s]] += n
-    maps = map_frame(spark, version0, sizes, 0).unionByName(map_frame(spark, version1, sizes, 1))
-    where = spark.createDataFrame([(s, version1[s], at) for s, at in sorted(starts.items())], "virtual_slot int, shard int, start long")
-    in_slot = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
-    numbered = rows.withColumn("k", in_slot).join(F.broadcast(where), "virtual_slot")
-    out = numbered.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("k") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(1).alias("map_version")
-    )
-    return out, maps
+    # parts and the order in them stand once they are written
+    rows = cut(sized(docs, slots).withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}), "sized")
+    sizes = {r["virtual_slot"]: r["bytes"] for r in rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes")).collect()}
+    stored = last_map(spark, folder)
+    if stored is None:
+        stored = 0, first_map(shards, slots)
+        store_map(spark, folder, *stored, {})
+    version, slot_map = stored
+    edited = rebalance(slot_map, sizes, shards, slack)
+    if edited != slot_map:
+        version, slot_map = version + 1, edited
+        store_map(spark, folder, version, slot_map, sizes)
+    where = read_maps(spark, folder).where(F.col("version") == version).select(F.col("slot").alias("virtual_slot"), "shard")
+    placed = rows.join(F.broadcast(where), "virtual_slot")
+    counts = cut(placed.groupBy("shard", "part").agg(F.count("*").alias("n")), "counts")
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    k = F.row_number().over(Window.partitionBy("shard", "part").orderBy("at"))
+    numbered = placed.withColumn("k", k).join(grown(starts), ["shard", "part"])
+    return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("k") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(version).alias("map_version"))
