@@ -1,13 +1,14 @@
-"""Chat formatting with prefix trees.
+"""Chat formatting with prefix trees of tokens.
 
 Each turn is written as ``<|role|>``, a line break, the text, ``<|end|>`` and a line break. Inside texts ``%`` becomes
-``%25`` and ``<|`` becomes ``%3C|``, so that no text can hold a control string and reading back is exact.
+``%25`` and ``<|`` becomes ``%3C|``, so that no text can hold a control string and reading back is exact. Head, text and end
+of a turn are encoded each by itself with a byte-level BPE, so that loss masks end where tokens end.
 
 Conversations of equal content are one leaf. Leaves are ordered by the hashes of their turns, so that those sharing
-initial turns are neighbours, range partitioned, and merged into prefix trees: shared turns are written once, depth
-first. A tree is closed beyond ``TREE_CHARS`` characters; the next one writes the turns it needs again. Each node has its
-place in the tree's stream, position ids that continue its parent's, and the intervals of its ancestors that it may attend
-to; loss falls on the texts of assistant turns.
+initial turns are neighbours, range partitioned, and merged into prefix trees: the tokens of shared turns are emitted once,
+depth first. A tree is closed beyond ``TREE_TOKENS`` tokens; the next one emits the turns it needs again. Each token has a
+position id that continues its parent's, and each node (a turn) its interval in the tree's stream and the intervals of its
+ancestors that it may attend to; loss falls on the texts of assistant turns.
 
 Defined results: text or role null: empty. Turns with the same number: by role, then text. turn null: first. conv_id null:
 a conversation. Extra columns are ignored. No rows: no rows.
@@ -20,18 +21,20 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import encode_text, encoding
 from .work import cut
 
-TREE_CHARS = 1 << 17
+TREE_TOKENS = 1 << 15
 LEARNED = "assistant"
 END = "<|end|>\n"
 _TURN = re.compile(r"<\|([^|]*)\|>\n(.*?)<\|end\|>\n", re.DOTALL)
 _ESCAPED = re.compile("%3C|%7C|%0A|%25")
-NODE = "struct<parent:int,start:int,end:int,position:int,loss_start:int,loss_end:int,attends:array<struct<start:int,end:int>>>"
-TREE = f"tree_id long, stream string, nodes array<{NODE}>, leaves array<struct<leaf:string,node:int>>"
+NODE = "struct<parent:int,start:int,end:int,loss_start:int,loss_end:int,attends:array<struct<start:int,end:int>>>"
+TREE = f"tree_id long, ids array<int>, positions array<int>, nodes array<{NODE}>, leaves array<struct<leaf:string,node:int>>"
 
 
 def escape(text: str) -> str:
@@ -53,9 +56,10 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
 class Tree:
     """One prefix tree under construction; leaves arrive in the order of their paths."""
 
-    def __init__(self) -> None:
-        self.parts: list[str] = []
-        self.size = 0
+    def __init__(self, ids_of) -> None:
+        self.ids_of = ids_of
+        self.ids: list[int] = []
+        self.positions: list[int] = []
         self.nodes: list[dict] = []
         self.leaves: list[dict] = []
         self.path: list[tuple[tuple[str, str], int]] = []
@@ -67,20 +71,21 @@ class Tree:
         del self.path[shared:]
         for role, text in turns[shared:]:
             parent = self.path[-1][1] if self.path else -1
-            above = self.nodes[parent] if self.path else {"attends": [], "start": 0, "end": 0, "position": 0}
-            head, body = f"<|{escape_role(role)}|>\n", escape(text)
-            start = self.size
-            attends = [dict(x) for x in above["attends"]]
+            attends: list[dict] = []
             if self.path:
+                above = self.nodes[parent]
+                attends = [dict(x) for x in above["attends"]]
                 if attends and attends[-1]["end"] == above["start"]:
                     attends[-1]["end"] = above["end"]
                 else:
                     attends.append({"start": above["start"], "end": above["end"]})
-            learned = role == LEARNED
-            begin = start + len(head)
-            self.parts.append(head + body + END)
-            self.size += len(self.parts[-1])
-            self.nodes.append({"parent": parent, "start": start, "end": self.size, "position": above["position"] + above["end"] - above["start"], "loss_start": begin if learned else -1, "loss_end": begin + len(body) if learned else -1, "attends": attends})
+            head, body, end = self.ids_of(f"<|{escape_role(role)}|>\n"), self.ids_of(escape(text)), self.ids_of(END)
+            start, place = len(self.ids), sum(x["end"] - x["start"] for x in attends)
+            for part in (head, body, end):
+                self.ids += part
+            self.positions += range(place, place + len(self.ids) - start)
+            begin, learned = start + len(head), role == LEARNED
+            self.nodes.append({"parent": parent, "start": start, "end": len(self.ids), "loss_start": begin if learned else -1, "loss_end": begin + len(body) if learned else -1, "attends": attends})
             self.path.append(((role, text), len(self.nodes) - 1))
         self.leaves.append({"leaf": leaf, "node": self.path[-1][1]})
 
@@ -95,23 +100,25 @@ def conversations_of(rows: DataFrame) -> DataFrame:
     return whole.withColumn("leaf", F.sha2(mark, 256))
 
 
-def build_trees(leaves: DataFrame, tree_chars: int = TREE_CHARS) -> DataFrame:
-    """leaves(leaf, turns), each once -> trees."""
+def build_trees(leaves: DataFrame, ranks_path: str, pattern: str, tree_tokens: int = TREE_TOKENS) -> DataFrame:
+    """leaves(leaf, turns), each once -> trees. ``ranks_path`` must be readable on every executor."""
     path = F.transform("turns", lambda x: F.xxhash64(x["role"], x["text"]))
     ordered = leaves.select("leaf", "turns", path.alias("path")).repartitionByRange("path", "leaf").sortWithinPartitions("path", "leaf")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree, number, part = Tree(), 0, 0
+        enc, pat = encoding(ranks_path, pattern), regex.compile(pattern)
+        ids_of = lambda text: encode_text(text, enc, pat)
+        tree, number, part = Tree(ids_of), 0, 0
 
         def out() -> pd.DataFrame:
-            return pd.DataFrame({"tree_id": [(part << 32) + number], "stream": ["".join(tree.parts)], "nodes": [tree.nodes], "leaves": [tree.leaves]})
+            return pd.DataFrame({"tree_id": [(part << 32) + number], "ids": [tree.ids], "positions": [tree.positions], "nodes": [tree.nodes], "leaves": [tree.leaves]})
 
         for pdf in batches:
             for leaf, turns, p in zip(pdf["leaf"], pdf["turns"], pdf["part"], strict=True):
                 part = int(p)
-                if tree.size > tree_chars:
+                if len(tree.ids) > tree_tokens:
                     yield out()
-                    tree, number = Tree(), number + 1
+                    tree, number = Tree(ids_of), number + 1
                 tree.add(leaf, [(t["role"], t["text"]) for t in turns])
         if tree.leaves:
             yield out()
@@ -119,21 +126,23 @@ def build_trees(leaves: DataFrame, tree_chars: int = TREE_CHARS) -> DataFrame:
     return ordered.select("leaf", "turns", F.spark_partition_id().alias("part")).mapInPandas(run, TREE)
 
 
-def read_back(trees: DataFrame) -> DataFrame:
-    """trees -> leaf, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read from the stream alone."""
+def read_back(trees: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """trees -> leaf, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read from the tokens alone."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enc = encoding(ranks_path, pattern)
         for pdf in batches:
-            for stream, nodes, leaves in zip(pdf["stream"], pdf["nodes"], pdf["leaves"], strict=True):
-                rows = []
+            for ids, nodes, leaves in zip(pdf["ids"], pdf["nodes"], pdf["leaves"], strict=True):
+                ids, rows = ids.tolist(), []
+                text_of = lambda a, b: enc.decode_bytes(ids[a:b]).decode("utf-8")  # noqa: B023, E731
                 for leaf in leaves:
                     node = nodes[leaf["node"]]
                     spans = [*((x["start"], x["end"]) for x in node["attends"]), (node["start"], node["end"])]
-                    formatted = "".join(stream[a:b] for a, b in spans)
+                    formatted = "".join(text_of(a, b) for a, b in spans)
                     losses, at = [], leaf["node"]
                     while at >= 0:
                         if nodes[at]["loss_start"] >= 0:
-                            losses.append(unescape(stream[nodes[at]["loss_start"] : nodes[at]["loss_end"]]))
+                            losses.append(unescape(text_of(nodes[at]["loss_start"], nodes[at]["loss_end"])))
                         at = nodes[at]["parent"]
                     loss = "".join(reversed(losses))
                     turns = read_turns(formatted)
@@ -144,8 +153,8 @@ def read_back(trees: DataFrame) -> DataFrame:
     return trees.mapInPandas(run, "leaf string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
-def format_chats(rows: DataFrame, tree_chars: int = TREE_CHARS) -> tuple[DataFrame, DataFrame]:
+def format_chats(rows: DataFrame, ranks_path: str, pattern: str, tree_tokens: int = TREE_TOKENS) -> tuple[DataFrame, DataFrame]:
     """conversations by turn -> (trees; conv_id, leaf of each conversation)."""
     whole = cut(conversations_of(rows), "conversations")
     leaves = whole.groupBy("leaf").agg(F.first("turns").alias("turns"))
-    return build_trees(cut(leaves, "leaves"), tree_chars), whole.select("conv_id", "leaf")
+    return build_trees(cut(leaves, "leaves"), ranks_path, pattern, tree_tokens), whole.select("conv_id", "leaf")

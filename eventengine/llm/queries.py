@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, classifier, hnsw, linededup, minhash, packing, quality_rules, sharding, substring
-from .work import cut, table
+from .work import cut, shared_dir, table
 
 SAID = "</s>[INST] ok [/INST]"
 
@@ -19,7 +20,9 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(table(spark, sf_dir, "documents"))[0]
+    """The map's versions stay as a table in the shared folder; an input's next run reads and edits the last one."""
+    maps = f"{shared_dir(spark)}/slot-map-{hashlib.md5(sf_dir.encode()).hexdigest()}"
+    return sharding.shard(table(spark, sf_dir, "documents"), maps)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,8 +58,9 @@ def op8_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_prefix_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(SAID).alias("text"))
-    trees, convs = chat.format_chats(rows.unionByName(more))
-    digests = cut(chat.read_back(trees), "digests")
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    trees, convs = chat.format_chats(rows.unionByName(more), ranks, pattern)
+    digests = cut(chat.read_back(cut(trees, "trees"), ranks, pattern), "digests")
     return convs.join(digests, "leaf").drop("leaf")
 
 
