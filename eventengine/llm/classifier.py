@@ -1,12 +1,14 @@
 """Quality classifier: logistic regression over hashed word n-grams, trained with follow-the-regularised-leader updates.
 
 Tokens are runs of letters (of any script, as bytes above 127), runs of digits and runs of marks, with A-Z in lower case;
-they are found and hashed in numpy, over the bytes of a text. Unigrams and bigrams hash into 2**BITS weights, and a text is the vector of their counts at length one. Training takes labelled rows, about ``SAMPLE`` of them at
-most (those with the least hash of doc_id, whole texts), through one task; the weights have a fixed size. Scoring is a
-sparse dot product in tasks, over whole texts.
+they are found and hashed in numpy, over the bytes of a text. Unigrams and bigrams hash into 2**BITS weights, and a text is
+the vector of their counts at length one. Training takes labelled documents, about ``SAMPLE`` of them at most (those with
+the least hash of doc_id, whole texts), through one task; the weights have a fixed size. Scoring is a sparse dot product in
+tasks, over whole texts.
 
 Defined results: text null or without tokens: scored by the bias alone. doc_id null: never learned from, scored as any.
-Several labels of one document: the highest. No labels: weights of zero, score 0.5. Extra columns are ignored.
+Several labels of one document: the highest. Several texts of one doc_id: the least is learned from, each row is scored. No
+labels: weights of zero, score 0.5. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -90,7 +92,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     order = F.xxhash64("__id", F.lit(7))
     picked = own.where(F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30)))
     rows = docs.select(F.col("doc_id").cast("long").alias("__doc"), "text").join(F.broadcast(picked), F.col("__doc") == F.col("__id"))
-    rows = rows.select("__y", "text", order.alias("__o")).repartition(1).sortWithinPartitions("__o", "text")
+    # one row for each picked document, however often its id is repeated
+    rows = rows.groupBy("__id", "__y").agg(F.min("text").alias("text")).select("__y", "text", order.alias("__o")).repartition(1).sortWithinPartitions("__o", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [(*features(t), y) for b in batches for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]

@@ -1,13 +1,14 @@
 """Nearest neighbours by a hierarchical navigable small-world graph per shard.
 
-Equal vectors are indexed once. Shards hold up to about ``SHARD_ROWS`` distinct vectors; each becomes a graph, stored as
+Equal vectors are indexed once. Shards hold up to about ``SHARD_ROWS`` distinct vectors and ``SHARD_BYTES``; each becomes a graph, stored as
 flat arrays in a row of the index table. Blocks of queries meet every shard's row, and the shards' results are merged.
 Nearness is the inner product; inside a shard vectors get one more component that gives all the same length, so that the
 graph is built on angles whatever the norms. Scores are inner products of the original vectors, in double precision.
 
 Defined results: vectors null, zero, or holding null or non-finite components, and rows without vec_id, take no part;
-vectors of other lengths than the query's are no candidates. Repeated rows of a vec_id and vector count once. Ties go to
-the smaller vec_id. Extra columns are ignored. No rows: no rows.
+vectors of other lengths than the query's are no candidates. Repeated rows of a vec_id and vector count once; several vectors
+of one vec_id are each asked for themselves, and none is a candidate for its own id. Ties go to the smaller vec_id. Extra
+columns are ignored, whatever their names. No rows: no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .work import cut
 
 M, EF_BUILD, EF_SEARCH = 16, 64, 128
-SHARD_ROWS = 8192
+SHARD_ROWS, SHARD_BYTES = 8192, 1 << 26
 QUERY_BLOCK = 2048
 K = 20
 
@@ -213,7 +214,8 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = K, shard_rows: int
     """embeddings -> query_id, rank, vec_id, score: for each row with vec_id divisible by ``every`` its k nearest others."""
     rows = cut(usable(embeddings, column), "vectors")
     distinct = cut(rows.groupBy("vkey").agg(F.min("dim").alias("dim"), F.min_by("vec", "vec_id").alias("vec")), "distinct")
-    shards = max(1, -(-distinct.count() // shard_rows))
+    n, dim = distinct.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(1))).collect()[0]
+    shards = max(1, -(-n // min(shard_rows, max(SHARD_BYTES // (8 * dim), 1))))
     index = cut(build_index(distinct, shards), "index")
     asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("vkey").alias("qkey"))
     queries = cut(distinct.join(asked.select(F.col("qkey").alias("vkey")).distinct(), "vkey", "left_semi"), "queries")
