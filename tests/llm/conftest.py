@@ -12,6 +12,22 @@ def docs_of(spark):
     return make
 
 
+#: Names that operators use themselves.
+OWN = "rep ids th did row spans removed_lines gone failed m host first again start end src seeds __gone __id __hash __spans __failed __m __doc".split()
+
+
+@pytest.fixture(scope="session")
+def clashing(docs_of):
+    """docs_of with columns of all those names, each with values of its own."""
+    from pyspark.sql import functions as F
+
+    def make(rows):
+        df = docs_of(rows, extra=False)
+        return df.select("*", *[F.concat(F.lit(f"{c}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))).alias(c) for c in OWN])
+
+    return make
+
+
 @pytest.fixture(scope="session")
 def corpus(spark, sf_dir):
     return {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}

@@ -101,11 +101,28 @@ def test_substring_edge_cases(docs_of):
     assert substring.dedup_substrings(df).columns == [*df.columns, "spans"]
 
 
+def test_texts_that_share_an_id_are_documents_of_their_own(docs_of):
+    p, z = " ".join(passage(11)), " ".join(noise(12, 90))
+    rows = [(1, p), (5, p), (5, z), (5, z), (7, f"{z} {p}"), (5, "")]
+    got = sorted((r["doc_id"], r["text"], [(s["start"], s["end"], s["src_doc_id"]) for s in r["spans"]]) for r in substring.dedup_substrings(docs_of(rows)).collect())
+    assert got == sorted([(1, p, []), (5, "", [(0, len(p), 1)]), (5, z, []), (5, z, []), (7, " ", [(0, len(z), 5), (len(z) + 1, len(z) + 1 + len(p), 1)]), (5, "", [])])
+
+
+def test_substring_dedup_with_clashing_names(clashing):
+    p = " ".join(passage(13))
+    df = clashing([(1, p), (2, p + " tail"), (None, p)])
+    out = substring.dedup_substrings(df)
+    assert out.columns == [*df.columns, "spans_"]
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert got[2]["text"] == " tail" and got[2]["spans"] == "spans-2" and [s["src_doc_id"] for s in got[2]["spans_"]] == [1]
+    assert {r["doc_id"]: (r["row"], r["th"]) for r in substring.without_repeats(df).collect()} == {i: (f"row-{i or '?'}", f"th-{i or '?'}") for i in (1, 2, None)}
+
+
 # line dedup
 
 
-def brute_lines(texts, window=linededup.WINDOW, least=linededup.MIN_LINES, words=linededup.MIN_WORDS, h=hash):
-    """Runs by the definition, given the fingerprints that the operator selects."""
+def brute_lines(texts):
+    """Document -> number and normal form of each line with words."""
     full = {i: [(n, re.sub(r"[\x20\x09-\x0D]+", " ", line).strip().lower()) for n, line in enumerate(t.split("\n"))] for i, t in texts.items()}
     return {i: [(n, x) for n, x in rows if x] for i, rows in full.items()}
 
@@ -215,6 +232,24 @@ def test_line_edge_cases(docs_of):
     assert linededup.dedup_lines(docs_of([])).count() == 0
 
 
+def test_line_dedup_of_shared_ids_and_long_texts(docs_of):
+    a, z = "\n".join(lines(14, 4)), "\n".join(lines(15, 4))
+    many = "\n".join(f"line number {k} of a very long text with words" for k in range(60_000))
+    rows = linededup.dedup_lines(docs_of([(1, a), (5, a), (5, z), (8, many), (9, many + "\nand an end of its own, long enough to count")])).collect()
+    got = sorted((r["doc_id"], len(r["removed_lines"]), r["text"]) for r in rows)
+    assert got == sorted([(1, 0, a), (5, 4, ""), (5, 0, z), (8, 0, many), (9, 60_000, "and an end of its own, long enough to count")])
+
+
+def test_line_dedup_with_clashing_names(clashing):
+    a = "\n".join(lines(16, 4))
+    df = clashing([(1, a), (2, a + "\nmore"), (None, a)])
+    out = linededup.dedup_lines(df)
+    assert out.columns == [*df.columns, "removed_lines_"]
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert (got[2]["text"], got[2]["removed_lines"], got[2]["removed_lines_"]) == ("more", "removed_lines-2", [0, 1, 2, 3])
+    assert linededup.without_repeats(df).columns == df.columns
+
+
 def test_line_dedup_is_native(docs_of):
     plan = linededup.dedup_lines(docs_of([(1, "a")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan

@@ -74,6 +74,26 @@ def test_repeated_and_null_ids(docs_of):
     assert sorted((r["doc_id"] or -1, r["component_id"] or -1, r["kept"]) for r in rows) == [(-1, -1, True), (3, 3, True), (3, 3, True), (5, 3, False)]
 
 
+def test_texts_that_share_an_id(docs_of):
+    """Each text is linked for itself, in any order of the rows."""
+    a, b = "a b c d e f", "g h i j k l"
+    rows = [(5, a), (5, b), (6, a), (7, b), (8, a), (9, "x y z w v"), (9, b), (9, "q r s t u")]
+    want = [(5, 5), (5, 5), (6, 5), (7, 5), (8, 5), (9, 5), (9, 9), (9, 9)]
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        assert sorted((r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(docs_of(order)).collect()) == want
+
+
+def test_keep_one_of_repeated_rows(docs_of, clashing):
+    a, b = "a b c d e f", "g h i j k l"
+    rows = [(1, a), (1, a), (2, a), (3, b), (3, a), (None, a), (None, a), (4, ""), (4, ""), (5, None)]
+    kept = minhash.keep_one(docs_of(rows)).collect()
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in kept) == [(-1, a), (-1, a), (1, a), (3, b), (4, ""), (4, ""), (5, "")]
+    df = clashing(rows)
+    out = minhash.keep_one(df)
+    assert out.columns == df.columns and sorted(r["rep"] for r in out.collect()) == sorted(f"rep-{i}" for i in ("?", "?", 1, 3, 4, 4, 5))
+    assert len(got(df)) == len(rows) if all(i for i, _ in rows) else minhash.near_duplicates(df).count() == len(rows)
+
+
 def test_empty_table(docs_of):
     assert got(docs_of([])) == []
     assert minhash.keep_one(docs_of([])).count() == 0

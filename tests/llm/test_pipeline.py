@@ -41,6 +41,18 @@ def test_documents_with_nulls_pass(docs_of, spark):
     assert {r["doc_id"] for r in df.collect()} == {4}
 
 
+def test_clashing_names_pass(clashing, spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    docs = clashing([(1, text), (2, "\n".join(f"line {k} " + " ".join(f"x{k}y{i}" for i in range(9)) for k in range(9))), (3, text)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = cut(stage(spark, docs, ""), "test")
+        assert out.columns == docs.columns, name
+        assert all(r[c] == f"{c}-{r['doc_id']}" for r in out.collect() for c in ("row", "spans", "removed_lines", "failed", "th")), name
+        docs = out
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    assert {1, 2} <= {r["doc_id"] for r in pieces}
+
+
 def test_near_stage_takes_pairs_from_080(spark, docs_of, sf_dir, corpus):
     """The stage against brute force at 0.8, on pairs that share 0.80 to 0.85 of their shingles and on the table."""
     words = {i: [f"w{i}x{k}" for k in range(124)] for i in range(20)}
