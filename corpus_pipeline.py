@@ -20,22 +20,32 @@ def _rewritten(docs: DataFrame, cleaned: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go. Null texts and texts without words are rejected; a null source is a host of its
+    own; repeated rows count, and stay or go, each for itself."""
     return quality_rules.keep_good(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _rewritten(docs, linededup.dedup_lines(docs))
+    """Later repeats of runs of lines go from the texts. Null texts and rows without doc_id stay as they are; rows equal in
+    doc_id and text get the same text."""
+    return _rewritten(docs, linededup.without_repeats(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies stays: the smallest doc_id, then the least hash of the text, and one of rows
+    equal in both. Null texts, texts without words and rows without doc_id stay."""
     return minhash.keep_one(docs, NEAR)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _rewritten(docs, substring.dedup_substrings(docs))
+    """Later repeats of lines and passages go from the texts. Null texts and rows without doc_id stay as they are; rows
+    equal in doc_id and text get the same text."""
+    return _rewritten(docs, substring.without_repeats(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences. A null text is the end id alone; rows without doc_id and repeated rows are
+    packed as any."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
