@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .stem import stemmed
+
 # Fixed values.
 INTENT_KEYWORDS = [("date_night", ["date night"]), ("out_of_town_guests", ["out-of-town", "visiting", "guests"]), ("bar_crawl", ["bar crawl"])]
 GEOGRAPHIES = ["oakland", "san francisco", "sf", "berkeley", "mission", "soma", "south bay", "san jose"]
@@ -56,7 +58,7 @@ def last_segment(c: Column) -> Column:
 
 def ordered_distinct(items: Column) -> Column:
     """Trimmed, blanks out, first-seen order."""
-    return F.array_distinct(F.filter(F.transform(F.coalesce(items, F.array().cast("array<string>")), F.trim), lambda x: x.isNotNull() & (x != "")))
+    return F.array_distinct(F.filter(F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
 
 
 def ordered_union(left: Column, right: Column) -> Column:
@@ -85,25 +87,35 @@ def tag_key(t: Column) -> Column:
     return F.concat(F.lit("#"), F.lower(F.regexp_replace(F.trim(t), "^#+", "")))
 
 
+#: Words of a text that mostly hold enough tags; the rest is looked at only where they do not.
+FIRST_WORDS = 64
+
+
 def onboarding_tags(text: Column, cap: int = 5) -> Column:
-    """Words of four letters or more, not in the stop list, each followed by its pair with the next word, title-cased."""
+    """Words of four letters or more, not in the stop list, each followed by its pair with the next word, title-cased: the
+    first ``cap`` distinct ones."""
     words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([A-Za-z][A-Za-z0-9']+)"), 1)
 
-    def tags(ws: Column) -> Column:
-        def title(w: Column) -> Column:
-            return F.regexp_replace(F.initcap(F.regexp_replace(w, "'", "' ")), "[^A-Za-z0-9]", "")
+    def title(w: Column) -> Column:
+        # a letter behind a digit or an apostrophe is a capital too
+        return F.regexp_replace(F.initcap(F.regexp_replace(w, "([0-9'])", "$1 ")), "[^A-Za-z0-9]", "")
 
-        def of(w: Column, i: Column) -> Column:
-            nxt = F.get(ws, i + 1)
+    def tags(ws: Column, upto: Column) -> Column:
+        def of(i: Column) -> Column:
+            w, nxt = F.get(ws, i), F.get(ws, i + 1)
             one = F.concat(F.lit("#"), title(w))
             ok = (F.length(w) >= 4) & ~F.lower(w).isin(ONBOARDING_STOP_WORDS) & (F.length(one) > 2)
             pair = F.when(nxt.isNotNull(), F.array(one, F.concat(one, title(nxt)))).otherwise(F.array(one))
             return F.when(ok, pair).otherwise(F.array().cast("array<string>"))
 
-        return F.flatten(F.transform(ws, of))
+        spots = F.when(upto > 0, F.sequence(F.lit(0), upto - 1)).otherwise(F.array().cast("array<int>"))
+        return F.slice(F.array_distinct(F.flatten(F.transform(spots, of))), 1, cap)
+
+    def found(ws: Column) -> Column:
+        some = lambda few: F.when(F.size(few) >= cap, few).otherwise(tags(ws, F.size(ws)))
+        return F.get(F.transform(F.array(tags(ws, F.least(F.size(ws), F.lit(FIRST_WORDS)))), some), F.lit(0))
 
-    found = F.get(F.transform(F.array(words), tags), F.lit(0))
-    return F.slice(F.array_distinct(found), 1, cap)
+    return F.get(F.transform(F.array(words), found), F.lit(0))
 
 
 def intent(prompt: Column) -> Column:
@@ -157,8 +169,11 @@ def event_at_venue(c: Column) -> tuple[Column, Column]:
 
 
 def quote_query(c: Column) -> Column:
-    """Percent-encoded, blanks as %20, slashes kept."""
-    return F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))
+    """Percent-encoded, blanks as %20, slashes and tildes kept."""
+    out = F.url_encode(c)
+    for a, b in (("+", "%20"), ("%2F", "/"), ("*", "%2A"), ("%7E", "~")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
 
 
 def json_object(text: Column) -> Column:
@@ -168,18 +183,35 @@ def json_object(text: Column) -> Column:
 
 
 def price_label(is_free: Column, price: Column) -> Column:
+    """Free, $X, $X.YY or price TBA; only what is marked free is."""
     whole = price == F.floor(price)
-    return F.when(is_free | (price == 0), "Free").when(price.isNull(), "price TBA").when(whole, F.format_string("$%d", price.cast("long"))).otherwise(F.format_string("$%.2f", price.cast("double")))
+    return F.when(F.coalesce(is_free, F.lit(False)), "Free").when(price.isNull(), "price TBA").when(whole, F.format_string("$%d", price.cast("long"))).otherwise(F.format_string("$%.2f", price.cast("double")))
 
 
-def stems(text: Column) -> Column:
-    """Distinct lower-case words without stop words, suffixes cut by a light rule: the tokens of a text search."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: (w != "") & ~w.isin(STOP_WORDS))
-    return F.array_distinct(F.transform(words, lambda w: F.regexp_replace(w, "(?<=.{3})(ing|ed|es|s)$", "")))
+def label_of(code: Column, known: dict[str, str]) -> Column:
+    """The label of a code; an unknown one in words, with a capital."""
+    words = F.replace(code, F.lit("_"), F.lit(" "))
+    spelled = F.concat(F.upper(F.substring(words, 1, 1)), F.lower(F.substring(words, 2, 1 << 30)))
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), code), spelled)
+
 
+# English function words that a search leaves out.
+STOP_WORDS = (
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves "
+    "what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while "
+    "of at by for with about against between into through during before after above below to from up down in out on off over under again further then once here there "
+    "when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now"
+).split()
 
-# The commonest English function words.
-STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with"]
+
+def terms(text: Column) -> Column:
+    """Distinct lower-case words without stop words."""
+    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: (w != "") & ~w.isin(STOP_WORDS)))
+
+
+def stems(text: Column) -> Column:
+    """Distinct English stems of a text's terms: the tokens of a text search."""
+    return stemmed(terms(text))
 
 
 def street_address(detail: Column) -> Column:
@@ -187,9 +219,13 @@ def street_address(detail: Column) -> Column:
     return blank_to_null(F.regexp_extract(F.coalesce(detail, F.lit("")), r"(\d{1,6}\s+[^|]*?,\s*[A-Za-z .]+,\s*[A-Z]{2}(?:\s+\d{5})?)", 1))
 
 
+# Fixed value: what follows the first dash, up to a full stop, a price or the end of the line.
+AFTER_DASH = r"[—–-]\s*([^.$\n]+)"
+
+
 def venue_after_dash(blurb: Column) -> tuple[Column, Column]:
     """Venue and address of '… — The Room, 12 Main St'."""
-    tail = F.regexp_extract(F.coalesce(blurb, F.lit("")), r"\s[–—-]\s+([A-Z][^.\n]{2,120})", 1)
+    tail = F.trim(F.regexp_replace(F.trim(F.regexp_extract(F.coalesce(blurb, F.lit("")), AFTER_DASH, 1)), ",+$", ""))
     return blank_to_null(F.substring_index(tail, ",", 1)), blank_to_null(F.when(tail.contains(","), F.regexp_replace(tail, "^[^,]*,", "")))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from ..functions import text
+from ..functions import text, timex
 
 VISIBLE = r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->"
 
@@ -110,23 +110,27 @@ def _number(x) -> float | None:
         return None
 
 
-def _events_in(value, depth: int = 0):
-    if depth > 40:
-        return
-    if isinstance(value, list):
-        for v in value:
-            yield from _events_in(v, depth + 1)
-    elif isinstance(value, dict):
-        kind = value.get("@type")
+def _objects_in(value, keys: tuple[str, ...] | None = None):
+    """All objects in a JSON value, an outer one before its inner ones, in order; below objects only under ``keys`` if given."""
+    todo = [value]
+    while todo:
+        value = todo.pop()
+        if isinstance(value, list):
+            todo.extend(reversed(value))
+        elif isinstance(value, dict):
+            yield value
+            todo.extend(reversed([value[k] for k in keys if k in value] if keys else list(value.values())))
+
+
+def _events_in(value):
+    for o in _objects_in(value, ("itemListElement", "@graph", "item")):
+        kind = o.get("@type")
         if any(isinstance(k, str) and k.endswith("Event") for k in (kind if isinstance(kind, list) else [kind])):
-            place = value.get("location")
+            place = o.get("location")
             place = place[0] if isinstance(place, list) and place else place
             place = place if isinstance(place, dict) and place.get("@type") != "VirtualLocation" else {}
             geo = place.get("geo") if isinstance(place.get("geo"), dict) else {}
-            yield {"name": _named(value), "start": value.get("startDate"), "end": value.get("endDate"), "url": value.get("url"), "venue": place.get("name"), "lat": _number(geo.get("latitude")), "lon": _number(geo.get("longitude")), "organizer": _named(value.get("organizer"))}
-        for key in ("itemListElement", "@graph", "item"):
-            if key in value:
-                yield from _events_in(value[key], depth + 1)
+            yield {"name": _named(o), "start": o.get("startDate"), "end": o.get("endDate"), "url": o.get("url"), "venue": place.get("name"), "lat": _number(geo.get("latitude")), "lon": _number(geo.get("longitude")), "organizer": _named(o.get("organizer"))}
 
 
 @pandas_udf(_EVENT)
@@ -151,20 +155,13 @@ def json_ld(docs: DataFrame, url_part: str = "/e/", cap: int = 60) -> DataFrame:
     return capped(first_seen(good.withColumn("url", text.drop_query(F.col("url"))), "url"), cap)
 
 
-def _hits(value, depth: int = 0):
-    if depth > 60:
-        return
-    if isinstance(value, list):
-        for v in value:
-            yield from _hits(v, depth + 1)
-    elif isinstance(value, dict):
-        name = value.get("name") or value.get("title")
-        start = value.get("start_at") or value.get("startDate") or value.get("start")
-        url = value.get("url") or value.get("slug")
+def _hits(value):
+    for o in _objects_in(value):
+        name = o.get("name") or o.get("title")
+        start = o.get("start_at") or o.get("startDate") or o.get("start")
+        url = o.get("url") or o.get("slug")
         if all(isinstance(x, str) and x for x in (name, start, url)):
             yield {"name": name, "start": start, "url": url}
-        for v in value.values():
-            yield from _hits(v, depth + 1)
 
 
 @pandas_udf(_rows(name=_S, start=_S, url=_S))
@@ -247,7 +244,7 @@ def heading_sections(docs: DataFrame, cap: int = 50) -> DataFrame:
 def text_blocks(docs: DataFrame, cap: int = 50) -> DataFrame:
     """Blocks of plain text between blank lines, of two lines or more, with a URL: first line as title, bare URLs left out."""
     rows = docs.select("doc_id", F.posexplode(F.split(F.replace("body", F.lit("\r\n"), F.lit("\n")), r"\n\s*\n")).alias("pos", "block"))
-    lines = F.filter(F.transform(F.split("block", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("block", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     rest = F.filter(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0))), lambda x: ~x.rlike(r"^https?://\S+$"))
     out = rows.withColumn("lines", lines).where((F.size("lines") >= 2) & F.col("block").rlike(r"https?://\S+"))
     return capped(out.select("doc_id", "pos", F.get("lines", F.lit(0)).alias("title"), F.regexp_extract("block", r"(https?://[^\s>)\]]+)", 1).alias("url"), F.array_join(rest, " ").alias("blurb")), cap)
@@ -270,6 +267,24 @@ def dated_segments(lines: DataFrame, date_pattern: str, drop_pattern: str | None
     return grouped.select("doc_id", "pos", "date_text", F.transform("x", lambda r: r["line"]).alias("body")).where(F.size("body") > 0)
 
 
+# Fixed values of dated cards: lines of a card that may tell its time, other acts, and lines that are no part of one.
+CARD_LINES = 2
+OTHER_ACTS = r"(?i)^(?:with|featuring)\s+(.+)"
+NO_CARD = r"(?i)^(?:lottery|sold out|table sales|on sale)"
+
+
+def dated_cards(lines: DataFrame, year: Column) -> DataFrame:
+    """lines(doc_id, pos, line) -> doc_id, pos, day, title, time_text, other_acts: the cards between lines such as 'Sunday,
+    June 14'. A line whose weekday is not that of its day in the year begins a card that is dropped; the time is looked for
+    in a card's first ``CARD_LINES`` lines only, as the last card runs to the end of the page."""
+    dated = rf"(?i)^(?:{'|'.join(text.WEEKDAYS)}),\s*[a-z]+\s+\d{{1,2}}\b"
+    cards = dated_segments(lines, dated, NO_CARD).withColumn("day", timex.date_line(F.col("date_text"), year)).where("day is not null")
+    own = F.array_join(F.slice("body", 1, CARD_LINES), "\n")
+    time_text = F.nullif(F.regexp_extract(own, r"(?i)\b\d{1,2}(?::\d{2})?\s*(?:am|pm)\b", 0), F.lit(""))
+    acts = F.filter(F.transform(F.slice("body", 2, 1 << 30), lambda x: F.regexp_extract(x, OTHER_ACTS, 1)), lambda x: x != "")
+    return cards.select("doc_id", "pos", "day", F.get("body", F.lit(0)).alias("title"), time_text.alias("time_text"), F.get(acts, F.lit(0)).alias("other_acts"))
+
+
 def br_cells(docs: DataFrame, opening: str, cell: str) -> DataFrame:
     """Blocks with the parts of one cell between line breaks."""
     rows = blocks(docs, opening)

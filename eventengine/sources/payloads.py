@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geo, text, timex
 
@@ -55,32 +56,48 @@ def listings(items: DataFrame) -> DataFrame:
     return rows.where("title is not null and start_at is not null and location is not null")
 
 
+def topic_names(nodes: DataFrame, column: str = "topics") -> Column:
+    """Topics given as strings or as objects with a name."""
+    element = nodes.schema[column].dataType.elementType
+    return F.transform(column, lambda x: x["name"]) if isinstance(element, T.StructType) else F.col(column)
+
+
 def group_events(nodes: DataFrame, lat: float, lon: float) -> DataFrame:
     """nodes(id, title, name, dateTime, eventUrl, link, venue_name, venue_lat, venue_lng, topics) -> flat fields."""
     venue = text.blank_to_null(F.col("venue_name"))
     return nodes.select(
         "doc_id", "pos", F.col("id").alias("source_event_id"), text.first_text(F.col("title"), F.col("name")).alias("title"), timex.iso_instant(F.col("dateTime")).alias("start_at"),
         text.first_text(F.col("eventUrl"), F.col("link")).alias("external_url"), venue.alias("venue_name"), F.coalesce("venue_lat", F.lit(lat)).alias("lat"), F.coalesce("venue_lng", F.lit(lon)).alias("lon"),
-        text.ordered_distinct(F.col("topics")).alias("tags"), F.when(venue.isNotNull(), 0.85).otherwise(0.6).alias("location_confidence"),
+        text.ordered_distinct(topic_names(nodes)).alias("tags"), F.when(venue.isNotNull(), 0.85).otherwise(0.6).alias("location_confidence"),
     ).where("title is not null and start_at is not null")
 
 
+# What stands behind 'at' as a venue, and a clock time.
+VENUE_AFTER_AT = r"\bat\s+([A-Z][A-Za-z0-9&' .-]{2,80}?)(?=\s+(?:this|next|on|tonight|tomorrow)\b|[,.!]|$)"
+POST_CLOCK = r"\b(\d{1,2})(?::(\d{2}))?\s*(am|pm)\b"
+TITLE_CHARS = 120
+
+
 def post_hints(posts: DataFrame, tz: str = timex.TZ) -> DataFrame:
     """posts(doc_id, text, posted_at) -> doc_id, title, venue_name, start_at: posts that announce, with a venue or a time.
 
-    Questions are no announcements. A weekday counts from the posting date, 19:00 without a time.
+    A post that begins with a question is a request. A weekday counts from the posting date ('next' adds a week on the same
+    weekday), then 'tomorrow'; else it is the posting date. 19:00 without a time.
     """
-    t = F.col("text")
+    t = text.collapse(F.coalesce("text", F.lit("")))
     low = F.lower(t)
-    question = F.trim(t).endswith("?") | low.rlike(r"^\s*(?:any(?:one|body)|where|what|who|when|how|is there|does|looking for)\b")
-    venue = F.nullif(F.trim(F.regexp_extract(t, r"\b(?:at|@)\s+(?:the\s+)?([A-Z][\w'&.-]*(?:\s+[A-Z][\w'&.-]*){0,4})", 1)), F.lit(""))
+    question = F.get(F.split(t, r"(?<=[.!?])\s", 2), F.lit(0)).endswith("?")
+    venue = F.nullif(F.regexp_replace(F.trim(F.regexp_extract(t, VENUE_AFTER_AT, 1)), "[.,]+$", ""), F.lit(""))
     posted = F.from_utc_timestamp("posted_at", tz).cast("date")
     weekday = F.coalesce(*[F.when(low.contains(d), i) for i, d in enumerate(text.WEEKDAYS)])
-    day = F.when(low.rlike(r"\b(?:tonight|today)\b"), posted).when(low.contains("tomorrow"), F.date_add(posted, 1)).when(weekday.isNotNull(), timex.relative_weekday(weekday, posted, low.contains("next ")))
-    clock = F.regexp_extract(t, r"(?i)\b(\d{1,2}(?::\d{2})?\s*(?:am|pm))\b", 1)
-    start = F.when(day.isNotNull(), timex.flexible_datetime(F.concat_ws(" ", day.cast("string"), clock), day, tz))
-    title = F.substring(F.trim(F.regexp_extract(t, r"(?s)^\s*(.+?)(?:[.!?]\s|\n|$)", 1)), 1, 120)
-    return posts.where(~question).select("doc_id", title.alias("title"), venue.alias("venue_name"), start.alias("start_at")).where("venue_name is not null or start_at is not null")
+    day = F.when(weekday.isNotNull(), timex.relative_weekday(weekday, posted, low.contains("next "))).when(low.contains("tomorrow"), F.date_add(posted, 1)).otherwise(posted)
+    part = lambda k: F.nullif(F.regexp_extract(low, POST_CLOCK, k), F.lit(""))
+    hour, half = part(1).cast("int"), part(3)
+    hour = F.when(hour.isNull(), 19).when((half == "pm") & (hour < 12), hour + 12).when((half == "am") & (hour == 12), 0).otherwise(hour)
+    local = F.try_make_timestamp_ntz(F.year(day), F.month(day), F.dayofmonth(day), hour, F.coalesce(part(2).cast("int"), F.lit(0)), F.lit(0))
+    title = F.trim(F.substring(F.substring_index(t, ".", 1), 1, TITLE_CHARS))
+    rows = posts.where(~question & (venue.isNotNull() | low.rlike(POST_CLOCK)) & (title != ""))
+    return rows.select("doc_id", title.alias("title"), venue.alias("venue_name"), F.to_utc_timestamp(local.cast("timestamp"), tz).alias("start_at"))
 
 
 def annotated_hints(posts: DataFrame, annotations: DataFrame, least: float = 0.5) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.scratch import written
+
 Extractor = Callable[[DataFrame], DataFrame]
 
 
@@ -37,3 +39,17 @@ class SourceRegistry:
         if out is None:
             raise ValueError("no source is registered")
         return out
+
+    def collect_each(self, documents: DataFrame) -> tuple[DataFrame | None, dict[str, str]]:
+        """The same, source by source: each is written by itself, so that one that fails is named with its error and the
+        others' rows are there."""
+        out, failed = None, {}
+        for name in self.names():
+            try:
+                rows = self._sources[name](documents.where(F.lower(F.trim("source_name")) == name)).withColumn("source_name", F.lit(name))
+                rows = written(rows, f"source-{name}")
+            except Exception as error:  # noqa: BLE001, an extractor may fail in any way
+                failed[name] = f"{type(error).__name__}: {error}"[:500]
+                continue
+            out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+        return out, failed

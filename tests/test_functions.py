@@ -106,9 +106,34 @@ def test_intents(spark):
     assert {tuple(r) for r in got} == set(rows)
 
 
-def test_distance(spark):
-    m = one(spark, geo.distance_m(F.lit(37.7749), F.lit(-122.4194), F.lit(37.8044), F.lit(-122.2712)))
-    assert 13_300 < m < 13_500
+@pytest.mark.parametrize(
+    "a, b, metres, within",
+    [
+        # degrees of the meridian and the equator on the ellipsoid, and a long line between two known cities
+        ((0.0, 0.0), (1.0, 0.0), 110_574.389, 0.5), ((0.0, 0.0), (0.0, 1.0), 111_319.491, 0.5), ((45.0, 7.0), (45.01, 7.0), 1_111.318, 0.05), ((60.0, 7.0), (60.0, 7.01), 558.000, 0.05),
+        ((37.7749, -122.4194), (37.7749, -122.4194), 0.0, 0.0), ((0.0, 179.995), (0.0, -179.995), 1_113.195, 0.05),
+    ],
+)
+def test_distance(spark, a, b, metres, within):
+    m = one(spark, geo.distance_m(*map(F.lit, (*a, *b))))
+    assert abs(m - metres) <= within
+
+
+@pytest.mark.parametrize("lat, lon", [(37.77, -122.42), (64.1, -21.9), (0.0, 179.999), (-54.8, -179.9999), (80.0, 10.0)])
+def test_cells_and_boxes_hold_the_circle(spark, lat, lon):
+    """Points around a circle of a mile are in its cells and its box, wherever it is."""
+    import math
+
+    points = []
+    for k in range(72):
+        for share in (0.5, 0.999):
+            d = share * geo.MILE_M / 111_400
+            x = lon + d * math.sin(k / 36 * math.pi) / math.cos(math.radians(lat))
+            points.append((lat + d * math.cos(k / 36 * math.pi), (x + 180) % 360 - 180))
+    df = spark.createDataFrame(points, "lat double, lon double").where(geo.distance_m(F.col("lat"), F.col("lon"), F.lit(lat), F.lit(lon)) <= geo.MILE_M)
+    cells = {tuple(c) for c in spark.range(1).select(geo.cells_within(F.lit(lat), F.lit(lon), geo.MILE_M).alias("c")).first()["c"]}
+    rows = df.select(geo.cell(F.col("lat"), F.col("lon")).alias("c"), geo.in_box(F.col("lat"), F.col("lon"), lat, lon, geo.MILE_M).alias("ok")).collect()
+    assert len(rows) > 60 and all(r["ok"] and tuple(r["c"]) in cells for r in rows)
 
 
 def test_wkt_round_trip(spark):
