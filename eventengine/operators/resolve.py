@@ -19,10 +19,11 @@ from pyspark.sql import types as T
 from ..functions import similarity, text
 from ..functions.text import STATUS_SEVERITY
 from ..schema import CANON
+from . import titles
 from .scratch import written
 
 WINDOW = timedelta(hours=2)
-TITLE_OVER, TOKENS_FROM = 85.0, 60.0
+TITLE_OVER, TOKENS_FROM = titles.OVER, 60.0
 RICHER = ["title", "description", "external_url", "venue_name", "raw_address", "image_url", "location", "source_event_id", "currency", "source_name", "organizer_name"]
 
 
@@ -49,18 +50,8 @@ def sessions(rows: DataFrame, by: list[str] | None = None, gap: timedelta = WIND
 
 
 def similar_titles(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Pairs (a, b) of titles within ``key`` with a similarity above the threshold.
-
-    The insert/delete distance is at least the edit distance and the difference of lengths, so that Spark's bounded edit
-    distance decides first, and the Arrow function sees survivors only. Pairs are formed between distinct titles.
-    """
-    titles = rows.select(*key, F.lower(F.trim("title")).alias("t")).distinct()
-    right = titles.withColumnRenamed("t", "u")
-    both = F.length("t") + F.length("u")
-    # the distance is 1 for every unit of difference in length, so that lengths differ by less than 15 in 100
-    bound = F.ceil(F.lit(1 - TITLE_OVER / 100) * both).cast("int")
-    near = titles.join(right, key).where((F.col("t") < F.col("u")) & (F.abs(F.length("t") - F.length("u")) < bound)).where(F.levenshtein("t", "u") < bound)
-    return near.where(similarity.title_similarity("t", "u") > TITLE_OVER).select(*key, F.col("t").alias("a"), F.col("u").alias("b"))
+    """rows(key, title) -> key, a, b: pairs of distinct titles within ``key`` with a similarity above the threshold."""
+    return titles.similar(rows.select(*key, titles.title_key(F.col("title")).alias("t")), None, key)
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -84,9 +75,9 @@ def duplicate_groups(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     cut = written(sessions(rows.select("ordinal", *by, "title", "venue_name", "external_url", "start_at"), by), "sessions")
     key = [*by, "session"]
     pairs = similar_titles(cut, key)
-    titles = cut.select(*key, "ordinal", F.lower(F.trim("title")).alias("t"))
-    least = titles.groupBy(*key, "t").agg(F.min("ordinal").alias("v"))
-    stars = [titles.join(least, [*key, "t"]).select(F.col("ordinal").alias("u"), "v")]
+    named = cut.select(*key, "ordinal", titles.title_key(F.col("title")).alias("t"))
+    least = named.groupBy(*key, "t").agg(F.min("ordinal").alias("v"))
+    stars = [named.join(least, [*key, "t"]).select(F.col("ordinal").alias("u"), "v")]
     for name, value in (("url", text.url_key(F.col("external_url"))), ("venue", F.nullif(text.venue_key(F.col("venue_name")), F.lit("")))):
         own = cut.select(*key, "ordinal", value.alias(name)).where(F.col(name).isNotNull())
         stars.append(own.join(own.groupBy(*key, name).agg(F.min("ordinal").alias("v")), [*key, name]).select(F.col("ordinal").alias("u"), "v"))
@@ -142,17 +133,13 @@ def merge(a: dict, b: dict) -> dict:
     return out
 
 
-def fold(rows: list[dict]) -> list[dict]:
-    """Greedy first match in input order, against the evolving representatives."""
-    out: list[dict] = []
-    for r in rows:
-        for k, e in enumerate(out):
-            if is_duplicate(e, r):
-                out[k] = merge(e, r) | {"ordinal": e["ordinal"], "members": e["members"] + 1}
-                break
-        else:
-            out.append(dict(r) | {"members": 1})
-    return out
+def add(held: list[dict], row: dict) -> None:
+    """Fold a row into the first representative that it repeats, or make it one."""
+    for k, e in enumerate(held):
+        if is_duplicate(e, row):
+            held[k] = merge(e, row) | {"ordinal": e["ordinal"], "members": e["members"] + 1}
+            return
+    held.append(row | {"members": 1})
 
 
 FOLDED = T.StructType([T.StructField("ordinal", T.LongType()), *CANON.fields, T.StructField("members", T.IntegerType())])
@@ -160,34 +147,44 @@ FOLDED = T.StructType([T.StructField("ordinal", T.LongType()), *CANON.fields, T.
 
 def dedupe(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Canonical rows with ordinal -> one row for each cluster, with the ordinal of its first and the number of its members."""
-    groups = duplicate_groups(rows, by)
-    placed = rows.select("ordinal", *CANON.fieldNames()).join(groups, "ordinal")
-    sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
-    placed = placed.join(sizes, "component")
-    alone = placed.where("n = 1").select("ordinal", *CANON.fieldNames(), F.lit(1).alias("members"))
+    placed = rows.select("ordinal", *CANON.fieldNames()).join(duplicate_groups(rows, by), "ordinal")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("ordinal")[["ordinal", *CANON.fieldNames()]].to_dict("records")
-        return pd.DataFrame(fold(rows), columns=FOLDED.fieldNames())
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # components come one after another, in input order; only the representatives of one are held
+        of, held = None, []
+        for pdf in batches:
+            done = []
+            for component, row in zip(pdf["component"], pdf.drop(columns="component").to_dict("records"), strict=True):
+                if component != of:
+                    done += held
+                    of, held = component, []
+                add(held, row)
+            yield pd.DataFrame(done, columns=FOLDED.fieldNames())
+        yield pd.DataFrame(held, columns=FOLDED.fieldNames())
 
-    return alone.unionByName(placed.where("n > 1").drop("n").groupBy("component").applyInPandas(run, FOLDED))
+    return placed.repartition("component").sortWithinPartitions("component", "ordinal").select("component", "ordinal", *CANON.fieldNames()).mapInPandas(run, FOLDED)
 
 
 def match_stored(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """incoming(ordinal), stored(id) -> ordinal, id: the best stored row by the duplicate rule, least id on ties.
 
-    Starts are put into two-hour buckets; a stored row stands in its bucket, an incoming one looks into three.
+    Starts are put into two-hour buckets; a stored row stands in its bucket, an incoming one looks into three. Within a
+    bucket rows meet by the same URL, the same venue or a similar title, three equi-joins; ratios are worked out for those.
     """
     width = int(WINDOW.total_seconds())
     bucket = F.floor(F.unix_seconds("start_at") / width)
-    left = incoming.select("ordinal", "title", "venue_name", "external_url", "start_at", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
-    right = stored.select("id", *[F.col(c).alias(f"s_{c}") for c in ("title", "venue_name", "external_url", "start_at")], bucket.alias("bucket"))
-    near = left.join(right, "bucket").where(F.abs(F.unix_micros("start_at") - F.unix_micros("s_start_at")) <= width * 1_000_000)
-    scored = near.withColumn("ratio", similarity.title_similarity("title", "s_title")).withColumn("tokens", similarity.token_set_similarity("title", "s_title"))
-    same_url = F.coalesce(text.url_key(F.col("external_url")) == text.url_key(F.col("s_external_url")), F.lit(False))
-    venue = text.venue_key(F.col("venue_name"))
-    same_venue = (venue != "") & (venue == text.venue_key(F.col("s_venue_name")))
-    hit = scored.where(same_url | (F.col("ratio") > TITLE_OVER) | (same_venue & (F.col("tokens") >= TOKENS_FROM)))
+    url, venue = text.url_key(F.col("external_url")).alias("url"), F.nullif(text.venue_key(F.col("venue_name")), F.lit("")).alias("venue")
+    fields = ["title", "start_at", url, venue, titles.title_key(F.col("title")).alias("t")]
+    left = written(incoming.select("ordinal", *fields, F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket")), "incoming")
+    right = written(stored.select("id", *fields, bucket.alias("bucket")).toDF("id", "s_title", "s_start_at", "url", "venue", "t", "bucket"), "stored")
+    alike = titles.similar(left, right, ["bucket"])
+    close = F.abs(F.unix_micros("start_at") - F.unix_micros("s_start_at")) <= width * 1_000_000
+    by_title = left.join(alike.withColumnRenamed("a", "t"), ["bucket", "t"]).join(right.select("bucket", F.col("t").alias("b"), "id", "s_title", "s_start_at"), ["bucket", "b"])
+    met = [by_title, left.join(right.select("bucket", "url", "id", "s_title", "s_start_at"), ["bucket", "url"]), left.join(right.select("bucket", "venue", "id", "s_title", "s_start_at"), ["bucket", "venue"])]
+    found = [m.where(close).select("ordinal", "id", "title", "s_title", F.lit(rule).alias("rule")) for m, rule in zip(met, ("title", "url", "venue"), strict=True)]
+    pairs = found[0].unionByName(found[1]).unionByName(found[2]).groupBy("ordinal", "id").agg(F.first("title").alias("title"), F.first("s_title").alias("s_title"), F.bool_or(F.col("rule") != "venue").alias("sure"))
+    scored = pairs.withColumn("ratio", similarity.title_similarity("title", "s_title")).withColumn("tokens", similarity.token_set_similarity("title", "s_title"))
+    hit = scored.where(F.col("sure") | (F.col("tokens") >= TOKENS_FROM))
     best = Window.partitionBy("ordinal").orderBy(F.greatest("ratio", "tokens").desc(), "id")
     return hit.withColumn("r", F.row_number().over(best)).where("r = 1").select("ordinal", "id")
 

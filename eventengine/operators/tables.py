@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import resolve
+from .scratch import written
+
 
 def write_version(df: DataFrame, base: str, version: int, partition_by: str | None = None) -> str:
     path = f"{base.rstrip('/')}/v={version}"
@@ -20,3 +23,15 @@ def by_start_date(events: DataFrame) -> DataFrame:
 
 def read_version(spark: SparkSession, base: str, version: int) -> DataFrame:
     return spark.read.parquet(f"{base.rstrip('/')}/v={version}")
+
+
+def load_batch(incoming: DataFrame, base: str, version: int) -> DataFrame:
+    """Upsert canonical rows with ordinal into a version of the table, write the next version, and tell in one row what
+    was inserted, updated and skipped, and how many rows repeated others of the batch. The same call writes the same."""
+    table, actions = resolve.upsert(incoming, read_version(incoming.sparkSession, base, version))
+    actions = written(actions, "actions")
+    write_version(table, base, version + 1)
+    count = lambda kind: F.count_if(F.col("action") == kind)
+    total = incoming.agg(F.count("*").alias("n"))
+    told = actions.agg(count("insert").alias("inserted"), count("update").alias("updated"), count("skip").alias("skipped"), F.count("*").alias("acted"))
+    return told.crossJoin(total).select("inserted", "updated", "skipped", (F.col("n") - F.col("acted")).alias("deduped"))
