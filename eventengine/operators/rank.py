@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import money, text
 from .profile import profiles
+from .scratch import written
 from .search import people_interested
 
 # Fixed values.
@@ -36,11 +37,11 @@ def tag_scores(events: DataFrame, preferred: DataFrame, profile: DataFrame, by:
 
 
 def penalised(scored: DataFrame, by: list[str]) -> DataFrame:
-    """total_score less the penalty where the primary category repeats that of the row before, in score order."""
+    """total_score less the penalty where the primary category repeats that of the row before, in score order; and repeat."""
     order = Window.partitionBy(*by).orderBy(F.desc("total_score"), "start_at", "id")
     first = F.get("categories", F.lit(0))
-    repeat = F.coalesce(first == F.lag(first).over(order), F.lit(False))
-    return scored.withColumn("total_score", F.col("total_score") - F.when(repeat, PENALTY).otherwise(0.0))
+    marked = scored.withColumn("repeat", F.coalesce(first == F.lag(first).over(order), F.lit(False)))
+    return marked.withColumn("total_score", F.col("total_score") - F.when(F.col("repeat"), PENALTY).otherwise(0.0))
 
 
 def components(pairs: DataFrame, counts: DataFrame, as_of: Column) -> DataFrame:
@@ -51,42 +52,99 @@ def components(pairs: DataFrame, counts: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def score_events(events: DataFrame, users: DataFrame, preferred: DataFrame, profile: DataFrame, counts: DataFrame, as_of: Column, by: str = "user_id", candidates_only: bool = False) -> DataFrame:
-    """A ranked row for each user and event.
+def score_events(events: DataFrame, preferred: DataFrame, profile: DataFrame, counts: DataFrame, as_of: Column, least: int) -> DataFrame:
+    """The ``least`` best events for one user, matching or not, with their scores after the penalty.
 
-    The penalty looks at all events in a user's order, so that exact scores need every pair of a user and an upcoming
-    event; that is the output's own size. ``candidates_only`` keeps to pairs that share a tag, for catalogues where it is
-    too large; there, events without a shared tag no longer break runs.
+    preferred(user_id, tag) and profile(user_id, tag, score) are that user's. The head of the order is taken deeper until
+    it holds ``least`` events without a penalty: nothing behind these can come before them.
     """
-    vibe = tag_scores(events, preferred, profile, by)
-    few = events.select("id", "title", "start_at", "categories", "created_at")
-    if candidates_only:
-        pairs = vibe.join(few, "id")
-    else:
-        every = users.select(by).distinct().withColumn("__one", F.lit(1)).join(few.withColumn("__one", F.lit(1)), "__one").drop("__one")
-        pairs = every.join(vibe, [by, "id"], "left")
-    pairs = pairs.withColumn("vibe_score", F.coalesce("vibe_score", F.lit(0.0))).withColumn("matched_tags", F.coalesce("matched_tags", F.array().cast("array<string>")))
-    return penalised(components(pairs, counts, as_of), [by])
-
-
-def recommend(events: DataFrame, users: DataFrame, signals: DataFrame, as_of: Column, limit: int = 25, offset: int = 0, candidates_only: bool = False) -> DataFrame:
-    """users(user_id, preferred_vibes) -> the page of each user's recommendations, with rank and rounded match score.
+    vibe = tag_scores(events, preferred, profile).drop("user_id")
+    joined = events.join(vibe, "id", "left").withColumn("vibe_score", F.coalesce("vibe_score", F.lit(0.0))).withColumn("matched_tags", F.coalesce("matched_tags", F.array().cast("array<string>")))
+    scored, depth = written(components(joined, counts, as_of), "scored"), 2 * least + 16
+    while True:
+        order = [F.desc("total_score"), F.asc("start_at"), F.asc("id")]
+        # at most ``depth`` rows in one window
+        head = written(penalised(scored.orderBy(*order).limit(depth), []).withColumn("penalty", F.col("repeat").cast("int")), "head")
+        n, hit = head.agg(F.count("*"), F.coalesce(F.sum("penalty"), F.lit(0))).collect()[0]
+        if n < depth or n - hit >= least:
+            return head.drop("penalty", "repeat").orderBy(*order).limit(least)
+        depth *= 4
+
+
+def best_matches(events: DataFrame, preferred: DataFrame, profile: DataFrame, counts: DataFrame, as_of: Column, least: int, by: str = "user_id") -> DataFrame:
+    """by, id, vibe_score, matched_tags, the other scores, total_score and rank of the ``least`` best matching events of each.
+
+    The penalty looks at the event before in a user's order of *all* events, but no pair of a user and an event is made
+    beyond a depth. Events with the same tags have the same vibe for a user, so that tags are matched with users once for
+    each distinct list of tags, and within a list all users share one order. The first ``depth`` matches of a user are among
+    the heads of the lists, and the unmatched ones come from the common order of all events. Down to there the order is
+    whole; once it holds ``least`` matches without a penalty, nothing behind them can come before them. Users for whom it
+    does not are taken up again, four times as deep. Totals are rounded at nine digits, so that equal ones tie.
+    """
+    few = events.select("id", "start_at", "created_at", "tags", F.get("categories", F.lit(0)).alias("category"))
+    plain = components(few.withColumn("vibe_score", F.lit(0.0)), counts, as_of)
+    lists = plain.where("size(tags) > 0").groupBy("tags").agg(F.min("id").alias("list"), F.count("*").alias("size"))
+    listed = plain.join(lists, "tags", "left").select("id", "start_at", "category", "list", "size", "popularity_score", "freshness_score", F.round("total_score", 9).alias("base"))
+    listed = written(listed, "scored")
+    vibes = tag_scores(lists.select(F.col("list").alias("id"), "tags"), preferred, profile, by).withColumnRenamed("id", "list")
+    heads = listed.groupBy("list").agg(F.min(F.struct((-F.col("base")).alias("b"), "start_at", "id")).alias("head"), F.max("size").alias("size"))
+    first = F.struct((F.col("head.b") - VIBE * F.col("vibe_score")).alias("t"), "head.start_at", "head.id")
+    vibes = written(vibes.join(heads, "list").select(by, "list", "size", "vibe_score", "matched_tags", first.alias("first")), "vibes")
+    n_events, open_users, depth, found = listed.count(), vibes.select(by).distinct(), least + 16, None
+    order = [F.desc("total"), F.asc("start_at"), F.asc("id")]
+    while True:
+        mine = vibes.join(open_users, by, "left_semi")
+        mine = mine.withColumn("all", F.sum("size").over(Window.partitionBy(by))).withColumn("r", F.row_number().over(Window.partitionBy(by).orderBy("first"))).where(F.col("r") <= depth)
+        place = Window.partitionBy("list").orderBy(F.desc("base"), "start_at", "id")
+        tops = listed.where("list is not null").withColumn("n", F.row_number().over(place)).where(F.col("n") <= depth)
+        # before the heads of r - 1 lists there is no room for more than depth - r + 1 of the next
+        total = F.round(VIBE * F.col("vibe_score") + F.col("base"), 9)
+        hits = mine.join(tops.drop("size"), "list").where(F.col("n") + F.col("r") <= depth + 1).select(by, "list", "id", "start_at", "category", total.alias("total"), F.lit(1).alias("hit"), "all")
+        wide = 4 * depth
+        common = listed.orderBy(F.desc("base"), "start_at", "id").limit(wide).select("id", "start_at", "category", "list", F.col("base").alias("total"))
+        common = written(common.withColumn("g", F.row_number().over(Window.orderBy(*order))), "common")  # at most ``wide`` rows
+        each = open_users.select(by, F.explode(F.sequence(F.lit(1), F.lit(wide))).alias("g"))
+        others = each.join(common, "g").join(vibes.select(by, "list"), [by, "list"], "left_anti").select(by, "list", "id", "start_at", "category", "total", F.lit(0).alias("hit"), F.lit(None).cast("long").alias("all"))
+        end = common.where(F.col("g") == wide).collect() if n_events > wide else []
+        merged = Window.partitionBy(by).orderBy(*order)
+        rows = hits.unionByName(others).withColumn("seen", F.sum("hit").over(merged)).withColumn("before", F.lag("category").over(merged))
+        rows = rows.where(F.col("seen") <= depth)
+        if end:
+            last = F.struct(F.lit(-end[0]["total"]).alias("t"), F.lit(end[0]["start_at"]).alias("s"), F.lit(end[0]["id"]).alias("i"))
+            rows = rows.where(F.struct((-F.col("total")).alias("t"), F.col("start_at").alias("s"), F.col("id").alias("i")) <= last)
+        repeat = F.coalesce(F.col("category") == F.col("before"), F.lit(False))
+        rows = rows.where("hit = 1").select(by, "list", "id", "start_at", "all", repeat.alias("repeat"), (F.col("total") - F.when(repeat, PENALTY).otherwise(0.0)).alias("total"))
+        clean = F.count_if(~F.col("repeat")).over(Window.partitionBy(by))
+        # whole when no list was cut
+        whole = F.lit(False) if end else F.col("all") <= depth
+        rows = rows.withColumn("done", (clean >= least) | whole).withColumn("rank", F.row_number().over(merged)).where(F.col("rank") <= least)
+        rows = written(rows, "ranked")
+        done = rows.where("done").drop("done", "repeat", "all")
+        found = done if found is None else found.unionByName(done)
+        open_users = written(open_users.join(rows.where("done").select(by).distinct(), by, "left_anti"), "open")
+        if open_users.isEmpty():
+            break
+        depth *= 4
+    scores = listed.select("id", "popularity_score", "freshness_score")
+    felt = vibes.select(by, "list", "vibe_score", "matched_tags")
+    return found.withColumnRenamed("total", "total_score").join(felt, [by, "list"]).join(scores, "id").drop("list")
+
+
+def recommend(events: DataFrame, users: DataFrame, signals: DataFrame, as_of: Column, limit: int = 25, offset: int = 0) -> DataFrame:
+    """users(user_id, preferred_vibes) -> the page of each user's recommendations, with rank and the whole-numbered match score.
 
     Users without preferences and profile get none, nor does an event without a match.
     """
     upcoming = events.where(F.col("start_at") >= as_of)
-    profile = profiles(signals, events, as_of)
     preferred = users.select("user_id", F.explode("preferred_vibes").alias("tag"))
-    active = preferred.select("user_id").union(profile.select("user_id")).distinct()
-    scored = score_events(upcoming, users.join(active, "user_id", "left_semi"), preferred, profile, people_interested(signals), as_of, candidates_only=candidates_only)
-    kept = scored.where((F.col("vibe_score") > 0) | (F.size("matched_tags") > 0))
-    order = Window.partitionBy("user_id").orderBy(F.desc("total_score"), "start_at", "id")
-    ranked = kept.withColumn("rank", F.row_number().over(order)).where((F.col("rank") > offset) & (F.col("rank") <= offset + limit))
-    return ranked.withColumn("match_score", F.bround("total_score", 2))
+    profile = profiles(signals, events, as_of).join(users.select("user_id"), "user_id", "left_semi")
+    best = best_matches(upcoming, preferred, profile, people_interested(signals), as_of, limit + offset)
+    page = best.where((F.col("rank") > offset) & (F.col("rank") <= offset + limit)).drop("start_at")
+    return page.withColumn("match_score", F.bround("total_score").cast("int")).join(upcoming.select("id", "title", "start_at", "categories"), "id")
 
 
 def rank_without_user(events: DataFrame, counts: DataFrame, as_of: Column) -> DataFrame:
-    """Popularity and freshness alone; start and id break ties."""
+    """Popularity and freshness alone, of equal weight; start and id break ties."""
     joined = events.join(counts.withColumnRenamed("event_id", "id"), "id", "left")
-    score = money.popularity_score(F.coalesce("people_interested", F.lit(0))) * POPULARITY + money.freshness(F.col("created_at"), as_of) * FRESHNESS
-    return joined.withColumn("total_score", score).orderBy(F.desc("total_score"), "start_at", "id")
+    scored = joined.withColumn("popularity_score", money.popularity_score(F.coalesce("people_interested", F.lit(0)))).withColumn("freshness_score", money.freshness(F.col("created_at"), as_of))
+    return scored.withColumn("total_score", F.col("popularity_score") + F.col("freshness_score")).orderBy(F.desc("total_score"), "start_at", "id")
