@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+from datetime import timedelta
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .resolve import sessions
 
 
 def run_health(runs: DataFrame, history: int = 5, least_mean: float = 10.0) -> DataFrame:
@@ -64,18 +72,31 @@ def quota(snapshots: DataFrame, least_active: int = 1) -> DataFrame:
 
 def throttle(requests: DataFrame, limit: int, seconds: float) -> DataFrame:
     """requests(key, at, …) with ``admitted``: at most ``limit`` admitted ones in any ``seconds``; refused ones do not count.
+    A limit of 0 admits all; so are requests without a key or a time.
 
-    The state of a key is the list of its admitted times in the window, folded in the order of time.
+    A pause of ``seconds`` empties a key's window, so that runs between pauses are streamed in the order of time, each
+    holding at most ``limit`` admitted times. Requests at one time are taken in the order of their other columns.
     """
     micros = int(seconds * 1e6)
-    listed = requests.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(F.unix_micros("at").alias("t"), F.struct(*[c for c in requests.columns if c != "key"]).alias("r")))).alias("xs"))
-    start = F.struct(F.array().cast("array<bigint>").alias("w"), F.array().cast("array<boolean>").alias("ok"))
-
-    def step(acc, x):
-        live = F.filter(acc["w"], lambda t: t > x["t"] - micros)
-        free = F.size(live) < limit
-        return F.struct(F.when(free, F.concat(live, F.array(x["t"]))).otherwise(live).alias("w"), F.concat(acc["ok"], F.array(free)).alias("ok"))
-
-    ok = F.aggregate("xs", start, step, lambda acc: acc["ok"])
-    rows = listed.select("key", F.explode(F.arrays_zip(F.transform("xs", lambda x: x["r"]).alias("r"), ok.alias("ok"))).alias("z"))
-    return rows.select("key", "z.r.*", F.col("z.ok").alias("admitted"))
+    rest = [c for c in requests.columns if c not in ("key", "at")]
+    runs = sessions(requests.withColumnRenamed("at", "start_at"), ["key"], timedelta(seconds=seconds)).withColumn("t", F.unix_micros("start_at"))
+    rows = runs.repartition("key", "session").sortWithinPartitions("key", "session", "t", *rest).select("key", F.col("start_at").alias("at"), *rest, "session", "t")
+    schema = T.StructType([requests.schema["key"], requests.schema["at"], *(requests.schema[c] for c in rest), T.StructField("admitted", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, live = None, deque()
+        for batch in batches:
+            admitted = []
+            for key, session, t in zip(batch.column(0).to_pylist(), batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                if (key, session) != of:
+                    of, live = (key, session), deque()
+                while live and live[0] <= t - micros:
+                    live.popleft()
+                admitted.append(limit <= 0 or len(live) < limit)
+                if admitted[-1] and limit > 0:
+                    live.append(t)
+            kept = batch.num_columns - 2
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(admitted, pa.bool_())], [*batch.schema.names[:kept], "admitted"])
+
+    keyless = requests.where("key is null or at is null").withColumn("admitted", F.lit(True))
+    return rows.mapInArrow(run, schema).select(*requests.columns, "admitted").unionByName(keyless)

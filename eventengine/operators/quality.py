@@ -82,6 +82,11 @@ def volume_by_weekday(rows: DataFrame, tz: str = timex.TZ) -> DataFrame:
     return rows.groupBy(F.weekday(F.from_utc_timestamp("start_at", tz)).alias("weekday")).agg(F.count("*").alias("n"))
 
 
+def private_locations(rows: DataFrame, by: str = "source_name") -> DataFrame:
+    """Rows of each source whose place is told to guests only."""
+    return rows.groupBy(by).agg(F.count_if("private_location").alias("private_locations"), F.count("*").alias("n"))
+
+
 def event_yield(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.col("is_event").cast("int")).alias("events"), F.avg(F.col("is_event").cast("double")).alias("share"))
 

@@ -39,9 +39,14 @@ def my_folders(folders: DataFrame, members: DataFrame) -> DataFrame:
     return visible(folders, members).join(folders, "folder_id").orderBy("user_id", F.desc("updated_at"), "folder_id")
 
 
+def valid_token(token: Column) -> Column:
+    """Sixteen characters or more, letters, digits, - and _ only."""
+    return F.coalesce(token.rlike(r"^[A-Za-z0-9_-]{16,}$"), F.lit(False))
+
+
 def accept(invites: DataFrame, accepts: DataFrame, folders: DataFrame, members: DataFrame, as_of: Column) -> DataFrame:
     """accepts(token, user_id) of live invites -> new memberships; owners and members get none."""
     until = timex.expires_at(F.col("created_at"), F.col("ttl_days"))
-    live = invites.where(~F.coalesce("revoked", F.lit(False)) & (until.isNull() | (until > as_of)) & F.col("token").rlike(r"^[\w-]{16,}$"))
+    live = invites.where(~F.coalesce("revoked", F.lit(False)) & (until.isNull() | (until > as_of)) & valid_token(F.col("token")))
     asked = accepts.join(live.select("token", "folder_id"), "token").select("folder_id", "user_id").distinct()
     return asked.join(visible(folders, members), ["folder_id", "user_id"], "left_anti")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, money, similarity, text, timex
-from ..operators import digest, health, itinerary, profile, quality, rank, resolve, scratch, search, social
+from ..operators import digest, geocode, health, itinerary, profile, quality, rank, resolve, scratch, search, social
 from ..schema import CANON
 from ..sources import markup, payloads
 from ..streaming import jobs
@@ -18,8 +18,14 @@ from .bindings import AS_OF, CANON_SQL, INTEREST_SQL, RUNS_SQL, SIGNALS_SQL, VIB
 NOW = datetime.fromisoformat(AS_OF)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-# Great-circle metres from a fixed point, as in functions.geo.
-_DIST = f"2 * {geo.EARTH_M} * asin(sqrt(least(pow(sin(radians({{lat0}} - {{lat}}) / 2), 2) + cos(radians({{lat}})) * cos(radians({{lat0}})) * pow(sin(radians({{lon0}} - {{lon}}) / 2), 2), 1.0)))"
+def _dist(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    """Metres on the ellipsoid, as in functions.geo."""
+    b1, b2 = (f"atan({1 - geo.FLAT!r}::DOUBLE * tan(radians({x})))" for x in (lat1, lat2))
+    h = f"least(pow(sin(({b2} - {b1}) / 2), 2) + cos({b1}) * cos({b2}) * pow(sin(radians({lon2} - {lon1}) / 2), 2), 1.0::DOUBLE)"
+    a = f"(2 * asin(sqrt({h})))"
+    x = f"({a} - sin({a})) * pow(sin(({b1} + {b2}) / 2) * cos(({b2} - {b1}) / 2), 2) / (1 - {h})"
+    y = f"({a} + sin({a})) * pow(cos(({b1} + {b2}) / 2) * sin(({b2} - {b1}) / 2), 2) / {h}"
+    return f"CASE WHEN {h} = 0 THEN 0.0::DOUBLE ELSE {geo.EARTH_M!r}::DOUBLE * ({a} - {geo.FLAT / 2!r}::DOUBLE * ({x} + {y})) END"
 
 
 def query(sql: str | None = None):
@@ -34,7 +40,7 @@ def query(sql: str | None = None):
 
 @query(f"""
     WITH {CANON_SQL}, {SIGNALS_SQL}, {INTEREST_SQL},
-    near AS (SELECT *, {_DIST.format(lat="lat", lon="lon", lat0="37.7749", lon0="-122.4194")} AS m FROM canon WHERE start_at >= TIMESTAMP '{AS_OF}')
+    near AS (SELECT *, {_dist("lat", "lon", "37.7749::DOUBLE", "-122.4194::DOUBLE")} AS m FROM canon WHERE start_at >= TIMESTAMP '{AS_OF}')
     SELECT id, title, venue_name, round_even(m / 1609.34, 2) AS distance_miles, coalesce(people_interested, 0) AS people_interested
     FROM (SELECT * FROM near WHERE m <= 2 * 1609.34 AND location_confidence >= 0.5 ORDER BY m, id LIMIT 200) LEFT JOIN pop ON event_id = id
 """)
@@ -73,13 +79,22 @@ def category_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canon_events(spark, sf_dir).where(search.in_category("Eco")).select("id", F.get("categories", F.lit(0)).alias("category"))
 
 
-@query("""
-    WITH terms AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '' AND w NOT IN ('a','an','and','are','as','at','be','by','for','from','in','is','it','of','on','or','that','the','this','to','was','with')))) AS w FROM documents),
-    stems AS (SELECT DISTINCT doc_id, CASE WHEN length(w) >= 6 AND w LIKE '%ing' THEN left(w, length(w) - 3) WHEN length(w) >= 5 AND (w LIKE '%ed' OR w LIKE '%es') AND NOT (length(w) >= 6 AND w LIKE '%ing') THEN left(w, length(w) - 2) WHEN length(w) >= 4 AND w LIKE '%s' THEN left(w, length(w) - 1) ELSE w END AS s FROM terms)
-    SELECT s AS term, count(*) AS docs FROM stems GROUP BY s
+_STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+
+
+@query(f"""
+    WITH w AS (SELECT doc_id, unnest(list_distinct(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'))) AS word FROM documents)
+    SELECT word, count(*) AS docs FROM w WHERE word <> '' AND word NOT IN ({_STOP}) GROUP BY word
 """)
+def text_index_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the documents before stemming, by document frequency."""
+    words = table(spark, sf_dir, "documents").select(F.explode(text.terms(F.col("text"))).alias("word"))
+    return words.groupBy("word").agg(F.count("*").alias("docs"))
+
+
+@query()
 def text_index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The inverted index of the documents, by document frequency."""
+    """The inverted index of the documents by English stems, by document frequency."""
     return search.inverted_index(table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("term").agg(F.count("*").alias("docs"))
 
 
@@ -118,17 +133,17 @@ _SCORED_SQL = f"""
 
 @query(f"""
     WITH {CANON_SQL}, {SIGNALS_SQL}, {INTEREST_SQL}, {_PROFILE_SQL}, {_SCORED_SQL}
-    SELECT user_id, id, rank, round(final, 4) AS match_score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY final DESC, start_at, id) AS rank FROM pen WHERE vibe > 0) WHERE rank <= 25
+    SELECT user_id, id, rank, CAST(round_even(final, 0) AS INT) AS match_score, round(final, 4) AS total_score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY final DESC, start_at, id) AS rank FROM pen WHERE vibe > 0) WHERE rank <= 25
 """)
 def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best 25 events of each user, exact: the penalty sees every upcoming event."""
     rows = rank.recommend(canon_events(spark, sf_dir), users(spark, sf_dir), user_signals(spark, sf_dir), as_of(), limit=25)
-    return rows.select("user_id", "id", F.col("rank").cast("long").alias("rank"), F.round("total_score", 4).alias("match_score"))
+    return rows.select("user_id", "id", F.col("rank").cast("long").alias("rank"), "match_score", F.round("total_score", 4).alias("total_score"))
 
 
 @query(f"""
     WITH {CANON_SQL}, {SIGNALS_SQL}, {INTEREST_SQL}
-    SELECT id, least(coalesce(people_interested, 0) * 10.0, 100.0) * 0.25 + CASE WHEN age <= 24 THEN 100.0 WHEN age <= 48 THEN 75.0 WHEN age <= 168 THEN 50.0 ELSE 25.0 END * 0.15 AS total_score
+    SELECT id, CAST(least(coalesce(people_interested, 0) * 10.0, 100.0) + CASE WHEN age <= 24 THEN 100.0 WHEN age <= 48 THEN 75.0 WHEN age <= 168 THEN 50.0 ELSE 25.0 END AS DOUBLE) AS total_score
     FROM (SELECT *, (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(created_at)) / 3600e6 AS age FROM canon) LEFT JOIN pop ON event_id = id
 """)
 def rank_without_user(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +153,7 @@ def rank_without_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
     WITH {CANON_SQL},
     pairs AS (
-        SELECT a.id AS anchor_id, b.id AS id, {_DIST.format(lat="b.lat", lon="b.lon", lat0="a.lat", lon0="a.lon")} AS m, a.start_at AS a_start, b.start_at AS b_start
+        SELECT a.id AS anchor_id, b.id AS id, {_dist("b.lat", "b.lon", "a.lat", "a.lon")} AS m, a.start_at AS a_start, b.start_at AS b_start
         FROM canon a JOIN canon b ON b.id <> a.id AND b.source_tier >= 3 AND CAST(a.start_at AS DATE) = CAST(b.start_at AS DATE) WHERE a.source_tier <= 2
     ),
     near AS (SELECT *, min(m) OVER (PARTITION BY anchor_id) AS least_m FROM pairs WHERE m <= 1609.34)
@@ -149,7 +164,7 @@ def supports_near_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = canon_events(spark, sf_dir)
     day = F.date_trunc("day", "start_at")
     chosen = ev.where("source_tier <= 2").withColumns({"request_id": F.col("id"), "window_start": day, "window_end": day + F.expr("INTERVAL '1' DAY") - F.expr("INTERVAL '0.000001' SECOND")})
-    near = itinerary.supports(chosen, ev, limit=1_000_000)
+    near = itinerary.supports(chosen, ev, limit=None)
     return near.groupBy(F.col("request_id").alias("anchor_id")).agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
@@ -204,7 +219,16 @@ def baseline_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.baseline_drop(daily).withColumn("baseline", F.round("baseline", 9))
 
 
-@query()
+@query("""
+    WITH RECURSIVE r AS (SELECT user_id AS key, ts AS "at", event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    s AS (
+        SELECT key, "at", event_id, n, true AS admitted, ["at"] AS live FROM r WHERE n = 1
+        UNION ALL
+        SELECT key, "at", event_id, n, len(before) < 5, CASE WHEN len(before) < 5 THEN list_append(before, "at") ELSE before END
+        FROM (SELECT r.*, list_filter(s.live, lambda t: t > r."at" - INTERVAL 1 HOUR) AS before FROM s JOIN r ON r.key = s.key AND r.n = s.n + 1)
+    )
+    SELECT key, "at", event_id, admitted FROM s
+""")
 def admitted_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests of each user under a limit of five admitted ones an hour."""
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("ts").alias("at"), "event_id")
@@ -289,7 +313,7 @@ def interval_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
     WITH {CANON_SQL}
     SELECT id, lower(trim(string_split(venue_name, '(')[1])) AS venue_key, regexp_replace(trim(external_url), '/+$', '') AS url_key,
-           CASE WHEN is_free OR price = 0 THEN 'Free' WHEN price = floor(price) THEN '$' || CAST(CAST(price AS BIGINT) AS VARCHAR) ELSE '$' || printf('%.2f', price) END AS price_label,
+           CASE WHEN is_free THEN 'Free' WHEN price IS NULL THEN 'price TBA' WHEN price = floor(price) THEN '$' || CAST(CAST(price AS BIGINT) AS VARCHAR) ELSE '$' || printf('%.2f', price) END AS price_label,
            least(attendee / 500.0, 1.0) AS popularity, 'POINT(' || lon || ' ' || lat || ')' AS location
     FROM (SELECT *, CAST(id % 50 AS INT) AS attendee FROM canon)
 """)
@@ -299,14 +323,22 @@ def row_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-    WITH {CANON_SQL}
-    SELECT id, extract(hour FROM start_at - INTERVAL 8 HOUR) AS local_hour, isodow(start_at - INTERVAL 8 HOUR) - 1 AS weekday, start_at + INTERVAL 3 DAY AS expires_at
-    FROM canon WHERE start_at < TIMESTAMP '2024-03-10 10:00:00'
+    WITH {CANON_SQL},
+    -- summer time runs from the second Sunday of March to the first Sunday of November, switching at 10:00 and 09:00 UTC
+    y AS (
+        SELECT year, m + to_days(CAST((7 - isodow(m)) % 7 + 7 AS INT)) + INTERVAL 10 HOUR AS summer, n + to_days(CAST((7 - isodow(n)) % 7 AS INT)) + INTERVAL 9 HOUR AS winter
+        FROM (SELECT year, make_timestamp(year, 3, 1, 0, 0, 0.0) AS m, make_timestamp(year, 11, 1, 0, 0, 0.0) AS n FROM (SELECT DISTINCT year(start_at) AS year FROM canon))
+    ),
+    l AS (SELECT id, start_at, start_at - CASE WHEN start_at >= summer AND start_at < winter THEN INTERVAL 7 HOUR ELSE INTERVAL 8 HOUR END AS local FROM canon JOIN y ON year = year(start_at))
+    SELECT id, extract(hour FROM local) AS local_hour, isodow(local) - 1 AS weekday, start_at + INTERVAL 3 DAY AS expires_at,
+           strftime(local, '%a %b %-d ') || lower(strftime(local, '%-I:%M%p')) AS said_when, strftime(local, '%-I:%M %p') AS said_time, strftime(local, '%a, %b %-d') AS said_day
+    FROM l
 """)
 def local_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Local hour and weekday, while the local zone is eight hours behind."""
-    ev = canon_events(spark, sf_dir).where(F.col("start_at") < F.lit("2024-03-10 10:00:00").cast("timestamp"))
-    return ev.select("id", timex.local_hour(F.col("start_at")).cast("long").alias("local_hour"), F.weekday(F.from_utc_timestamp("start_at", timex.TZ)).cast("long").alias("weekday"), timex.expires_at(F.col("start_at"), F.lit(3)).alias("expires_at"))
+    """Local hours, weekdays and labels of all starts, over the changes of the clock."""
+    at = F.col("start_at")
+    local = [timex.local_hour(at).cast("long").alias("local_hour"), F.weekday(F.from_utc_timestamp(at, timex.TZ)).cast("long").alias("weekday"), timex.expires_at(at, F.lit(3)).alias("expires_at")]
+    return canon_events(spark, sf_dir).select("id", *local, timex.local_when(at).alias("said_when"), timex.local_clock(at).alias("said_time"), timex.local_day(at).alias("said_day"))
 
 
 @query("""
@@ -333,7 +365,19 @@ def near_titles_by_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.join(right, "band").where((F.col("a") < F.col("b")) & (F.levenshtein("a", "b") <= 3)).select("a", "b", (F.col("na") * F.col("nb")).alias("pairs"))
 
 
-@query()
+@query("""
+    WITH RECURSIVE t AS (SELECT DISTINCT p_type AS session, lower(trim(p_name)) AS t FROM part),
+    p AS (SELECT DISTINCT x.t AS a, y.t AS b FROM t x JOIN t y ON x.session = y.session AND x.t < y.t AND x.t <> ''),
+    -- common subsequences of the first i characters of a with each beginning of b
+    c AS (
+        SELECT a, b, 0 AS i, list_transform(range(len(b) + 1), lambda k: 0) AS d FROM p
+        UNION ALL
+        SELECT a, b, i + 1, list_prepend(0, list_transform(range(1, len(b) + 1), lambda j: list_max(m[1:j])))
+        FROM (SELECT *, list_transform(range(1, len(b) + 1), lambda k: CASE WHEN b[k] = a[i + 1] THEN d[k] + 1 ELSE d[k + 1] END) AS m FROM c WHERE i < len(a))
+    ),
+    r AS (SELECT a, b FROM c WHERE i = len(a) AND 200.0 * d[len(b) + 1] / (len(a) + len(b)) > 85)
+    SELECT x.session, r.a, r.b FROM r JOIN t x ON x.t = r.a JOIN t y ON y.t = r.b AND y.session = x.session
+""")
 def similar_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select(F.col("p_type").alias("session"), F.col("p_name").alias("title"))
     return resolve.similar_titles(rows, ["session"])
@@ -372,7 +416,8 @@ def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def post_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The users' turns as posts that may announce something."""
     rows = table(spark, sf_dir, "conversations").where("role = 'user'")
-    posts = rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.concat(F.lit("Show at "), F.initcap(F.substring("text", 1, 30)), F.lit(" this saturday 8pm. "), "text").alias("text"), as_of().alias("posted_at"))
+    begin = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("Show at The Hall number "), F.col("conv_id").cast("string"), F.lit(" this saturday 8pm. "))).otherwise(F.lit(""))
+    posts = rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.concat(begin, F.col("text")).alias("text"), as_of().alias("posted_at"))
     return payloads.post_hints(posts)
 
 
@@ -383,7 +428,19 @@ def onboarding_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"([A-Za-z][A-Za-z0-9']+)"), 1)).cast("long").alias("n"))
 
 
-@query()
+@query(r"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '([A-Za-z][A-Za-z0-9'']+)') AS ws FROM documents),
+    x AS (SELECT doc_id, i, ws[i] AS word, ws[i + 1] AS nxt FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+    -- title case: parts between digits and apostrophes begin with a capital
+    u AS (
+        SELECT word, regexp_replace(array_to_string(list_transform(regexp_extract_all(word, '[A-Za-z]+|[^A-Za-z]+'), lambda p: upper(left(p, 1)) || lower(substr(p, 2))), ''), '[^A-Za-z0-9]', '', 'g') AS titled
+        FROM (SELECT word FROM x UNION SELECT nxt FROM x WHERE nxt IS NOT NULL)
+    ),
+    o AS (SELECT x.doc_id, x.i, '#' || a.titled AS one, '#' || a.titled || b.titled AS two FROM x JOIN u a ON a.word = x.word LEFT JOIN u b ON b.word = x.nxt WHERE length(x.word) >= 4 AND lower(x.word) NOT IN ('with', 'from', 'that', 'this', 'there', 'about', 'would') AND length(a.titled) > 1),
+    f AS (SELECT doc_id, tag, min(place) AS place FROM (SELECT doc_id, one AS tag, 2 * i AS place FROM o UNION ALL SELECT doc_id, two, 2 * i + 1 FROM o WHERE two IS NOT NULL) GROUP BY ALL),
+    k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS r FROM f)
+    SELECT d.doc_id, coalesce(g.tags, []) AS tags FROM documents d LEFT JOIN (SELECT doc_id, list(tag ORDER BY place) AS tags FROM k WHERE r <= 5 GROUP BY doc_id) g ON g.doc_id = d.doc_id
+""")
 def onboarding_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.onboarding_tags(F.col("text")).alias("tags"))
 
@@ -414,11 +471,26 @@ def saved_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.accumulated(user_signals(spark, sf_dir), "save", "event_id").withColumnRenamed("values", "saved")
 
 
-@query()
+@query(f"""
+    WITH {CANON_SQL}, {SIGNALS_SQL}, {INTEREST_SQL},
+    best AS (
+        SELECT *, row_number() OVER (ORDER BY total DESC, start_at, id) AS r FROM (
+            SELECT *, least(coalesce(people_interested, 0) * 10.0, 100.0) + CASE WHEN age <= 24 THEN 100.0 WHEN age <= 48 THEN 75.0 WHEN age <= 168 THEN 50.0 ELSE 25.0 END AS total
+            FROM (SELECT *, (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(created_at)) / 3600e6 AS age FROM canon WHERE start_at BETWEEN TIMESTAMP '{AS_OF}' AND TIMESTAMP '{AS_OF}' + INTERVAL 7 DAY) LEFT JOIN pop ON event_id = id)
+    ),
+    l AS (
+        SELECT CAST(r + 2 AS INT) AS n, '- **' || title || '** — ' || strftime(start_at - INTERVAL 8 HOUR, '%a %b %-d ') || lower(strftime(start_at - INTERVAL 8 HOUR, '%-I:%M%p')) || ' · ' || venue_name || ' · '
+            || CASE WHEN is_free THEN 'Free' WHEN price = floor(price) THEN '$' || CAST(CAST(price AS BIGINT) AS VARCHAR) ELSE '$' || printf('%.2f', price) END || ' · [link](' || external_url || ') · _' || array_to_string(tags[1:2], ' ') || '_' AS line
+        FROM best WHERE r <= 15
+    )
+    SELECT * FROM l UNION ALL SELECT 0, '# Events digest — 2024-02-01' UNION ALL SELECT 1, '_Window: next 7 days_' UNION ALL SELECT 2, ''
+    UNION ALL SELECT 3, '_No events found in this window._' WHERE NOT EXISTS (SELECT 1 FROM l)
+    UNION ALL SELECT CAST(greatest(count(*), 1) + 3 AS INT), '' FROM l UNION ALL SELECT CAST(greatest(count(*), 1) + 4 AS INT), '{digest.FALLBACK_NOTE}' FROM l
+    UNION ALL SELECT CAST(greatest(count(*), 1) + 5 AS INT), '' FROM l UNION ALL SELECT CAST(greatest(count(*), 1) + 6 AS INT), '_Generated from the events table_' FROM l
+""")
 def event_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markdown of the fifteen best events: a top-k report."""
-    ranked = rank.rank_without_user(canon_events(spark, sf_dir), search.people_interested(user_signals(spark, sf_dir)), as_of())
-    return digest.digest_lines(ranked)
+    """Markdown of the week's fifteen best events, without a user: a top-k report."""
+    return digest.user_digest(canon_events(spark, sf_dir), users(spark, sf_dir), user_signals(spark, sf_dir), None, NOW)
 
 
 @query(f"WITH {CANON_SQL} SELECT id FROM canon WHERE id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0)")
@@ -485,15 +557,24 @@ def key_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-    WITH {CANON_SQL}
-    SELECT id, lat, lon, CASE WHEN v.g IS NOT NULL THEN 0.9 ELSE 0.5 END AS location_confidence FROM (SELECT id, venue_name FROM canon) LEFT JOIN (SELECT s_name AS g, s_suppkey / 100.0 AS lat, -s_suppkey / 100.0 AS lon FROM supplier WHERE s_suppkey < 50) v ON venue_name = g
+    WITH {CANON_SQL},
+    g AS (SELECT lower(CASE WHEN s_suppkey % 5 = 0 THEN 'The ' || s_name || ' Hall' WHEN s_suppkey % 5 = 1 THEN right(s_name, 9) ELSE s_name END) AS g, s_suppkey AS o, s_suppkey / 100.0 AS la, -s_suppkey / 100.0 AS lo FROM supplier WHERE s_suppkey % 5 < 4),
+    n AS (SELECT DISTINCT lower(venue_name) AS v FROM canon),
+    m AS (SELECT v, arg_min(struct_pack(la := la, lo := lo), (v <> g, o)) AS x FROM n JOIN g ON contains(v, g) OR contains(g, v) GROUP BY v),
+    c AS (SELECT lower(n_name) AS c, CAST(n_nationkey AS DOUBLE) AS la, CAST(n_nationkey + 100 AS DOUBLE) AS lo FROM nation),
+    e AS (SELECT id, CASE WHEN id % 11 = 0 THEN NULL ELSE venue_name END AS venue, CASE WHEN id % 3 = 0 THEN n_name END AS city, CASE WHEN id % 13 = 0 THEN lat END AS lat, CASE WHEN id % 13 = 0 THEN lon END AS lon FROM canon JOIN nation ON n_nationkey = id % 25)
+    SELECT id, CAST(coalesce(e.lat, x.la, c.la, 37.7749) AS DOUBLE) AS lat, CAST(coalesce(e.lon, x.lo, c.lo, -122.4194) AS DOUBLE) AS lon,
+           CAST(CASE WHEN e.lat IS NOT NULL OR x IS NOT NULL THEN 0.9 WHEN venue IS NOT NULL THEN 0.5 WHEN c.la IS NOT NULL THEN 0.4 ELSE 0.3 END AS DOUBLE) AS location_confidence
+    FROM e LEFT JOIN m ON m.v = lower(venue) LEFT JOIN c ON c.c = lower(city)
 """)
 def geocoded_venues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Venues found in a gazetteer of fifty entries; a null centroid for the rest."""
-    from ..operators import geocode
-
-    known = table(spark, sf_dir, "supplier").where("s_suppkey < 50").select(F.col("s_name").alias("name"), (F.col("s_suppkey") / 100.0).alias("lat"), (-F.col("s_suppkey") / 100.0).alias("lon"), F.col("s_suppkey").alias("ordinal"))
-    cities = spark.createDataFrame([], "name string, lat double, lon double")
-    rows = canon_events(spark, sf_dir).select("id", "venue_name", F.lit(None).cast("string").alias("city"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"))
-    out = geocode.geocode(rows, known, cities, default=(float("nan"), float("nan")))
-    return out.select("id", F.nanvl("lat", F.lit(None).cast("double")).alias("lat"), F.nanvl("lon", F.lit(None).cast("double")).alias("lon"), "location_confidence")
+    """Suppliers as a gazetteer, under their names, longer ones or parts of them; nations as cities; events with and
+    without a venue, a city, a point."""
+    s, k = F.col("s_name"), F.col("s_suppkey")
+    name = F.when(k % 5 == 0, F.concat(F.lit("The "), s, F.lit(" Hall"))).when(k % 5 == 1, F.expr("right(s_name, 9)")).otherwise(s)
+    known = table(spark, sf_dir, "supplier").where(k % 5 < 4).select(name.alias("name"), (k / 100.0).alias("lat"), (-k / 100.0).alias("lon"), k.alias("ordinal"))
+    nations = table(spark, sf_dir, "nation")
+    cities = nations.select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("double").alias("lat"), (F.col("n_nationkey") + 100).cast("double").alias("lon"))
+    i = F.col("id")
+    rows = canon_events(spark, sf_dir).join(nations, i % 25 == F.col("n_nationkey")).select("id", F.when(i % 11 != 0, F.col("venue_name")).alias("venue_name"), F.when(i % 3 == 0, F.col("n_name")).alias("city"), F.when(i % 13 == 0, F.col("lat")).alias("lat"), F.when(i % 13 == 0, F.col("lon")).alias("lon"))
+    return geocode.geocode(rows, known, cities).select("id", "lat", "lon", "location_confidence")

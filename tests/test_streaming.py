@@ -79,3 +79,13 @@ def test_ingest_is_incremental(spark):
         spark.createDataFrame([(x,) for x in lot], schema).coalesce(1).write.mode("append").parquet(path)
         jobs.ingest(jobs.landed(spark, path, schema), merge, ckpt).awaitTermination(60)
     assert sorted(seen) == [1, 2, 3]
+
+
+def test_lifecycle(spark):
+    """An event is past once later ones show that a day has gone by since its end; one that is put off is not."""
+    day = timedelta(days=1)
+    rows = [(1, "ends", T0, T0 + timedelta(hours=2), T0), (2, "open end", T0, None, T0), (3, "put off", T0, None, T0), (3, "put off", T0 + 9 * day, None, T0 + timedelta(hours=1)), (4, "clock", T0 + 20 * day, None, T0 + 3 * day), (4, "clock", T0 + 20 * day, None, T0 + 3 * day)]
+    stream = jobs.lifecycle(landed(spark, rows, "id long, title string, start_at timestamp, end_at timestamp, seen_at timestamp", parts=6))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    got = {(r["id"], r["title"], r["status"]) for r in result(spark, stream, "lifecycle")}
+    assert got == {(1, "ends", "past"), (2, "open end", "past")}
