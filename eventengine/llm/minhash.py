@@ -162,17 +162,17 @@ def _labelled(docs: DataFrame, threshold: int, bands: int, rows: int, shingle: i
     classes = feat.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(least.alias("least"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
     # numbered as they are written, so that the numbers stand; equal sets have equal bands
     classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
-    buckets = classes.select("rep", "n", F.explode("bands").alias("key"))
+    buckets = classes.select("rep", F.col("least.doc_id").alias("d"), "n", F.explode("bands").alias("key"))
     # what is counted by bucket is written before it is joined, so that Spark can split the join of a large bucket
     crowded = cut(buckets.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "crowded")
-    active = cut(buckets.join(grown(crowded), "key").select("key", "rep", "n"), "buckets")
+    active = cut(buckets.join(grown(crowded), "key").select("key", "rep", "d", "n"), "buckets")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     wanted = classes.select("rep", "least.doc_id", "least.th").join(grown(active.select("rep").distinct()), "rep", "left_semi")
     # the text of the least document of a class, once where its row is repeated
     texts = cut(plain.join(grown(wanted), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select("rep", "text"), "texts")
 
-    # first round: one centre for each bucket
-    heads = cut(active.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("head")).select("key", F.col("head.rep").alias("a"), F.col("head.n").alias("an")), "centres")
+    # first round: one centre for each bucket, its earliest document, as copies mostly come after what they are copies of
+    heads = cut(active.groupBy("key").agg(F.min(F.struct("d", "rep", "n")).alias("head")).select("key", F.col("head.rep").alias("a"), F.col("head.n").alias("an")), "centres")
     pairs = active.join(grown(heads), "key").where(F.col("rep") != F.col("a")).where(100 * F.least("n", "an") >= threshold * F.greatest("n", "an"))
     pairs = pairs.select("a", F.col("rep").alias("b")).distinct()
     links = cut(verified(pairs, texts, threshold, shingle), "found")
@@ -188,14 +188,14 @@ def _labelled(docs: DataFrame, threshold: int, bands: int, rows: int, shingle: i
     if not members.isEmpty():
         able = linkable(members, texts, threshold, shingle)
         codes = F.transform("bands", lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int"))
-        few = classes.select("rep", "bands").join(grown(able), "rep")
-        members = open_buckets(few.select("rep", "n", "shared", codes.alias("codes"), F.posexplode("bands").alias("band", "key")))
+        few = classes.select("rep", F.col("least.doc_id").alias("d"), "bands").join(grown(able), "rep")
+        members = open_buckets(few.select("rep", "d", "n", "shared", codes.alias("codes"), F.posexplode("bands").alias("band", "key")))
     centres = CENTRES
     while not members.isEmpty():
         slot = F.pmod(F.xxhash64("rep", F.lit(centres)), F.lit(centres))
-        mine = ["rep", "n", "shared", "comp", "codes"]
+        mine = ["rep", "d", "n", "shared", "comp", "codes"]
         placed = members.withColumn("slot", slot)
-        heads = cut(placed.groupBy("key", "slot").agg(F.min_by(F.struct(*mine), "rep").alias("c")), "centres")
+        heads = cut(placed.groupBy("key", "slot").agg(F.min_by(F.struct(*mine), F.struct("d", "rep")).alias("c")), "centres")
         first = heads.select("key", "slot", F.col("c.rep").alias("first"))
         members = cut(placed.join(grown(first), ["key", "slot"]).withColumn("is_centre", F.col("rep") == F.col("first")).drop("slot", "first"), "members")
         least = F.least(F.col("shared"), F.col("c.shared"))
