@@ -217,7 +217,7 @@ def _labelled(docs: DataFrame, threshold: int, bands: int, rows: int, shingle: i
 
     placed = classes.select("set_key", "rep", "least.doc_id").join(grown(comps.withColumnRenamed("node", "rep")), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
     placed = cut(placed.select("set_key", "comp", "doc_id"), "placed")
-    named = cut(placed.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "names")
+    named = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     label = cut(placed.join(grown(named), "comp").select("set_key", "component_id"), "labels")
     found = feat.select("doc_id", "th", "n_shingles", "set_key").join(grown(label), "set_key", "left")
     return found.select("doc_id", "th", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
