@@ -9,7 +9,7 @@ connected components of same URL, similar title, same venue. Each component is f
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +23,7 @@ from . import titles
 from .scratch import written
 
 WINDOW = timedelta(hours=2)
+EPOCH = datetime(1970, 1, 1)
 TITLE_OVER, TOKENS_FROM = titles.OVER, 60.0
 RICHER = ["title", "description", "external_url", "venue_name", "raw_address", "image_url", "location", "source_event_id", "currency", "source_name", "organizer_name"]
 
@@ -133,13 +134,31 @@ def merge(a: dict, b: dict) -> dict:
     return out
 
 
-def add(held: list[dict], row: dict) -> None:
-    """Fold a row into the first representative that it repeats, or make it one."""
-    for k, e in enumerate(held):
-        if is_duplicate(e, row):
-            held[k] = merge(e, row) | {"ordinal": e["ordinal"], "members": e["members"] + 1}
-            return
-    held.append(row | {"members": 1})
+class Representatives:
+    """The folded rows of one component in the order of their firsts, found by two-hour buckets of their starts, so that a
+    row meets only those that are close in time, however long the component is."""
+
+    def __init__(self) -> None:
+        self.rows: list[dict] = []
+        self.places: dict[int, set[int]] = {}
+
+    def _bucket(self, row: dict) -> int:
+        return (row["start_at"] - EPOCH) // WINDOW
+
+    def add(self, row: dict) -> None:
+        """Fold a row into the first representative that it repeats, or make it one."""
+        at = self._bucket(row)
+        for k in sorted(k for b in (at - 1, at, at + 1) for k in self.places.get(b, ())):
+            e = self.rows[k]
+            if is_duplicate(e, row):
+                self.rows[k] = merge(e, row) | {"ordinal": e["ordinal"], "members": e["members"] + 1}
+                was, now = self._bucket(e), self._bucket(self.rows[k])
+                if was != now:
+                    self.places[was].remove(k)
+                    self.places.setdefault(now, set()).add(k)
+                return
+        self.places.setdefault(at, set()).add(len(self.rows))
+        self.rows.append(row | {"members": 1})
 
 
 FOLDED = T.StructType([T.StructField("ordinal", T.LongType()), *CANON.fields, T.StructField("members", T.IntegerType())])
@@ -151,16 +170,16 @@ def dedupe(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # components come one after another, in input order; only the representatives of one are held
-        of, held = None, []
+        of, held = None, Representatives()
         for pdf in batches:
             done = []
             for component, row in zip(pdf["component"], pdf.drop(columns="component").to_dict("records"), strict=True):
                 if component != of:
-                    done += held
-                    of, held = component, []
-                add(held, row)
+                    done += held.rows
+                    of, held = component, Representatives()
+                held.add(row)
             yield pd.DataFrame(done, columns=FOLDED.fieldNames())
-        yield pd.DataFrame(held, columns=FOLDED.fieldNames())
+        yield pd.DataFrame(held.rows, columns=FOLDED.fieldNames())
 
     return placed.repartition("component").sortWithinPartitions("component", "ordinal").select("component", "ordinal", *CANON.fieldNames()).mapInPandas(run, FOLDED)
 

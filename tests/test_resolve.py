@@ -237,3 +237,34 @@ def test_mark_past(spark):
     df = frame(spark, [event(0, "a"), event(1, "b", end_at=BASE + timedelta(days=3)), event(2, "c", status="cancelled")])
     got = resolve.mark_past(df, F.lit(BASE + timedelta(hours=25)))
     assert [r["status"] for r in got.orderBy("ordinal").collect()] == ["past", "scheduled", "cancelled"]
+
+
+def test_a_long_component_meets_only_rows_close_in_time(monkeypatch):
+    rows = [event(k, f"night {k:04d}", 60 * k, venue_name="hall", end_at=None) for k in range(2_000)]
+    random.Random(5).shuffle(rows)
+    met, rule = [0], resolve.is_duplicate
+
+    def counted(a, b):
+        met[0] += 1
+        return rule(a, b)
+
+    monkeypatch.setattr(resolve, "is_duplicate", counted)
+    held = resolve.Representatives()
+    for row in rows:
+        held.add(row)
+    assert met[0] <= 6 * len(rows)
+    monkeypatch.undo()
+    mixed = [random_event(rng, k, rng.randint(0, 3_000)) for rng in [random.Random(6)] for k in range(400)]
+    held = resolve.Representatives()
+    for row in mixed:
+        held.add(row)
+    assert [shown(r) for r in held.rows] == [shown(r) for r in plain_dedupe(mixed)]
+
+
+def test_a_representative_that_moves_is_found_at_its_new_start():
+    held = resolve.Representatives()
+    # the first tier's start replaces the representative's, two hours on; a third row is close to the new start only
+    for row in (event(0, "Same Show", 0, source_tier=3), event(1, "Same Show", 120, source_tier=1), event(2, "Same Show", 240)):
+        held.add(row)
+    (r,) = held.rows
+    assert r["members"] == 3 and r["ordinal"] == 0 and r["start_at"] == BASE + timedelta(minutes=120)
