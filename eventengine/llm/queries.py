@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, classifier, hnsw, linededup, minhash, packing, quality_rules, sharding, substring
+from . import bpe, chat, classifier, hardneg, hnsw, linededup, minhash, packing, quality_rules, repair, sharding, substring
 from .work import cut, shared_dir, table
 
 SAID = "</s>[INST] ok [/INST]"
@@ -68,6 +68,16 @@ def op10_line_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_substrings(table(spark, sf_dir, "documents"))
 
 
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair.audit(rows, repair.damaged(rows))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardneg.mine(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -81,6 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_host_quality_rules,
         op9_prefix_tree_chat,
         op10_line_passage_dedup,
+        op12_conversation_repair,
+        op13_hard_negatives,
     )
 }
 
@@ -99,6 +111,31 @@ ORACLE_SQL: dict[str, str] = {
                    + length(replace(replace(txt, '%', '%25'), '<|', '%3C|')) + 8) AS BIGINT) AS formatted_chars
         FROM t GROUP BY conv_id
     """,
+    "op13_hard_negatives": r"""
+        WITH v AS (
+            SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS n
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        s AS (
+            SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id,
+                   CAST(list_sum(list_transform(list_zip(a.n, b.n), lambda z: z[1] * z[2])) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.n) = len(b.n) WHERE a.vec_id % 100 = 0
+        ),
+        p AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        ),
+        n AS (
+            SELECT p.anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+                   row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS r
+            FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same
+            WHERE 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        )
+        SELECT anchor_id, positive_id, CAST(r AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE r <= 10
+    """,
     "op8_host_quality_rules": r"""
         WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS txt, source AS host FROM documents),
         w AS (SELECT rid, list_filter(string_split_regex(txt, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM d),
