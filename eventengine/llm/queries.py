@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, classifier, hardneg, hnsw, linededup, minhash, packing, quality_rules, repair, sharding, substring
+from . import bpe, chat, classifier, hardneg, hnsw, linededup, minhash, ngramjoin, packing, quality_rules, repair, sharding, substring
 from .work import cut, shared_dir, table
 
 SAID = "</s>[INST] ok [/INST]"
@@ -69,6 +69,10 @@ def op10_line_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.linked(table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     return repair.audit(rows, repair.damaged(rows))
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_host_quality_rules,
         op9_prefix_tree_chat,
         op10_line_passage_dedup,
+        op11_ngram_jaccard_join,
         op12_conversation_repair,
         op13_hard_negatives,
     )
