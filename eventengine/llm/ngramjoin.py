@@ -9,13 +9,16 @@ dropped. Sizes then bound what is left:
 - a set whose low n-grams in shared columns and all its high ones don't add up to ceil(t * n) has no partner, and goes;
 - pairs of sets in columns of up to ``CROWD`` rows are multiplied out, and their overlaps are added up; a pair goes unless the
   overlap so far, what crowded columns can add, and the smaller of the two high parts reach the overlap that the sizes need;
-- sets in crowded columns get the same bound as above again with a second part of the matrix, up to ``MIDDLE``, spread out
-  for them alone.
+- in the order of low columns that aren't crowded, crowded ones, and high ones, most sets have so many of the first kind that
+  they meet their partners there; the others are looked for in as many of their crowded columns as this order asks for;
+- sets that remain in crowded columns get the first bound again, counting n-grams in sets of other components only, with a
+  second part of the matrix, up to ``MIDDLE``, spread out for them alone.
 
 What remains is confirmed on full sets, and links make components. Of a set's candidates the best goes first, and of the rest
 only those not connected by then are confirmed. In a crowded column pairs are never multiplied out all against all: a round
-multiplies the column's rows with a few of them, the centres, confirms, and merges components, until the rows are connected
-or all pairs of unconnected ones of fitting sizes have been confirmed or refused. So no link is lost, and a large group of
+multiplies the column's rows with a few of them, the centres, drops pairs by the sizes of their parts in ``PARTS`` blocks of
+columns, confirms, and merges components, until the rows are connected or all pairs of unconnected ones of fitting sizes have
+been confirmed or refused. So no link is lost, and a large group of
 near copies costs about as many pairs as it has members.
 
 Defined results: text null or without words: n_shingles 0, linked with nothing. doc_id null: linked with nothing,
@@ -30,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -45,6 +48,8 @@ THRESHOLD = 80
 LOW, MIDDLE = 1 << 61, 1 << 62
 #: Rows of a column that are multiplied with each other; columns of more are crowded.
 CROWD = 16
+#: Blocks of columns whose sizes bound an overlap; a power of two.
+PARTS = 64
 #: Centres of a crowded column in the second round; each further round takes as many times more.
 CENTRES = 128
 
@@ -84,21 +89,28 @@ def rows_of(docs: DataFrame, threshold: int = THRESHOLD, n: int = SHINGLE) -> Da
 
 
 def _second_part(texts: DataFrame, n: int) -> DataFrame:
-    """texts(rep, text) -> rep, key: the n-grams between LOW and MIDDLE."""
+    """texts(rep, text, comp) -> rep, comp, key: the n-grams between LOW and MIDDLE."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
-            for rep, found in zip(batch.column(0).to_pylist(), _sets(batch.column(1), cache, n), strict=True):
+            for rep, comp, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _sets(batch.column(2), cache, n), strict=True):
                 some = found[np.searchsorted(found, LOW) : np.searchsorted(found, MIDDLE)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), rep, np.int64)), pa.array(some)], ["rep", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), x, np.int64)) for x in (rep, comp)] + [pa.array(some)], ["rep", "comp", "key"])
 
-    return texts.mapInArrow(run, "rep long, key long")
+    return texts.select("rep", "comp", "text").mapInArrow(run, "rep long, comp long, key long")
 
 
-def _needed(a: str, b: str, threshold: int) -> Column:
-    """100 + threshold times the overlap that sets of these sizes need."""
-    return threshold * (F.col(a) + F.col(b))
+def _block_sizes(texts: DataFrame, n: int) -> DataFrame:
+    """texts(rep, text) -> rep, sizes: how many n-grams of the set lie in each of ``PARTS`` equal blocks of all columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        for batch in batches:
+            sizes = [np.bincount((found >> (63 - PARTS.bit_length() + 1)), minlength=PARTS) for found in _sets(batch.column(1), cache, n)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tolist() for s in sizes], pa.list_(pa.int32()))], ["rep", "sizes"])
+
+    return texts.select("rep", "text").mapInArrow(run, "rep long, sizes array<int>")
 
 
 def multiplied(cells: DataFrame, threshold: int) -> DataFrame:
@@ -141,11 +153,18 @@ def _labelled(docs: DataFrame, threshold: int, shingle: int) -> DataFrame:
     kept = cut(kept.join(grown(counts), "key"), "cells")
     crowded = kept.where(F.col("c") > CROWD)
     held = cut(crowded.groupBy("rep").agg(F.sum((F.col("key") < LOW).cast("int")).alias("crowded")), "held")
+    # low columns that aren't crowded come first in a set's order, then the crowded ones: few sets need these to meet a partner
+    first = F.col("n") - F.ceil(F.col("n") * threshold / F.lit(100)) + 1 - (F.col("n") - F.col("high") - F.col("crowded"))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("key"))
+    needed = crowded.select("key", "rep", "n", "high").join(grown(held), "rep").withColumn("place", place).where(F.col("place") <= first)
+    # the columns before, so that a pair is made in the first one that it shares
+    before = F.collect_list("key").over(Window.partitionBy("rep").orderBy("key").rowsBetween(Window.unboundedPreceding, -1))
+    needed = cut(needed.select("key", "rep", "n", before.alias("before")), "needed")
     few = kept.where(F.col("c") <= CROWD).select("key", "rep", "n", "high").join(grown(held), "rep", "left").withColumn("crowded", F.coalesce("crowded", F.lit(0)))
     candidates = cut(multiplied(few, threshold), "candidates")
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    ends = candidates.select(F.col("a").alias("rep")).unionByName(candidates.select(F.col("b").alias("rep"))).unionByName(held.select("rep")).distinct()
+    ends = candidates.select(F.col("a").alias("rep")).unionByName(candidates.select(F.col("b").alias("rep"))).unionByName(needed.select("rep")).distinct()
     wanted = able.select("rep", "doc_id", "th").join(grown(ends), "rep", "left_semi")
     # the text of the least document of a class, once where its row is repeated
     texts = cut(plain.join(grown(wanted), ["doc_id", "th"]).dropDuplicates(["rep"]).select("rep", "text"), "texts")
@@ -167,23 +186,25 @@ def _labelled(docs: DataFrame, threshold: int, shingle: int) -> DataFrame:
         still = cut(known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "open")
         return cut(known.join(grown(still), "key"), "members")
 
-    members = open_columns(crowded.select("key", "rep", "n"))
+    members = open_columns(needed)
     if not members.isEmpty():
-        # the bound of single sets again, with the second part of the matrix spread out for these sets
-        own = members.select("rep").distinct()
-        part = cut(_second_part(texts.join(grown(own), "rep", "left_semi"), shingle), "part")
-        shared = cut(part.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", F.lit(1).alias("met")), "columns")
-        again = part.join(grown(shared), "key", "left").groupBy("rep").agg(F.sum(F.coalesce("met", F.lit(0))).alias("met2"), F.count("*").alias("size2"))
-        size2, met2 = F.coalesce("size2", F.lit(0)), F.coalesce("met2", F.lit(0))
-        chosen = able.join(grown(own), "rep", "left_semi").join(grown(again), "rep", "left").where(100 * (F.col("met") + met2 + F.col("high") - size2) >= threshold * F.col("n"))
-        chosen = cut(chosen.select("rep", F.col("doc_id").alias("d")), "chosen")
+        # the bound of single sets again, over the low block and a second part that is spread out for these sets; an n-gram
+        # counts that is in sets of two components
+        own = members.groupBy("rep").agg(F.first("comp").alias("comp"))
+        low = kept.where(F.col("key") < LOW).select("key", "rep").join(grown(own), "rep")
+        part = cut(_second_part(texts.join(grown(own), "rep"), shingle).unionByName(low), "part")
+        shared = cut(part.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", F.lit(1).alias("met")), "columns")
+        again = part.join(grown(shared), "key", "left").groupBy("rep").agg(F.sum(F.coalesce("met", F.lit(0))).alias("met"), F.sum((F.col("key") >= LOW).cast("int")).alias("second"))
+        chosen = able.select("rep", "n", "high", F.col("doc_id").alias("d")).join(grown(again), "rep").where(100 * (F.col("met") + F.col("high") - F.col("second")) >= threshold * F.col("n"))
+        chosen = cut(chosen.select("rep", "d"), "chosen")
         forget(part)
-        members = open_columns(members.drop("comp").join(grown(chosen), "rep"))
+        sizes = _block_sizes(texts.join(grown(chosen), "rep", "left_semi"), shingle)
+        members = open_columns(members.drop("comp").join(grown(cut(chosen.join(grown(sizes), "rep"), "sizes")), "rep"))
     centres = 1
     while not members.isEmpty():
         slot = F.pmod(F.xxhash64("rep", F.lit(centres)), F.lit(centres))
         placed = members.withColumn("slot", slot)
-        heads = cut(placed.groupBy("key", "slot").agg(F.min_by(F.struct("rep", "n", "comp"), F.struct("d", "rep")).alias("c")), "centres")
+        heads = cut(placed.groupBy("key", "slot").agg(F.min_by(F.struct("rep", "n", "comp", "before", "sizes"), F.struct("d", "rep")).alias("c")), "centres")
         first = heads.select("key", "slot", F.col("c.rep").alias("first"))
         members = cut(placed.join(grown(first), ["key", "slot"]).withColumn("is_centre", F.col("rep") == F.col("first")).drop("slot", "first"), "members")
         possible = (
@@ -191,6 +212,9 @@ def _labelled(docs: DataFrame, threshold: int, shingle: int) -> DataFrame:
             # two centres meet once
             & (~F.col("is_centre") | (F.col("c.rep") < F.col("rep")))
             & (100 * F.least("n", "c.n") >= threshold * F.greatest("n", "c.n"))
+            & ~F.arrays_overlap("before", "c.before")
+            # in each block of columns two sets have no more in common than the smaller part
+            & ((100 + threshold) * F.aggregate(F.zip_with("sizes", "c.sizes", lambda x, y: F.least(x, y)), F.lit(0), lambda acc, x: acc + x) >= threshold * (F.col("n") + F.col("c.n")))
         )
         pairs = members.join(grown(heads.select("key", "c")), "key").where(possible).select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()
         more = cut(verified(pairs, texts, threshold, shingle), "links")
