@@ -3,7 +3,8 @@
 Long texts are cut before encoding at boundaries that the pattern respects too: before an ASCII space or line break that
 follows a character which is no white space. A match never runs over such a place, and nothing before it looks past it
 but white space does, so that the ids are those of the whole text. A single match of great length (a word of a million
-letters) would cost the library the square of its length; its merges are found with a heap instead.
+letters, a million blanks) would cost the library the square of its length, and white space of that length its stack; the
+pattern finds the matches of such a part, and the merges of a long one are found with a heap.
 
 Defined results: text null: as the empty text, no ids. Extra columns pass through. No rows: no rows.
 """
@@ -25,8 +26,10 @@ from pyspark.sql import types as T
 
 #: Characters from which a text is cut, and the longest run without a boundary that the library gets as it is.
 CUT, LONG = 100_000, 2_000
-_BOUNDARY = re.compile(r"(?<=\S)(?=[ \n])")
-_LONG_RUN = re.compile(r"\S{%d}" % LONG)
+#: White space as the pattern and the library know it; Python's own also counts four control characters.
+_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_BOUNDARY = re.compile(f"(?<=[^{_SPACE}])(?=[ \\n])")
+_LONG_RUN = re.compile(f"[^{_SPACE}]{{{LONG}}}|[{_SPACE}]{{{LONG}}}")
 
 
 @lru_cache(maxsize=2)
