@@ -4,7 +4,9 @@ Documents are tokenised in blocks of a bounded number of ids, as their partition
 ``CAPACITY`` ids of long documents fill sequences of their own; what is left is put into k windows by differencing:
 partial partitions, the most uneven first, are merged with their loads in opposite order, which leaves windows that are
 nearly equal. k begins at the least count that can hold the ids and rises whenever a window exceeds the capacity.
-Blocks are numbered by partition, and a table of windows per block turns block-wise into global sequence numbers.
+What a partition has over when it ends is no whole block: its pieces stay open, and their lengths, without the ids, are
+packed by differencing in blocks across partitions, so that padding does not grow with the number of partitions.
+Blocks are numbered, and a table of windows per block turns block-wise into global sequence numbers.
 
 Ids come from the tokenizers library's file, word by word through a bounded cache: the normaliser and the pre-tokeniser of
 that file work on each run between white space by itself, so that this gives the ids of the whole text.
@@ -22,12 +24,13 @@ from functools import lru_cache
 from itertools import count
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .work import cut
+from .work import cut, grown
 
 CAPACITY = 4096
 END_ID = 2
@@ -39,7 +42,10 @@ _SPACE = re.compile(r"[ \t\n\r]+")
 #: Latin letters, each of them one character whatever its case and normal form; and ASCII marks that start no contraction.
 _LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, block long, window long, offset long"
+#: piece: numbers the open pieces, null for placed ones
+PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, block long, window long, offset long, piece long"
+#: Blocks across partitions have numbers from here on.
+SECOND = 1 << 62
 
 
 def _byte_letters() -> dict[int, int]:
@@ -139,40 +145,50 @@ def windows(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     return [[i] for i in range(len(sizes))]
 
 
-def pack_block(docs: list[tuple[int | None, bytes]], capacity: int = CAPACITY) -> Iterator[tuple]:
-    """(doc_id, start, length, ids, doc_tokens, window, offset) of the pieces of one block."""
+def pack_block(docs: list[tuple[int | None, bytes]], capacity: int = CAPACITY, last: bool = False) -> Iterator[tuple]:
+    """(doc_id, start, length, ids, doc_tokens, window, offset, piece) of the pieces of one block; of a partition's last one
+    all that fill no window stay open, numbered, without window and offset."""
     window, rest = 0, []
     for d, (doc_id, data) in enumerate(docs):
         n, at = len(data) // 4, 0
         while n - at >= capacity:
-            yield doc_id, at, capacity, data[4 * at : 4 * (at + capacity)], n, window, 0
+            yield doc_id, at, capacity, data[4 * at : 4 * (at + capacity)], n, window, 0, None
             window, at = window + 1, at + capacity
         if at < n:
             rest.append((d, at, n - at))
+
+    def piece(i: int, *place: int | None) -> tuple:
+        d, at, length = rest[i]
+        doc_id, data = docs[d]
+        return doc_id, at, length, data[4 * at : 4 * (at + length)], len(data) // 4, *place
+
+    if last:
+        yield from (piece(i, None, None, i) for i in range(len(rest)))
+        return
     for members in windows([r[2] for r in rest], capacity):
         offset = 0
         for i in members:
-            d, at, length = rest[i]
-            doc_id, data = docs[d]
-            yield doc_id, at, length, data[4 * at : 4 * (at + length)], len(data) // 4, window, offset
-            offset += length
+            yield piece(i, window, offset, None)
+            offset += rest[i][2]
         window += 1
 
 
 def pack_blocks(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """documents -> pieces with their block and window. No shuffle; ``tokenizer_path`` must be readable on every executor."""
+    """documents -> pieces with their block and window, and open ones. No shuffle; ``tokenizer_path`` must be readable on
+    every executor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, block, docs, held = word_ids(tokenizer_path), 0, [], 0
         part = None
 
-        def out() -> Iterator[pa.RecordBatch]:
-            rows = list(pack_block(docs, capacity))
+        def out(last: bool) -> Iterator[pa.RecordBatch]:
+            rows = list(pack_block(docs, capacity, last))
             for at in range(0, len(rows), 1024):
                 c = list(zip(*rows[at : at + 1024], strict=True))
                 c.insert(5, [(part << 32) + block] * len(c[0]))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, kinds, strict=True)], ["doc_id", "start", "length", "ids", "doc_tokens", "block", "window", "offset"])
+                c[-1] = [None if i is None else (part << 32) + i for i in c[-1]]
+                names = ["doc_id", "start", "length", "ids", "doc_tokens", "block", "window", "offset", "piece"]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if n == "ids" else pa.int64()) for n, x in zip(names, c, strict=True)], names)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -182,26 +198,47 @@ def pack_blocks(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
                     docs.append((doc_id, tokens(text, words)))
                     held += len(docs[-1][1]) // 4
                     if held >= block_ids:
-                        yield from out()
+                        yield from out(False)
                         block, docs, held = block + 1, [], 0
         if docs:
-            yield from out()
+            yield from out(True)
 
     return docs.select(F.col("doc_id").cast("long"), "text", F.spark_partition_id().cast("long").alias("part")).mapInArrow(run, PIECES)
 
 
-def number_sequences(pieces: DataFrame) -> DataFrame:
-    """pieces with sequence_id, gapless from 0 in the order of blocks, instead of block and window.
+def _placed(pieces: DataFrame, capacity: int, block_ids: int) -> DataFrame:
+    """open pieces -> piece, block, window, offset, from their lengths alone."""
+    open_ = pieces.select("piece", "length")
+    many = open_.agg(F.coalesce(F.sum("length"), F.lit(0))).collect()[0][0]
+    group = F.pmod(F.xxhash64("piece"), F.lit(max(1, round(many / block_ids))))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("piece", ignore_index=True)
+        lengths, pieces, out = pdf["length"].tolist(), pdf["piece"].tolist(), []
+        for window, members in enumerate(windows(lengths, capacity)):
+            starts = np.cumsum([0, *(lengths[i] for i in members)])
+            out += [(pieces[i], SECOND + int(pdf["g"].iloc[0]), window, int(at)) for i, at in zip(members, starts, strict=False)]
+        return pd.DataFrame(out, columns=["piece", "block", "window", "offset"])
+
+    return open_.withColumn("g", group).groupBy("g").applyInPandas(run, "piece long, block long, window long, offset long")
+
+
+def number_sequences(pieces: DataFrame, capacity: int = CAPACITY, block_ids: int = BLOCK_IDS) -> DataFrame:
+    """pieces with sequence_id, gapless from 0 in the order of blocks, instead of block, window and piece.
 
-    Blocks are few, one for about two million ids: their running sum is the only thing that one task sees whole.
+    Blocks are few, one for about a million ids: their running sum is the only thing that one task sees whole.
     """
-    placed = cut(pieces, "pieces")
-    blocks = placed.groupBy("block").agg((F.max("window") + 1).alias("windows"))
+    written = cut(pieces, "pieces")
+    left = written.where("piece is not null")
+    found = cut(_placed(left, capacity, block_ids), "placed")
+    placed = left.drop("block", "window", "offset").join(grown(found), "piece").select(*written.columns)
+    placed = written.where("piece is null").unionByName(placed)
+    blocks = written.where("piece is null").select("block", "window").unionByName(found.select("block", "window")).groupBy("block").agg((F.max("window") + 1).alias("windows"))
     before = F.coalesce(F.sum("windows").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = cut(blocks.select("block", before.alias("first")), "blocks")
-    return placed.join(first, "block").withColumn("sequence_id", F.col("first") + F.col("window")).drop("block", "window", "first")
+    return placed.join(first, "block").withColumn("sequence_id", F.col("first") + F.col("window")).drop("block", "window", "first", "piece")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """documents -> doc_id, start, length, ids, doc_tokens, offset, sequence_id of each piece."""
-    return number_sequences(pack_blocks(docs, tokenizer_path, capacity))
+    return number_sequences(pack_blocks(docs, tokenizer_path, capacity), capacity)

@@ -10,6 +10,7 @@ import regex
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from eventengine.llm import bpe, packing
@@ -60,6 +61,36 @@ def test_very_long_texts(enc):
     assert bpe.encode_text(prose, enc, pat) == enc.encode_ordinary(prose)
 
 
+@pytest.mark.parametrize("space", [" ", "\n", " \n\t\u3000\r"])
+def test_long_white_space_equals_the_library(enc, space):
+    pat, run = regex.compile(PATTERN), (space * 5_000)[:5_000]
+    for text in (f"{run}word x", f"a b{run}word", f"word{run}", run, f"a{run}.", f"a{run}\x1cb", f"{run}1 {run}"):
+        assert bpe.encode_text(text, enc, pat) == enc.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("text", ["{}two", "one{}", "one 1{}two three", "{}"])
+def test_two_million_blanks_and_breaks(enc, text):
+    """All but the last of a run before a word are one match by the pattern's rule."""
+    pat = regex.compile(PATTERN)
+    for space in (" ", "\n", " \n"):
+        run = (space * 2_000_000)[:2_000_000]
+        whole, (before, after) = text.format(run), text.split("{}")
+        ids = bpe.encode_text(whole, enc, pat)
+        assert enc.decode_bytes(ids) == whole.encode()
+        left = enc.encode_ordinary(before)
+        right = enc.encode_ordinary(run[-1] + after) if after else []
+        assert ids[: len(left)] == left and (not right or ids[-len(right) :] == right)
+        middle = bpe.merge_long((run[:-1] if after else run).encode(), enc._mergeable_ranks)
+        assert ids == left + middle + right
+
+
+def test_long_white_space_in_spark(docs_of):
+    blank = " " * 1_200_000
+    df = docs_of([(1, f"a{blank}b"), (2, "\n" * 1_200_000 + "c")])
+    rows = bpe.decode(bpe.encode(df, PATH, PATTERN), PATH, PATTERN).collect()
+    assert {r["doc_id"]: bytes(r["decoded"]) for r in rows} == {r["doc_id"]: r["text"].encode() for r in df.collect()}
+
+
 def test_bpe_edge_cases(docs_of):
     df = docs_of([(1, None), (2, ""), (2, ""), (3, "<|endoftext|> a")])
     rows = bpe.decode(bpe.encode(df, PATH, PATTERN), PATH, PATTERN).collect()
@@ -73,7 +104,7 @@ def test_bpe_edge_cases(docs_of):
 # packing
 
 
-def check_pieces(rows, texts, ids_of=None):
+def check_pieces(rows, texts, ids_of=None, capacity=packing.CAPACITY):
     tok = Tokenizer.from_file(WORD_PATH)
     by, seqs = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -92,7 +123,7 @@ def check_pieces(rows, texts, ids_of=None):
         for offset, length in sorted(parts):
             assert offset == at
             at += length
-        assert 0 < at <= packing.CAPACITY
+        assert 0 < at <= capacity
     assert sorted(seqs) == list(range(len(seqs)))
     return seqs
 
@@ -104,6 +135,24 @@ def test_op5_packs_all_ids(spark, sf_dir, corpus):
     assert padding < 0.05
 
 
+@pytest.mark.parametrize("parts", [1, 8, 200])
+def test_padding_does_not_follow_the_partitions(spark, parts):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").repartition(parts)
+    pieces = packing.number_sequences(packing.pack_blocks(docs, WORD_PATH).withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    rows = pieces.collect()
+    seqs = check_pieces(rows, {r["doc_id"]: r["text"] for r in docs.collect()})
+    assert 1 - sum(r["length"] for r in rows) / packing.CAPACITY / len(seqs) < 0.02
+
+
+def test_blocks_across_partitions(docs_of):
+    """Full blocks, tails of partitions, and several blocks of tails."""
+    texts = {i: " ".join(f"w{i * j % 977}" for j in range(i % 90)) for i in range(600)}
+    pieces = packing.number_sequences(packing.pack_blocks(docs_of(texts.items()).repartition(7), WORD_PATH, 256, 4096), 256, 4096)
+    rows = pieces.collect()
+    seqs = check_pieces(rows, texts, "ids", 256)
+    assert 1 - sum(r["length"] for r in rows) / 256 / len(seqs) < 0.12
+
+
 def test_packing_edge_cases(docs_of):
     texts = {1: None, 2: "", 3: " \n ", 4: "ÀÉ’s İstanbul x\x1cy <|endoftext|> ﬁ", 5: "word " * 30_000, 6: "x" * 5_000}
     rows = packing.pack(docs_of(texts.items()), WORD_PATH).collect()
