@@ -1,9 +1,12 @@
 """Sharding over fixed virtual slots.
 
-A record's id hashes into one of ``SLOTS`` virtual slots, for good. Bytes are aggregated per slot, and a slot-to-shard map
-says where a slot lives. The map is a table of versions in a folder: a run reads the last version, edits it where the
-shards have grown uneven, and appends the edited one as the next version; without any, the slots are dealt round as version
-0. A map has as many rows as there are slots, whatever the input, so that it may pass through the driver and be broadcast.
+A record's id and text hash into one of ``SLOTS`` virtual slots, for good; equal rows are told apart by their number among
+those of their part of the input, so that a record repeated without end fills many slots. Bytes are aggregated per slot,
+and a slot-to-shard map says where a slot lives. The map is a table of versions in a folder, each a folder of its own: a run
+reads the last version, edits it where the shards have grown uneven, and publishes the edited one as the next version;
+without any, the slots are dealt round as version 0. A version is published by a rename that fails where it is there
+already: the later of two writers reads that version and edits it in turn. A map has as many rows as there are slots,
+whatever the input, so that it may pass through the driver and be broadcast.
 
 An edit moves (or exchanges) slots between the fullest and the emptiest shard only, until all are within ``SLACK`` of the
 mean or no move helps any more; all other slots stay. Where there are shards that the map does not know yet, slots move
@@ -11,8 +14,8 @@ into these and nowhere else.
 
 Law: ``bytes``. Shards get sizes as near to equal as whole slots allow.
 
-Defined results: text null: 16 bytes, crc32 of the empty text. doc_id null: a slot by size and crc32 of the text. Repeated
-rows are rows of their own. Extra columns are ignored, whatever their names. No rows: no rows, and a map of version 0.
+Defined results: text null: 16 bytes, crc32 of the empty text. doc_id null: a slot by size and crc32 of the text, as any.
+Rows that share an id go by their texts, repeated rows are rows of their own, and both may lie in different shards. Extra columns are ignored, whatever their names. No rows: no rows, and a map of version 0.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .work import cut, grown
+from .work import cut, grown, publish
 
 SLOTS = 16_384
 SHARDS = 40
@@ -102,7 +105,7 @@ def read_maps(spark: SparkSession, folder: str) -> DataFrame:
     """All versions of the map in a folder; no rows where there is none yet."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    return spark.read.schema(MAP).parquet(folder) if there else spark.createDataFrame([], MAP)
+    return spark.read.schema(MAP).option("recursiveFileLookup", True).parquet(folder) if there else spark.createDataFrame([], MAP)
 
 
 def last_map(spark: SparkSession, folder: str) -> tuple[int, list[int]] | None:
@@ -111,41 +114,55 @@ def last_map(spark: SparkSession, folder: str) -> tuple[int, list[int]] | None:
     version = maps.agg(F.max("version")).collect()[0][0]
     if version is None:
         return None
-    return version, [r["shard"] for r in sorted(maps.where(F.col("version") == version).collect(), key=lambda r: r["slot"])]
+    rows = sorted(maps.where(F.col("version") == version).select("slot", "shard").collect())
+    if [r["slot"] for r in rows] != list(range(len(rows))):
+        raise ValueError(f"version {version} of the map in {folder} has not one row for each slot")
+    return version, [r["shard"] for r in rows]
 
 
-def store_map(spark: SparkSession, folder: str, version: int, slot_map: list[int], sizes: dict[int, int]) -> None:
-    """Append a version, as one file."""
+def store_map(spark: SparkSession, folder: str, version: int, slot_map: list[int], sizes: dict[int, int]) -> bool:
+    """Publish a version, as one file; False where that version is there already."""
     rows = [(version, s, shard, sizes.get(s, 0)) for s, shard in enumerate(slot_map)]
-    spark.createDataFrame(rows, MAP).coalesce(1).write.mode("append").parquet(folder)
+    made = cut(spark.createDataFrame(rows, MAP).coalesce(1), "map").inputFiles()[0].rsplit("/", 1)[0]
+    return publish(spark, made, f"{folder.rstrip('/')}/{version:010d}")
+
+
+def current_map(spark: SparkSession, folder: str, sizes: dict[int, int], shards: int, slots: int, slack: float) -> tuple[int, list[int]]:
+    """The last version of the map, edited and published as the next one where these sizes call for it."""
+    while True:
+        stored = last_map(spark, folder)
+        if stored is None:
+            store_map(spark, folder, 0, first_map(shards, slots), {})
+            continue
+        version, slot_map = stored
+        edited = rebalance(slot_map, sizes, shards, slack)
+        if edited == slot_map:
+            return stored
+        if store_map(spark, folder, version + 1, edited, sizes):
+            return version + 1, edited
 
 
 def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """documents -> doc_id, size, text_crc32, virtual_slot, part, at (the place in the input)."""
     text = F.coalesce("text", F.lit(""))
     size, crc = (F.octet_length(text) + OVERHEAD).cast("long"), F.crc32(F.encode(text, "UTF-8"))
-    key = F.when(F.col("doc_id").isNull(), F.xxhash64(size, crc)).otherwise(F.xxhash64("doc_id"))
-    return docs.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.pmod(key, F.lit(slots)).cast("int").alias("virtual_slot"))
+    rows = docs.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    # of equal rows, those of one part at most meet in a window
+    again = F.row_number().over(Window.partitionBy("doc_id", "size", "text_crc32", "part").orderBy("at"))
+    return rows.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "size", "text_crc32", again), F.lit(slots)).cast("int"))
 
 
 def shard(docs: DataFrame, folder: str, shards: int = SHARDS, slots: int = SLOTS, slack: float = SLACK) -> DataFrame:
     """documents -> doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version.
 
-    The maps are read from and appended to ``folder``. ``slot`` numbers the rows of a shard from 0, without gaps: those of
+    The maps are read from and published in ``folder``. ``slot`` numbers the rows of a shard from 0, without gaps: those of
     each written part are numbered by themselves, and start where the shard's rows of the parts before end.
     """
     spark = docs.sparkSession
     # parts and the order in them stand once they are written
-    rows = cut(sized(docs, slots).withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}), "sized")
+    rows = cut(sized(docs, slots), "sized")
     sizes = {r["virtual_slot"]: r["bytes"] for r in rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes")).collect()}
-    stored = last_map(spark, folder)
-    if stored is None:
-        stored = 0, first_map(shards, slots)
-        store_map(spark, folder, *stored, {})
-    version, slot_map = stored
-    edited = rebalance(slot_map, sizes, shards, slack)
-    if edited != slot_map:
-        version, slot_map = version + 1, edited
-        store_map(spark, folder, version, slot_map, sizes)
+    version, _ = current_map(spark, folder, sizes, shards, slots, slack)
     where = read_maps(spark, folder).where(F.col("version") == version).select(F.col("slot").alias("virtual_slot"), "shard")
     placed = rows.join(F.broadcast(where), "virtual_slot")
     counts = cut(placed.groupBy("shard", "part").agg(F.count("*").alias("n")), "counts")

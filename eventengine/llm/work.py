@@ -57,3 +57,19 @@ def forget(df: DataFrame) -> None:
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def publish(spark: SparkSession, made: str, name: str) -> bool:
+    """Give the folder ``made`` its final name, by a rename that fails where the name is taken; False if it is."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    old, new = jvm.org.apache.hadoop.fs.Path(made), jvm.org.apache.hadoop.fs.Path(name)
+    fs, free_ = new.getFileSystem(conf), spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    fs.mkdirs(new.getParent())
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), conf).rename(old, new, free_)
+    except Exception:
+        if not fs.exists(new):
+            raise
+        fs.delete(old, True)
+        return False
+    return True

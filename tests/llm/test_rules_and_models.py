@@ -151,6 +151,38 @@ def test_one_great_slot_stays_alone():
     assert max(f[1:]) - min(f[1:]) <= 20 and sum(s == 0 for s in got) <= 100
 
 
+@pytest.mark.parametrize("text", ["some words of one text", None])
+def test_a_third_of_all_rows_under_one_id(docs_of, tmp_path, text):
+    """Copies of a record, or texts that share an id, lie in many shards."""
+    rows = [(i, f"text {i} " * (i % 30)) for i in range(6_000)] + [(7, text or f"other text {i}") for i in range(3_000)]
+    by = defaultdict(int)
+    for r in sharding.shard(docs_of(rows), f"{tmp_path}/maps").collect():
+        by[r["shard"]] += r["size"]
+    assert len(by) == sharding.SHARDS and max(by.values()) <= 1.1 * sum(by.values()) / len(by)
+
+
+def test_a_version_is_published_once(spark, docs_of, tmp_path, monkeypatch):
+    folder, zero = f"{tmp_path}/maps", sharding.first_map(4, 64)
+    assert sharding.store_map(spark, folder, 0, zero, {})
+    assert not sharding.store_map(spark, folder, 0, zero[::-1], {}), "the second writer of a version fails"
+    assert sharding.last_map(spark, folder) == (0, zero)
+    # another writer publishes version 1 while this one works its own out: its map is read, edited, and published as version 2
+    publish, other = sharding.store_map, [0] * 64
+
+    def late(*args):
+        monkeypatch.setattr(sharding, "store_map", publish)
+        assert publish(spark, folder, 1, other, {})
+        return publish(*args)
+
+    monkeypatch.setattr(sharding, "store_map", late)
+    got = sharding.shard(docs_of([(i, "x" * 50) for i in range(500)]), folder, 4, 64).collect()
+    assert {r["map_version"] for r in got} == {2} and len({r["shard"] for r in got}) == 4 and len(got) == 500
+    assert sharding.last_map(spark, folder)[0] == 2
+    sharding.read_maps(spark, folder).where("version = 2").limit(3).write.mode("append").parquet(f"{folder}/more")
+    with pytest.raises(ValueError, match="one row for each slot"):
+        sharding.last_map(spark, folder)
+
+
 def test_sharding_edge_cases(docs_of, clashing, tmp_path):
     out = sharding.shard(docs_of([(1, None), (1, None), (None, "é")]), f"{tmp_path}/a").collect()
     assert sorted((r["doc_id"] or -1, r["size"], r["text_crc32"]) for r in out) == [(-1, 18, zlib.crc32("é".encode())), (1, 16, 0), (1, 16, 0)]
