@@ -16,8 +16,8 @@ dropped. Sizes then bound what is left:
 
 What remains is confirmed on full sets, and links make components. Of a set's candidates the best goes first, and of the rest
 only those not connected by then are confirmed. In a crowded column pairs are never multiplied out all against all: a round
-multiplies the column's rows with a few of them, the centres, drops pairs by the sizes of their parts in ``PARTS`` blocks of
-columns, confirms, and merges components, until the rows are connected or all pairs of unconnected ones of fitting sizes have
+multiplies the column's rows with a few of them, the centres, drops pairs whose parities over blocks of columns differ in more
+places than two partners differ in n-grams, confirms, and merges components, until the rows are connected or all pairs of unconnected ones of fitting sizes have
 been confirmed or refused. So no link is lost, and a large group of
 near copies costs about as many pairs as it has members.
 
@@ -48,8 +48,8 @@ THRESHOLD = 80
 LOW, MIDDLE = 1 << 61, 1 << 62
 #: Rows of a column that are multiplied with each other; columns of more are crowded.
 CROWD = 16
-#: Blocks of columns whose sizes bound an overlap; a power of two.
-PARTS = 64
+#: Words of the sketch whose bits say which blocks of columns hold an odd number of a set's n-grams.
+PARITY = [f"odd{k}" for k in range(8)]
 #: Centres of a crowded column in the second round; each further round takes as many times more.
 CENTRES = 128
 
@@ -101,16 +101,18 @@ def _second_part(texts: DataFrame, n: int) -> DataFrame:
     return texts.select("rep", "comp", "text").mapInArrow(run, "rep long, comp long, key long")
 
 
-def _block_sizes(texts: DataFrame, n: int) -> DataFrame:
-    """texts(rep, text) -> rep, sizes: how many n-grams of the set lie in each of ``PARTS`` equal blocks of all columns."""
+def _parities(texts: DataFrame, n: int) -> DataFrame:
+    """texts(rep, text) -> rep and the columns ``PARITY``: whether the n-grams of the set in each of 512 equal blocks of all
+    columns are odd in number, a bit for each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
-            sizes = [np.bincount((found >> (63 - PARTS.bit_length() + 1)), minlength=PARTS) for found in _sets(batch.column(1), cache, n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tolist() for s in sizes], pa.list_(pa.int32()))], ["rep", "sizes"])
+            odd = np.array([np.bincount(found >> 54, minlength=512) & 1 for found in _sets(batch.column(1), cache, n)], np.uint8).reshape(-1, 512)
+            words = np.packbits(odd, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(len(PARITY)))], ["rep", *PARITY])
 
-    return texts.select("rep", "text").mapInArrow(run, "rep long, sizes array<int>")
+    return texts.select("rep", "text").mapInArrow(run, ", ".join(f"{c} long" for c in ("rep", *PARITY)))
 
 
 def multiplied(cells: DataFrame, threshold: int) -> DataFrame:
@@ -157,9 +159,7 @@ def _labelled(docs: DataFrame, threshold: int, shingle: int) -> DataFrame:
     first = F.col("n") - F.ceil(F.col("n") * threshold / F.lit(100)) + 1 - (F.col("n") - F.col("high") - F.col("crowded"))
     place = F.row_number().over(Window.partitionBy("rep").orderBy("key"))
     needed = crowded.select("key", "rep", "n", "high").join(grown(held), "rep").withColumn("place", place).where(F.col("place") <= first)
-    # the columns before, so that a pair is made in the first one that it shares
-    before = F.collect_list("key").over(Window.partitionBy("rep").orderBy("key").rowsBetween(Window.unboundedPreceding, -1))
-    needed = cut(needed.select("key", "rep", "n", before.alias("before")), "needed")
+    needed = cut(needed.select("key", "rep", "n"), "needed")
     few = kept.where(F.col("c") <= CROWD).select("key", "rep", "n", "high").join(grown(held), "rep", "left").withColumn("crowded", F.coalesce("crowded", F.lit(0)))
     candidates = cut(multiplied(few, threshold), "candidates")
 
@@ -198,13 +198,13 @@ def _labelled(docs: DataFrame, threshold: int, shingle: int) -> DataFrame:
         chosen = able.select("rep", "n", "high", F.col("doc_id").alias("d")).join(grown(again), "rep").where(100 * (F.col("met") + F.col("high") - F.col("second")) >= threshold * F.col("n"))
         chosen = cut(chosen.select("rep", "d"), "chosen")
         forget(part)
-        sizes = _block_sizes(texts.join(grown(chosen), "rep", "left_semi"), shingle)
-        members = open_columns(members.drop("comp").join(grown(cut(chosen.join(grown(sizes), "rep"), "sizes")), "rep"))
+        odd = _parities(texts.join(grown(chosen), "rep", "left_semi"), shingle)
+        members = open_columns(members.drop("comp").join(grown(cut(chosen.join(grown(odd), "rep"), "parities")), "rep"))
     centres = 1
     while not members.isEmpty():
         slot = F.pmod(F.xxhash64("rep", F.lit(centres)), F.lit(centres))
         placed = members.withColumn("slot", slot)
-        heads = cut(placed.groupBy("key", "slot").agg(F.min_by(F.struct("rep", "n", "comp", "before", "sizes"), F.struct("d", "rep")).alias("c")), "centres")
+        heads = cut(placed.groupBy("key", "slot").agg(F.min_by(F.struct("rep", "n", "comp", *PARITY), F.struct("d", "rep")).alias("c")), "centres")
         first = heads.select("key", "slot", F.col("c.rep").alias("first"))
         members = cut(placed.join(grown(first), ["key", "slot"]).withColumn("is_centre", F.col("rep") == F.col("first")).drop("slot", "first"), "members")
         possible = (
@@ -212,9 +212,8 @@ def _labelled(docs: DataFrame, threshold: int, shingle: int) -> DataFrame:
             # two centres meet once
             & (~F.col("is_centre") | (F.col("c.rep") < F.col("rep")))
             & (100 * F.least("n", "c.n") >= threshold * F.greatest("n", "c.n"))
-            & ~F.arrays_overlap("before", "c.before")
-            # in each block of columns two sets have no more in common than the smaller part
-            & ((100 + threshold) * F.aggregate(F.zip_with("sizes", "c.sizes", lambda x, y: F.least(x, y)), F.lit(0), lambda acc, x: acc + x) >= threshold * (F.col("n") + F.col("c.n")))
+            # an n-gram of one set alone changes the parity of one block, so that the sets differ in so many at least
+            & ((100 + threshold) * sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"c.{c}"))) for c in PARITY) <= (100 - threshold) * (F.col("n") + F.col("c.n")))
         )
         pairs = members.join(grown(heads.select("key", "c")), "key").where(possible).select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()
         more = cut(verified(pairs, texts, threshold, shingle), "links")
