@@ -56,21 +56,36 @@ def score_events(events: DataFrame, preferred: DataFrame, profile: DataFrame, co
     """The ``least`` best events for one user, matching or not, with their scores after the penalty.
 
     preferred(user_id, tag) and profile(user_id, tag, score) are that user's. The head of the order is taken deeper until
-    it holds ``least`` events without a penalty: nothing behind these can come before them.
+    its ``least`` best final scores reach the total at its end: a penalty only lowers a score, so nothing behind that end can
+    come before them. Where all events are of one category, all behind it are penalised, and the bound is lower by that.
     """
     vibe = tag_scores(events, preferred, profile).drop("user_id")
     joined = events.join(vibe, "id", "left").withColumn("vibe_score", F.coalesce("vibe_score", F.lit(0.0))).withColumn("matched_tags", F.coalesce("matched_tags", F.array().cast("array<string>")))
     scored, depth = written(components(joined, counts, as_of), "scored"), 2 * least + 16
+    spared = PENALTY if _of_one_category(scored.select(F.get("categories", F.lit(0)).alias("category"))) else 0.0
+    order = [F.desc("total_score"), F.asc("start_at"), F.asc("id")]
     while True:
-        order = [F.desc("total_score"), F.asc("start_at"), F.asc("id")]
         # at most ``depth`` rows in one window
-        head = written(penalised(scored.orderBy(*order).limit(depth), []).withColumn("penalty", F.col("repeat").cast("int")), "head")
-        n, hit = head.agg(F.count("*"), F.coalesce(F.sum("penalty"), F.lit(0))).collect()[0]
-        if n < depth or n - hit >= least:
-            return head.drop("penalty", "repeat").orderBy(*order).limit(least)
+        head = written(penalised(scored.orderBy(*order).limit(depth).withColumn("before", _key("total_score", spared)), []).drop("repeat"), "head")
+        best = written(head.orderBy(*order).limit(least), "best")
+        n, end = head.agg(F.count("*"), F.max("before")).collect()[0]
+        # the least key comes first
+        got, worst = best.agg(F.count("*"), F.max(_key("total_score"))).collect()[0]
+        if n < depth or (got == least and worst <= end):
+            return best.drop("before").orderBy(*order)
         depth *= 4
 
 
+def _key(total: str, less: float = 0.0) -> Column:
+    """What rows are ordered by, ascending; with a total that is so much less."""
+    return F.struct((F.lit(less) - F.col(total)).alias("t"), F.col("start_at").alias("s"), F.col("id").alias("i"))
+
+
+def _of_one_category(rows: DataFrame) -> bool:
+    found = rows.agg(F.min("category").alias("lo"), F.max("category").alias("hi"), F.count_if(F.col("category").isNull()).alias("none")).first()
+    return found["none"] == 0 and found["lo"] == found["hi"]
+
+
 def best_matches(events: DataFrame, preferred: DataFrame, profile: DataFrame, counts: DataFrame, as_of: Column, least: int, by: str = "user_id") -> DataFrame:
     """by, id, vibe_score, matched_tags, the other scores, total_score and rank of the ``least`` best matching events of each.
 
@@ -78,8 +93,9 @@ def best_matches(events: DataFrame, preferred: DataFrame, profile: DataFrame, co
     beyond a depth. Events with the same tags have the same vibe for a user, so that tags are matched with users once for
     each distinct list of tags, and within a list all users share one order. The first ``depth`` matches of a user are among
     the heads of the lists, and the unmatched ones come from the common order of all events. Down to there the order is
-    whole; once it holds ``least`` matches without a penalty, nothing behind them can come before them. Users for whom it
-    does not are taken up again, four times as deep. Totals are rounded at nine digits, so that equal ones tie.
+    whole. A penalty only lowers a score, so nothing behind that end can come before a final score that reaches the total
+    there (or that less the penalty, where all events are of one category and so all behind are penalised): once the ``least``
+    best matches do, they are the result. Users for whom they don't are taken up again, four times as deep. Totals are rounded at nine digits, so that equal ones tie.
     """
     few = events.select("id", "start_at", "created_at", "tags", F.get("categories", F.lit(0)).alias("category"))
     plain = components(few.withColumn("vibe_score", F.lit(0.0)), counts, as_of)
@@ -91,15 +107,15 @@ def best_matches(events: DataFrame, preferred: DataFrame, profile: DataFrame, co
     first = F.struct((F.col("head.b") - VIBE * F.col("vibe_score")).alias("t"), "head.start_at", "head.id")
     vibes = written(vibes.join(heads, "list").select(by, "list", "size", "vibe_score", "matched_tags", first.alias("first")), "vibes")
     n_events, open_users, depth, found = listed.count(), vibes.select(by).distinct(), least + 16, None
-    order = [F.desc("total"), F.asc("start_at"), F.asc("id")]
+    order, spared = [F.desc("total"), F.asc("start_at"), F.asc("id")], PENALTY if _of_one_category(listed) else 0.0
     while True:
-        mine = vibes.join(open_users, by, "left_semi")
-        mine = mine.withColumn("all", F.sum("size").over(Window.partitionBy(by))).withColumn("r", F.row_number().over(Window.partitionBy(by).orderBy("first"))).where(F.col("r") <= depth)
+        liked = vibes.join(open_users, by, "left_semi")
+        liked = liked.withColumn("all", F.sum("size").over(Window.partitionBy(by))).withColumn("r", F.row_number().over(Window.partitionBy(by).orderBy("first"))).where(F.col("r") <= depth)
         place = Window.partitionBy("list").orderBy(F.desc("base"), "start_at", "id")
         tops = listed.where("list is not null").withColumn("n", F.row_number().over(place)).where(F.col("n") <= depth)
         # before the heads of r - 1 lists there is no room for more than depth - r + 1 of the next
         total = F.round(VIBE * F.col("vibe_score") + F.col("base"), 9)
-        hits = mine.join(tops.drop("size"), "list").where(F.col("n") + F.col("r") <= depth + 1).select(by, "list", "id", "start_at", "category", total.alias("total"), F.lit(1).alias("hit"), "all")
+        hits = liked.join(tops.drop("size"), "list").where(F.col("n") + F.col("r") <= depth + 1).select(by, "list", "id", "start_at", "category", total.alias("total"), F.lit(1).alias("hit"), "all")
         wide = 4 * depth
         common = listed.orderBy(F.desc("base"), "start_at", "id").limit(wide).select("id", "start_at", "category", "list", F.col("base").alias("total"))
         common = written(common.withColumn("g", F.row_number().over(Window.orderBy(*order))), "common")  # at most ``wide`` rows
@@ -113,13 +129,15 @@ def best_matches(events: DataFrame, preferred: DataFrame, profile: DataFrame, co
             last = F.struct(F.lit(-end[0]["total"]).alias("t"), F.lit(end[0]["start_at"]).alias("s"), F.lit(end[0]["id"]).alias("i"))
             rows = rows.where(F.struct((-F.col("total")).alias("t"), F.col("start_at").alias("s"), F.col("id").alias("i")) <= last)
         repeat = F.coalesce(F.col("category") == F.col("before"), F.lit(False))
-        rows = rows.where("hit = 1").select(by, "list", "id", "start_at", "all", repeat.alias("repeat"), (F.col("total") - F.when(repeat, PENALTY).otherwise(0.0)).alias("total"))
-        clean = F.count_if(~F.col("repeat")).over(Window.partitionBy(by))
+        # the last row down to which the order is whole: behind the last of ``depth`` matches, others may lack
+        mine = Window.partitionBy(by)
+        rows = rows.withColumn("end", F.when(F.max("seen").over(mine) >= depth, F.max(F.when(F.col("hit") == 1, _key("total", spared))).over(mine)).otherwise(F.max(_key("total", spared)).over(mine)))
+        rows = rows.where("hit = 1").select(by, "list", "id", "start_at", "all", "end", F.round(F.col("total") - F.when(repeat, PENALTY).otherwise(0.0), 9).alias("total"))
         # whole when no list was cut
         whole = F.lit(False) if end else F.col("all") <= depth
-        rows = rows.withColumn("done", (clean >= least) | whole).withColumn("rank", F.row_number().over(merged)).where(F.col("rank") <= least)
-        rows = written(rows, "ranked")
-        done = rows.where("done").drop("done", "repeat", "all")
+        rows = rows.withColumn("rank", F.row_number().over(merged)).where(F.col("rank") <= least).withColumn("key", _key("total"))
+        rows = written(rows.withColumn("done", whole | ((F.count("*").over(mine) == least) & (F.max("key").over(mine) <= F.col("end")))).drop("key", "end"), "ranked")
+        done = rows.where("done").drop("done", "all")
         found = done if found is None else found.unionByName(done)
         open_users = written(open_users.join(rows.where("done").select(by).distinct(), by, "left_anti"), "open")
         if open_users.isEmpty():

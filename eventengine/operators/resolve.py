@@ -224,37 +224,52 @@ def has_news(old: str = "o", new: str = "n") -> Column:
     return out | F.coalesce(F.abs(F.unix_micros(n("start_at")) - F.unix_micros(o("start_at"))) > 1_800_000_000, F.lit(False))
 
 
-def upsert(incoming: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(the new stored table, ordinal -> action and id).
+def changes(incoming: DataFrame, stored: DataFrame, top: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(changed stored rows, inserted rows, ordinal -> action and id).
 
     All incoming rows are matched to the table as it was; several that hit one stored row are folded in their order; rows
-    that hit none are deduplicated once more and inserted with ids after the largest.
+    that hit none are deduplicated once more and inserted with ids after the largest, which ``top`` (one row) holds where
+    ``stored`` is a part of the table only.
     """
     clean = written(dedupe(incoming).select("ordinal", *CANON.fieldNames()), "incoming")
     pairs = written(match_stored(clean, stored), "matches")
     o = stored.select("id", F.struct(*CANON.fieldNames()).alias("o"))
     n = clean.select("ordinal", F.struct(*CANON.fieldNames()).alias("n"))
     judged = written(pairs.join(n, "ordinal").join(o, "id").withColumn("news", has_news()), "judged")
-    news = judged.where("news")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ordinal")
-        row = dict(pdf["o"].iloc[0])
-        for nxt in pdf["n"]:
-            row = merge(_stamped(row), _stamped(dict(nxt)))
-        return pd.DataFrame([row | {"id": pdf["id"].iloc[0]}], columns=["id", *CANON.fieldNames()])
 
-    changed = news.select("id", "ordinal", "o", "n").groupBy("id").applyInPandas(run, T.StructType([T.StructField("id", T.LongType()), *CANON.fields]))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # the news of a stored row come one after another, in input order; only what it has become is held
+        of, row = None, {}
+        for pdf in batches:
+            done = []
+            for key, old, nxt in zip(pdf["id"], pdf["o"], pdf["n"], strict=True):
+                if key != of:
+                    if of is not None:
+                        done.append(row)
+                    of, row = key, _stamped(dict(old)) | {"id": key}
+                row = merge(row, _stamped(dict(nxt)))
+            yield pd.DataFrame(done, columns=["id", *CANON.fieldNames()])
+        yield pd.DataFrame([row] if of is not None else [], columns=["id", *CANON.fieldNames()])
+
+    news = judged.where("news").select("id", "ordinal", "o", "n")
+    changed = news.repartition("id").sortWithinPartitions("id", "ordinal").mapInPandas(run, T.StructType([T.StructField("id", T.LongType()), *CANON.fields]))
     fresh = clean.join(pairs, "ordinal", "left_anti")
-    top = F.broadcast(stored.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("top")))
+    top = F.broadcast(stored.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("top")) if top is None else top)
     rank = fresh.select("ordinal").repartitionByRange("ordinal").sortWithinPartitions("ordinal").withColumn("part", F.spark_partition_id())
     rank = written(rank.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("ordinal"))), "rank")
     counts = rank.groupBy("part").agg(F.count("*").alias("c"))
     before = counts.select("part", (F.sum("c").over(Window.orderBy("part")) - F.col("c")).alias("b"))
     ids = rank.join(before, "part").crossJoin(top).select("ordinal", (F.col("top") + F.col("b") + F.col("k")).alias("id"))
     inserted = fresh.join(ids, "ordinal").select("id", *CANON.fieldNames())
-    kept = stored.select("id", *CANON.fieldNames()).join(news.select("id").distinct(), "id", "left_anti")
     actions = judged.select("ordinal", "id", F.when(F.col("news"), "update").otherwise("skip").alias("action")).unionByName(ids.select("ordinal", "id", F.lit("insert").alias("action")))
+    return changed, inserted, actions
+
+
+def upsert(incoming: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the new stored table, ordinal -> action and id); see :func:`changes`."""
+    changed, inserted, actions = changes(incoming, stored)
+    news = actions.where("action = 'update'").select("id").distinct()
+    kept = stored.select("id", *CANON.fieldNames()).join(news, "id", "left_anti")
     return kept.unionByName(changed).unionByName(inserted), actions
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, text, timex
+from . import layout
+from .textindex import TextIndex
 
 # Fixed values.
 LOCATION_PRESETS = {"sf": "san francisco", "oakland": "oakland", "san_jose": "san jose"}
@@ -51,6 +53,11 @@ def people_interested(signals: DataFrame) -> DataFrame:
     return signals.where(F.col("event_id").isNotNull() & F.col("signal_type").isin("save", "click", "external_ticket_click")).groupBy("event_id").agg(F.countDistinct("user_id").alias("people_interested"))
 
 
+def place_of(row, sort_by: str = "date") -> tuple:
+    """Where the page after a row (of a page of :func:`search` in the same order) begins."""
+    return (row["metres"] if sort_by == "distance" else row["start_at"], row["id"])
+
+
 def search(
     events: DataFrame,
     as_of: datetime,
@@ -70,8 +77,15 @@ def search(
     status: str | None = None,
     limit: int = 25,
     offset: int = 0,
+    index: TextIndex | None = None,
+    after: tuple | None = None,
 ) -> DataFrame:
-    """A page of events with distance_miles (with a point) and people_interested (with signals); ties go to the lower id."""
+    """A page of events with distance_miles (with a point) and people_interested (with signals); ties go to the lower id.
+
+    With ``index``, a stored one of these events, texts are met by its postings instead of being stemmed for the query.
+    ``after``, in place of an offset, is what :func:`place_of` says of the last row of the page before: then a page costs
+    the same wherever it stands.
+    """
     given = [x is not None for x in (lat, lng, radius_miles)]
     if any(given) and not all(given):
         raise ValueError("lat, lng and radius_miles go together")
@@ -80,7 +94,7 @@ def search(
     now = F.lit(as_of).cast("timestamp")
     out = events if include_past else events.where(F.col("start_at") >= now)
     if q:
-        out = out.where(matches_all(q))
+        out = out.where(matches_all(q)) if index is None else out.join(index.lookup(q), "id", "left_semi")
     if status is not None:
         out = out.where(F.col("status") == status)
     preset = timex.preset_window(time_preset, now) if time_preset else (None, None)
@@ -98,11 +112,22 @@ def search(
     if all(given):
         metres = geo.distance_m(F.col("lat"), F.col("lon"), F.lit(lat), F.lit(lng))
         reach = radius_miles * geo.MILE_M
+        # of a table laid out by place, the scan reads the ranges around the point only
+        out = layout.near(out, lat, lng, reach) if "place" in out.columns else out
         out = out.where(geo.in_box(F.col("lat"), F.col("lon"), lat, lng, reach)).withColumn("__m", metres)
         out = out.where((F.col("__m") <= reach) & (F.col("location_confidence") >= min_location_confidence))
         if sort_by == "distance":
             order = [F.asc("__m"), F.asc("id")]
+    if after is not None:
+        if offset:
+            raise ValueError("a page is given by an offset or by what it comes after")
+        at = F.col("__m") if all(given) and sort_by == "distance" else F.col("start_at")
+        place, number = F.lit(after[0]).cast("double" if all(given) and sort_by == "distance" else "timestamp"), F.lit(after[1])
+        # the first comparison alone reaches the scan
+        out = out.where((at >= place) & ((at > place) | (F.col("id") > number)))
     page = out.orderBy(*order).offset(offset).limit(limit)
+    if all(given) and sort_by == "distance":
+        page = page.withColumn("metres", F.col("__m"))
     if all(given):
         page = page.withColumn("distance_miles", geo.miles(F.col("__m"))).drop("__m")
     if signals is not None:

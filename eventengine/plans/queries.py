@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, money, similarity, text, timex
@@ -178,7 +178,7 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH p AS (SELECT conv_id * 1000 + turn AS request_id, lower(trim(concat_ws(' ', left(text, 40), ['date night tonight in sf', 'bar crawl this weekend', 'visiting guests tomorrow', 'something on sunday', '', 'anything in oakland'][conv_id % 6 + 1]))) AS x FROM conversations WHERE role = 'user')
+    WITH p AS (SELECT conv_id * 1000 + turn AS request_id, lower(trim(concat_ws(' ', text, ['date night tonight in sf', 'bar crawl this weekend', 'visiting guests tomorrow', 'something on sunday', '', 'anything in oakland'][conv_id % 6 + 1]))) AS x FROM conversations WHERE role = 'user')
     SELECT request_id,
         CASE WHEN contains(x, 'date night') THEN 'date_night' WHEN contains(x, 'out-of-town') OR contains(x, 'visiting') OR contains(x, 'guests') THEN 'out_of_town_guests' WHEN contains(x, 'bar crawl') THEN 'bar_crawl' ELSE 'general_night_out' END AS intent,
         CASE WHEN contains(x, 'oakland') THEN 'oakland' WHEN contains(x, 'san francisco') THEN 'san francisco' WHEN contains(x, 'sf') THEN 'sf' WHEN contains(x, 'berkeley') THEN 'berkeley' WHEN contains(x, 'mission') THEN 'mission' WHEN contains(x, 'soma') THEN 'soma' WHEN contains(x, 'south bay') THEN 'south bay' WHEN contains(x, 'san jose') THEN 'san jose' END AS geography,
@@ -236,11 +236,12 @@ def admitted_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-    WITH {CANON_SQL}, v AS (SELECT event_id % 500 AS item_id, user_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY ALL)
+    WITH {CANON_SQL}, v AS (SELECT event_id % np.n AS item_id, user_id, arg_max(value, (ts, event_id)) AS value FROM events, np GROUP BY ALL)
     SELECT id % 20 AS folder_id, id AS item_id, title, coalesce(s, 0) AS vote_score FROM canon LEFT JOIN (SELECT item_id, CAST(sum(CASE WHEN value >= 10 THEN 1 ELSE -1 END) AS BIGINT) AS s FROM v GROUP BY item_id) ON item_id = id
 """)
 def folder_board(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = table(spark, sf_dir, "events").select((F.col("event_id") % 500).alias("item_id"), "user_id", F.when(F.col("value") >= 10, 1).otherwise(-1).alias("value"), F.struct("ts", "event_id").alias("at"))
+    items = F.broadcast(table(spark, sf_dir, "part").agg(F.count("*").alias("n_items")))
+    log = table(spark, sf_dir, "events").crossJoin(items).select((F.col("event_id") % F.col("n_items")).alias("item_id"), "user_id", F.when(F.col("value") >= 10, 1).otherwise(-1).alias("value"), F.struct("ts", "event_id").alias("at"))
     ev = canon_events(spark, sf_dir)
     items = ev.select((F.col("id") % 20).alias("folder_id"), F.col("id").alias("item_id"), F.col("id").alias("event_id"))
     return social.board(items, ev, social.current_votes(log)).select("folder_id", "item_id", "title", "vote_score")
@@ -301,13 +302,10 @@ def upsert_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT a.id AS id, count(*) AS same_venue_within_2h FROM canon a JOIN canon b ON a.venue_name = b.venue_name AND a.id <> b.id AND abs(epoch_us(a.start_at) - epoch_us(b.start_at)) <= 7200000000 GROUP BY a.id
 """)
 def interval_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every event, those at its venue that start within two hours: a bucketed interval join."""
-    ev = canon_events(spark, sf_dir).select("id", "venue_name", "start_at")
-    bucket = F.floor(F.unix_seconds("start_at") / 7200)
-    left = ev.withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-    right = ev.select(F.col("id").alias("other"), "venue_name", F.col("start_at").alias("other_start"), bucket.alias("bucket"))
-    near = left.join(right, ["venue_name", "bucket"]).where((F.col("id") != F.col("other")) & (F.abs(F.unix_micros("start_at") - F.unix_micros("other_start")) <= 7_200_000_000))
-    return near.groupBy("id").agg(F.count("*").alias("same_venue_within_2h"))
+    """For every event, the number of those at its venue that start within two hours, by a window over their starts."""
+    ev = canon_events(spark, sf_dir).select("id", "venue_name", F.unix_micros("start_at").alias("at"))
+    near = Window.partitionBy("venue_name").orderBy("at").rangeBetween(-7_200_000_000, 7_200_000_000)
+    return ev.withColumn("same_venue_within_2h", F.count("*").over(near) - 1).where("same_venue_within_2h > 0").select("id", "same_venue_within_2h")
 
 
 @query(f"""
@@ -493,10 +491,10 @@ def event_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.user_digest(canon_events(spark, sf_dir), users(spark, sf_dir), user_signals(spark, sf_dir), None, NOW)
 
 
-@query(f"WITH {CANON_SQL} SELECT id FROM canon WHERE id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0)")
+@query(f"WITH {CANON_SQL} SELECT id FROM canon WHERE id NOT IN (SELECT c_custkey FROM customer)")
 def unseen_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events that a keyed table lacks: the idempotent load."""
-    known = table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 3 == 0).select(F.col("o_orderkey").alias("id"))
+    """Events that a keyed table, of customers, lacks: the idempotent load."""
+    known = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
     return resolve.unseen(canon_events(spark, sf_dir).select("id"), known, ("id",))
 
 
@@ -558,7 +556,7 @@ def key_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
     WITH {CANON_SQL},
-    g AS (SELECT lower(CASE WHEN s_suppkey % 5 = 0 THEN 'The ' || s_name || ' Hall' WHEN s_suppkey % 5 = 1 THEN right(s_name, 9) ELSE s_name END) AS g, s_suppkey AS o, s_suppkey / 100.0 AS la, -s_suppkey / 100.0 AS lo FROM supplier WHERE s_suppkey % 5 < 4),
+    g AS (SELECT lower(CASE WHEN s_suppkey % 5 = 0 THEN 'The ' || s_name || ' Hall' WHEN s_suppkey % 5 = 1 THEN right(s_name, 9) WHEN s_suppkey % 5 = 4 THEN 'shut ' || s_suppkey ELSE s_name END) AS g, s_suppkey AS o, s_suppkey / 100.0 AS la, -s_suppkey / 100.0 AS lo FROM supplier),
     n AS (SELECT DISTINCT lower(venue_name) AS v FROM canon),
     m AS (SELECT v, arg_min(struct_pack(la := la, lo := lo), (v <> g, o)) AS x FROM n JOIN g ON contains(v, g) OR contains(g, v) GROUP BY v),
     c AS (SELECT lower(n_name) AS c, CAST(n_nationkey AS DOUBLE) AS la, CAST(n_nationkey + 100 AS DOUBLE) AS lo FROM nation),
@@ -568,11 +566,11 @@ def key_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM e LEFT JOIN m ON m.v = lower(venue) LEFT JOIN c ON c.c = lower(city)
 """)
 def geocoded_venues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as a gazetteer, under their names, longer ones or parts of them; nations as cities; events with and
+    """Suppliers as a gazetteer, under their names, longer ones, parts of them or other ones; nations as cities; events with and
     without a venue, a city, a point."""
     s, k = F.col("s_name"), F.col("s_suppkey")
-    name = F.when(k % 5 == 0, F.concat(F.lit("The "), s, F.lit(" Hall"))).when(k % 5 == 1, F.expr("right(s_name, 9)")).otherwise(s)
-    known = table(spark, sf_dir, "supplier").where(k % 5 < 4).select(name.alias("name"), (k / 100.0).alias("lat"), (-k / 100.0).alias("lon"), k.alias("ordinal"))
+    name = F.when(k % 5 == 0, F.concat(F.lit("The "), s, F.lit(" Hall"))).when(k % 5 == 1, F.expr("right(s_name, 9)")).when(k % 5 == 4, F.concat(F.lit("shut "), k.cast("string"))).otherwise(s)
+    known = table(spark, sf_dir, "supplier").select(name.alias("name"), (k / 100.0).alias("lat"), (-k / 100.0).alias("lon"), k.alias("ordinal"))
     nations = table(spark, sf_dir, "nation")
     cities = nations.select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("double").alias("lat"), (F.col("n_nationkey") + 100).cast("double").alias("lon"))
     i = F.col("id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.tables import EventTable
+
 
 def landed(spark: SparkSession, path: str, schema, files_per_trigger: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
@@ -20,6 +23,12 @@ def ingest(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpoin
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_into(stream: DataFrame, table: EventTable, name: str, checkpoint: str):
+    """One pass that upserts canonical rows with ordinal into the stored table, each batch exactly once, however often it is
+    replayed: the table's commit holds the batch's number. Late rows and rows seen before are merged into what is stored."""
+    return ingest(stream, lambda batch, batch_id: table.load(batch, name, batch_id), checkpoint)
+
+
 HEALTH = "source_name string, run_at timestamp, n long, historic_avg double, consecutive_zeros long, status string, alert boolean"
 
 
@@ -43,17 +52,18 @@ def source_health(runs: DataFrame, history: int = 5, least_mean: float = 10.0) -
 
 
 def throttle(requests: DataFrame, limit: int, seconds: float) -> DataFrame:
-    """requests(key, at) -> key, at, admitted; state: the admitted times in the window."""
+    """requests(key, at) -> key, at, admitted; state: the admitted times in the window. A limit of 0 is none."""
     width = pd.Timedelta(seconds=seconds)
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        live = [pd.Timestamp(t, unit="us") for t in state.get[0]] if state.exists else []
+        live = deque(pd.Timestamp(t, unit="us") for t in state.get[0]) if state.exists else deque()
         rows = pd.concat(list(pdfs)).sort_values("at")
         ok = []
         for at in rows["at"]:
-            live = [t for t in live if t > at - width]
-            ok.append(len(live) < limit)
-            if ok[-1]:
+            while live and live[0] <= at - width:
+                live.popleft()
+            ok.append(not limit or len(live) < limit)
+            if ok[-1] and limit:
                 live.append(at)
         state.update(([t.value // 1000 for t in live],))
         yield pd.DataFrame({"key": key[0], "at": rows["at"].to_numpy(), "admitted": ok})

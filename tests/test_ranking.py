@@ -116,6 +116,32 @@ def test_best_matches_equal_brute_force(spark, categories, least, seed):
         assert [x[0] for x in sorted(got.get(u, []))] == list(range(1, len(want) + 1))
 
 
+def test_one_category_stops_near_the_limit(spark, monkeypatch):
+    """Where all but the first are penalised, the score bound ends the search as soon as totals have fallen by the penalty."""
+    rng = random.Random(11)
+    rows = [ev(i, age_hours=rng.choice([1, 30, 100, 900]), category="same", tags=["#a"] if i % 2 else []) for i in range(3_000)]
+    counts = {i: rng.randint(0, 10) if i % 50 < 2 else 0 for i in range(3_000)}
+    df = spark.createDataFrame(rows, EVENT)
+    likes = spark.createDataFrame([(u, "#a") for u in range(20)], "user_id long, tag string")
+    none, interest = spark.createDataFrame([], "user_id long, tag string, score double"), spark.createDataFrame(list(counts.items()), "event_id long, people_interested long")
+    read, keep = {"common": [], "head": []}, rank.written
+
+    def seen(frame, name):
+        out = keep(frame, name)
+        if name in read:
+            read[name].append(out.count())
+        return out
+
+    monkeypatch.setattr(rank, "written", seen)
+    got = sorted(rank.best_matches(df, likes, none, interest, F.lit(NOW), 25).where("user_id = 3").collect(), key=lambda r: r["rank"])
+    events = [r.asDict() for r in df.collect()]
+    brute = brute_best(events, {"#a"}, {}, counts, 25)
+    assert [(r["id"], round(r["total_score"], 6)) for r in got] == [(e["id"], round(t, 6)) for t, e, v in brute if v > 0][:25]
+    one_user = rank.score_events(df, likes.where("user_id = 3"), none, interest, F.lit(NOW), 25).collect()
+    assert [r["id"] for r in one_user] == [e["id"] for _, e, _ in brute[:25]]
+    assert read["common"] == [164] and max(read["head"]) <= 264, "all rows were read before"
+
+
 def test_score_events_of_one_user(spark):
     rng = random.Random(7)
     rows = [ev(i, days=rng.randint(1, 6), age_hours=rng.choice([1, 30, 100, 900]), category="same", tags=rng.sample(["#a", "#b"], rng.randint(0, 1))) for i in range(300)]

@@ -1,5 +1,6 @@
 """Streams agree with their batch forms."""
 
+import random
 import tempfile
 from datetime import datetime, timedelta
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventengine.operators import health
-from eventengine.streaming import jobs
+from eventengine.streaming import jobs, ordered
 
 
 def landed(spark, rows, schema, parts=3):
@@ -89,3 +90,55 @@ def test_lifecycle(spark):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     got = {(r["id"], r["title"], r["status"]) for r in result(spark, stream, "lifecycle")}
     assert got == {(1, "ends", "past"), (2, "open end", "past")}
+
+
+def shuffled(rows, seed=3, reach=6):
+    """Rows a few places from where they belong."""
+    rng = random.Random(seed)
+    return [r for _, r in sorted(enumerate(rows), key=lambda x: x[0] + rng.uniform(0, reach))]
+
+
+def states(spark, checkpoint):
+    return spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "kept").load().count(), spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "waiting").load().count()
+
+
+def run_ordered(spark, stream, name):
+    spark.conf.set(*ordered.STATE_STORE)
+    ckpt = tempfile.mkdtemp(prefix="spark-")
+    q = stream.writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    return spark.sql(f"SELECT * FROM {name}").collect(), ckpt
+
+
+def test_late_requests_are_taken_in_order(spark):
+    """Shuffled requests are judged as in the batch form, and idle keys leave nothing behind."""
+    rows = [(k, T0 + timedelta(seconds=7 * i + k)) for i in range(40) for k in (1, 2)]
+    end = [(99, T0 + timedelta(hours=5))]
+    schema = "key long, at timestamp"
+    got, ckpt = run_ordered(spark, ordered.throttle(landed(spark, shuffled(rows) + end, schema, 4), 3, 60.0, "2 minutes"), "ordered_throttle")
+    want = health.throttle(spark.createDataFrame(rows, schema), 3, 60.0).collect()
+    as_list = lambda x: sorted((r["key"], r["at"], r["admitted"]) for r in x if r["key"] != 99)
+    assert as_list(got) == as_list(want) and 0 < sum(r["admitted"] for r in want) < len(rows)
+    # only the row that moved the watermark still waits
+    assert states(spark, ckpt) == (0, 1)
+
+
+def test_no_limit_admits_all(spark):
+    rows = [(1, T0 + timedelta(seconds=i)) for i in range(12)]
+    schema = "key long, at timestamp"
+    got = result(spark, jobs.throttle(landed(spark, rows, schema), 0, 60.0), "unlimited")
+    assert len(got) == 12 and all(r["admitted"] for r in got)
+    got, _ = run_ordered(spark, ordered.throttle(landed(spark, rows, schema), 0, 60.0), "ordered_unlimited")
+    assert len(got) == 12 and all(r["admitted"] for r in got)
+
+
+def test_late_runs_are_taken_in_order(spark):
+    counts = [20, 30, 0, 0, 25, 11, 40, 0, 50, 12, 0, 0]
+    rows = [(s, T0 + timedelta(hours=i), n if s == "a" else n // 5) for i, n in enumerate(counts) for s in ("a", "b")]
+    schema = "source_name string, run_at timestamp, n long"
+    end = [("c", T0 + timedelta(days=90), 1)]
+    got, ckpt = run_ordered(spark, ordered.source_health(landed(spark, shuffled(rows) + end, schema, 4), late="8 hours"), "ordered_health")
+    want = health.run_health(spark.createDataFrame(rows, schema)).collect()
+    key = lambda r: (r["source_name"], r["run_at"], r["n"], round(r["historic_avg"], 9), r["consecutive_zeros"], r["status"], r["alert"])
+    assert sorted(map(key, got)) == sorted(map(key, want))
+    assert states(spark, ckpt) == (0, 1)
