@@ -96,6 +96,15 @@ def flexible_datetime(text: Column, reference: Column, tz: str = TZ, hour: int =
     return F.when(F.length(t) > 0, F.to_utc_timestamp(_wall(day, _Form(t, rf"{CLOCK}\b").clock(1, hour, minute)), tz))
 
 
+def card_instant(date_text: Column, time_text: Column, reference: Column, tz: str = TZ, hour: int = 19) -> Column:
+    """UTC instant of a card's day, an ISO date or a month's three letters and a day (and year, else the reference's), at the
+    time of its time text or the default hour; null without a day or with one that is none."""
+    iso, named = _Form(date_text, rf"{YEAR}-(\d{{1,2}})-(\d{{1,2}})"), _Form(date_text, rf"([a-z]{{3}})\s+{NUMBER}(?:,\s*{YEAR})?")
+    named_day = _day(F.coalesce(named.number(3), F.year(reference)), named.month(1), named.number(2))
+    day = F.when(iso.found(), _day(iso.number(1), iso.number(2), iso.number(3))).otherwise(named_day)
+    return F.to_utc_timestamp(_wall(day, _Form(F.coalesce(time_text, F.lit("")), CLOCK).clock(1, hour, 0)), tz)
+
+
 def date_range(text: Column, reference: Column, tz: str = TZ) -> tuple[Column, Column]:
     """First and last instant of 'Feb 14–Mar 28, 2026' or 'Mar 7–31, 2026', in UTC; nulls if there is none.
 

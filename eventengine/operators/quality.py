@@ -37,6 +37,28 @@ def flatten_canonical(nested: DataFrame, source_tier: int) -> DataFrame:
     )
 
 
+def to_payload(stored: DataFrame) -> DataFrame:
+    """Stored rows -> payloads: the canonical columns, lists never null."""
+    lists = {c: F.coalesce(c, F.array().cast("array<string>")) for c in ("categories", "tags")}
+    return stored.withColumns(lists).select(*(c for c in stored.columns if c not in CANON.fieldNames()), *CANON.fieldNames())
+
+
+def apply_payload(pairs: DataFrame, stored: str = "stored", payload: str = "payload") -> DataFrame:
+    """pairs with two structs of canonical columns -> the stored columns as the payload leaves them: all of them its own,
+    lists and numbers with their defaults, but the status, which only escalates."""
+    old, new = (lambda c: F.col(f"{stored}.{c}")), (lambda c: F.col(f"{payload}.{c}"))
+    severity = F.create_map(*[F.lit(x) for kv in text.STATUS_SEVERITY.items() for x in kv])
+    rank = lambda status: F.coalesce(F.try_element_at(severity, status), F.lit(0))
+    said = F.coalesce(new("status"), F.lit("scheduled"))
+    # a count or a confidence of zero is none given
+    own = {
+        "categories": F.coalesce(new("categories"), F.array().cast("array<string>")), "tags": F.coalesce(new("tags"), F.array().cast("array<string>")), "attendee_count": F.coalesce(new("attendee_count"), F.lit(0)),
+        "location_confidence": F.coalesce(F.nullif(new("location_confidence"), F.lit(0.0)), F.lit(1.0)), "is_free": F.coalesce(new("is_free"), F.lit(False)), "status": F.when(rank(said) > rank(old("status")), said).otherwise(old("status")),
+    }
+    rest = [c for c in pairs.columns if c not in (stored, payload)]
+    return pairs.select(*rest, *[own.get(c, new(c)).alias(c) for c in CANON.fieldNames()])
+
+
 def reject_reason(oldest: Column | None = None) -> Column:
     """Why a payload cannot be a canonical row; null when it can. ``oldest``: starts before it are rejected too."""
     blank = lambda c: text.blank_to_null(F.col(c)).isNull()

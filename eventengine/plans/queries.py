@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, money, similarity, text, timex
-from ..operators import digest, geocode, health, itinerary, profile, quality, rank, resolve, scratch, search, social
+from ..operators import digest, geocode, health, itinerary, layout, profile, quality, rank, resolve, scratch, search, social, tables, textindex
 from ..schema import CANON
 from ..sources import markup, payloads
 from ..streaming import jobs
@@ -79,6 +79,32 @@ def category_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canon_events(spark, sf_dir).where(search.in_category("Eco")).select("id", F.get("categories", F.lit(0)).alias("category"))
 
 
+@query(SQL["search_by_distance"])
+def search_laid_out_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same page from the events sorted along a space-filling curve: the scan reads the ranges around the point."""
+    path = scratch.folder(spark, "placed")
+    layout.by_place(canon_events(spark, sf_dir)).write.parquet(path)
+    page = search.search(spark.read.parquet(path), NOW, user_signals(spark, sf_dir), lat=37.7749, lng=-122.4194, radius_miles=2.0, sort_by="distance", limit=200)
+    return page.select("id", "title", "venue_name", "distance_miles", "people_interested")
+
+
+_ASKED = ", ".join(f"('{v[1:]}')" for v in VIBES)
+
+
+@query(f"""
+    WITH {CANON_SQL}, q AS (SELECT * FROM (VALUES {_ASKED}) AS t(word))
+    SELECT word, id FROM canon JOIN q ON list_contains(string_split(lower(concat_ws(' ', title, description)), ' '), word)
+""")
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events that hold each of some words, from a stored index in whose second batch all texts are replaced."""
+    index = textindex.TextIndex(spark, scratch.folder(spark, "index"))
+    ev = canon_events(spark, sf_dir)
+    index.add(ev.select("id", F.col("venue_name").alias("body")), 0)
+    index.add(ev.select("id", textindex.body(ev).alias("body")), 1)
+    asked = spark.createDataFrame([(v[1:], v[1:]) for v in VIBES], "query_id string, query string")
+    return index.lookup_each(asked).select(F.col("query_id").alias("word"), "id")
+
+
 _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 
 
@@ -297,6 +323,22 @@ def upsert_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.upsert(incoming, stored)[1]
 
 
+@query(f"""
+    WITH {CANON_SQL}
+    SELECT row_number() OVER (ORDER BY id % 2, id) AS id, title, description, TIMESTAMP '{AS_OF}' + to_seconds(id * 10800) AS start_at, status FROM canon
+""")
+def loaded_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored table after two batches and a replay: events three hours apart, first the even ones without descriptions,
+    then all of them with."""
+    ev = canon_events(spark, sf_dir).withColumns({"location": geo.point_wkt(F.col("lat"), F.col("lon")), "start_at": F.timestamp_seconds(F.unix_seconds(as_of()) + F.col("id") * 10800), "end_at": F.lit(None).cast("timestamp"), "ordinal": F.col("id")})
+    good, _ = quality.normalize(ev.withColumns({"currency": F.lit("USD"), "image_url": F.lit(None).cast("string"), "organizer_name": F.lit(None).cast("string")}))
+    table_ = tables.EventTable(spark, scratch.folder(spark, "stored"), 10_000)
+    table_.load(good.where(F.col("ordinal") % 2 == 0).withColumn("description", F.lit(None).cast("string")), "feed", 0)
+    table_.load(good, "feed", 1)
+    table_.load(good, "feed", 1)
+    return table_.read().select("id", "title", "description", "start_at", "status")
+
+
 @query(f"""
     WITH {CANON_SQL}
     SELECT a.id AS id, count(*) AS same_venue_within_2h FROM canon a JOIN canon b ON a.venue_name = b.venue_name AND a.id <> b.id AND abs(epoch_us(a.start_at) - epoch_us(b.start_at)) <= 7200000000 GROUP BY a.id

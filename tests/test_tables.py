@@ -149,3 +149,38 @@ def test_dates_of_links_and_issues(spark):
 @pytest.mark.parametrize("said, want", [("June 12 @ 8pm", True), ("on 2026-06-12", True), ("Sept. 3", True), ("in May we rest", False), ("12 June", False), ("late 8pm", False)])
 def test_explicit_dates(spark, said, want):
     assert spark.range(1).select(timex.explicit_date(F.lit(said)).alias("x")).first()["x"] is want
+
+
+@pytest.mark.parametrize(
+    "day, clock, want",
+    [
+        ("2026-06-14", "8:30 PM", datetime(2026, 6, 15, 3, 30)), ("Sat Jun 14", None, datetime(2026, 6, 15, 2)), ("Jan 3, 2027", "doors 12am", datetime(2027, 1, 3, 8)), ("Dec 31", "noon", datetime(2027, 1, 1, 3)),
+        # no day, no instant, whatever the time; nor for a day that is none or a month that is spelled out
+        (None, "8pm", None), ("", "8pm", None), ("tonight", "8pm", None), ("2026-02-30", "8pm", None), ("Feb 30", "8pm", None), ("Xyz 12", None, None), ("June 14", "8pm", None),
+        # clocks go forward on 8 March at two and back on 1 November at two
+        ("Mar 8", "1:59am", datetime(2026, 3, 8, 9, 59)), ("Mar 8", "2:30am", datetime(2026, 3, 8, 10, 30)), ("Mar 8", "3am", datetime(2026, 3, 8, 10)), ("Nov 1", "1:30am", datetime(2026, 11, 1, 8, 30)), ("Nov 1", "2am", datetime(2026, 11, 1, 10)),
+    ],
+)
+def test_instants_of_cards(spark, day, clock, want):
+    got = spark.range(1).select(timex.card_instant(F.lit(day).cast("string"), F.lit(clock).cast("string"), F.lit("2026-05-01").cast("date")).alias("x")).first()["x"]
+    assert got == want
+
+
+def test_stored_rows_and_payloads(spark):
+    from decimal import Decimal
+
+    from eventengine.schema import CANON
+
+    full = {"title": "T", "start_at": T0, "source_name": "s", "source_tier": 1, "location": "POINT(1 2)", "categories": ["c"], "tags": ["#t"], "price": Decimal("5.00"), "status": "postponed", "attendee_count": 7, "location_confidence": 0.9, "is_free": True, "description": "d"}
+    row = lambda **more: tuple((full | more).get(f) for f in CANON.fieldNames())
+    stored = spark.createDataFrame([(1, *row()), (2, *row(tags=None, categories=None))], f"id long, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in CANON.fields)}")
+    out = {r["id"]: r for r in quality.to_payload(stored).collect()}
+    assert tuple(out[1])[1:] == row() and (out[2]["tags"], out[2]["categories"]) == ([], [])
+    # there and back: a payload of the row itself leaves the row as it is
+    kind = f"struct<{','.join(f'{f.name}:{f.dataType.simpleString()}' for f in CANON.fields)}>"
+    cases = {"same": row(), "bare": row(status=None, tags=None, attendee_count=None, location_confidence=0.0, is_free=None, description=None), "worse": row(status="cancelled", title="New"), "better": row(status="scheduled", price=None), "odd": row(status="odd")}
+    pairs = spark.createDataFrame([(k, row(), v) for k, v in cases.items()], f"k string, stored {kind}, payload {kind}")
+    got = {r["k"]: r for r in quality.apply_payload(pairs).collect()}
+    assert tuple(got["same"])[1:] == row()
+    assert [got["bare"][c] for c in ("status", "tags", "attendee_count", "location_confidence", "is_free", "description")] == ["postponed", [], 0, 1.0, False, None]
+    assert [(got[k]["status"], got[k]["title"], got[k]["price"]) for k in ("worse", "better", "odd")] == [("cancelled", "New", Decimal("5.00")), ("postponed", "T", None), ("postponed", "T", Decimal("5.00"))]
