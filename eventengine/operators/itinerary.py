@@ -63,16 +63,18 @@ def anchors(requests: DataFrame, events: DataFrame, profiles: DataFrame, preferr
 
 
 def supports(chosen: DataFrame, events: DataFrame, limit: int | None = 25, radius: float = 0.5, wider: float = 1.0) -> DataFrame:
-    """request_id and the supporting events near its anchor: a grid-cell join, exact distance, the wider circle only for
-    requests without any in the smaller one; the earliest ``limit``, or all without a limit."""
+    """request_id and the supporting events near its anchor: a join on the grid cell and the UTC day, so that a crowded place
+    is met a day at a time, exact distance, the wider circle only for requests without any in the smaller one; the earliest
+    ``limit``, or all without a limit."""
     a = chosen.select("request_id", "window_start", "window_end", F.col("id").alias("anchor_id"), F.col("start_at").alias("anchor_start"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
     a = a.where("a_lat is not null and a_lon is not null").withColumn("__cell", F.explode(geo.cells_within(F.col("a_lat"), F.col("a_lon"), wider * geo.MILE_M)))
-    s = events.where("source_tier >= 3 and lat is not null and lon is not null").withColumn("__cell", geo.cell(F.col("lat"), F.col("lon")))
-    near = a.join(s, "__cell").where((F.col("id") != F.col("anchor_id")) & F.col("start_at").between(F.col("window_start"), F.col("window_end")))
+    a = a.withColumn("__day", F.explode(_days(F.col("window_start"), F.col("window_end"))))
+    s = events.where("source_tier >= 3 and lat is not null and lon is not null").withColumns({"__cell": geo.cell(F.col("lat"), F.col("lon")), "__day": F.col("start_at").cast("date")})
+    near = a.join(s, ["__cell", "__day"]).where((F.col("id") != F.col("anchor_id")) & F.col("start_at").between(F.col("window_start"), F.col("window_end")))
     near = near.withColumn("__m", geo.distance_m(F.col("lat"), F.col("lon"), F.col("a_lat"), F.col("a_lon"))).where(F.col("__m") <= wider * geo.MILE_M)
     least = F.min("__m").over(Window.partitionBy("request_id"))
     near = near.withColumn("__least", least).where((F.col("__m") <= radius * geo.MILE_M) | (F.col("__least") > radius * geo.MILE_M))
-    near = near.drop("__cell", "__least", "__m")
+    near = near.drop("__cell", "__day", "__least", "__m")
     early = Window.partitionBy("request_id").orderBy("start_at", "id")
     return near if limit is None else near.withColumn("__n", F.row_number().over(early)).where(F.col("__n") <= limit).drop("__n")
 

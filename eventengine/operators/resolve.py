@@ -188,7 +188,8 @@ def match_stored(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """incoming(ordinal), stored(id) -> ordinal, id: the best stored row by the duplicate rule, least id on ties.
 
     Starts are put into two-hour buckets; a stored row stands in its bucket, an incoming one looks into three. Within a
-    bucket rows meet by the same URL, the same venue or a similar title, three equi-joins; ratios are worked out for those.
+    bucket rows meet by the same URL, a similar title, or the same venue and titles whose tokens are alike, three equi-joins.
+    Ratios are worked out once for each pair of distinct titles, however many rows of a venue have them.
     """
     width = int(WINDOW.total_seconds())
     bucket = F.floor(F.unix_seconds("start_at") / width)
@@ -198,14 +199,18 @@ def match_stored(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     right = written(stored.select("id", *fields, bucket.alias("bucket")).toDF("id", "s_title", "s_start_at", "url", "venue", "t", "bucket"), "stored")
     alike = titles.similar(left, right, ["bucket"])
     close = F.abs(F.unix_micros("start_at") - F.unix_micros("s_start_at")) <= width * 1_000_000
+    # of a venue's rows only distinct titles meet, each pair of titles once over all buckets and venues
+    own, other = left.select("bucket", "venue", "title").distinct(), right.select("bucket", "venue", "s_title").distinct()
+    spoken = own.join(other, ["bucket", "venue"]).select("title", "s_title").distinct()
+    spoken = written(spoken.withColumn("tokens", similarity.token_set_similarity("title", "s_title")).where(F.col("tokens") >= TOKENS_FROM).select("title", "s_title"), "spoken")
     by_title = left.join(alike.withColumnRenamed("a", "t"), ["bucket", "t"]).join(right.select("bucket", F.col("t").alias("b"), "id", "s_title", "s_start_at"), ["bucket", "b"])
-    met = [by_title, left.join(right.select("bucket", "url", "id", "s_title", "s_start_at"), ["bucket", "url"]), left.join(right.select("bucket", "venue", "id", "s_title", "s_start_at"), ["bucket", "venue"])]
-    found = [m.where(close).select("ordinal", "id", "title", "s_title", F.lit(rule).alias("rule")) for m, rule in zip(met, ("title", "url", "venue"), strict=True)]
-    pairs = found[0].unionByName(found[1]).unionByName(found[2]).groupBy("ordinal", "id").agg(F.first("title").alias("title"), F.first("s_title").alias("s_title"), F.bool_or(F.col("rule") != "venue").alias("sure"))
-    scored = pairs.withColumn("ratio", similarity.title_similarity("title", "s_title")).withColumn("tokens", similarity.token_set_similarity("title", "s_title"))
-    hit = scored.where(F.col("sure") | (F.col("tokens") >= TOKENS_FROM))
-    best = Window.partitionBy("ordinal").orderBy(F.greatest("ratio", "tokens").desc(), "id")
-    return hit.withColumn("r", F.row_number().over(best)).where("r = 1").select("ordinal", "id")
+    by_url = left.join(right.select("bucket", "url", "id", "s_title", "s_start_at"), ["bucket", "url"])
+    by_venue = left.join(spoken, "title").join(right.select("bucket", "venue", "id", "s_title", "s_start_at"), ["bucket", "venue", "s_title"])
+    found = [m.where(close).select("ordinal", "id", "title", "s_title") for m in (by_title, by_url, by_venue)]
+    hit = written(found[0].unionByName(found[1]).unionByName(found[2]).distinct(), "hits")
+    ratios = hit.select("title", "s_title").distinct().withColumn("best", F.greatest(similarity.title_similarity("title", "s_title"), similarity.token_set_similarity("title", "s_title")))
+    scored = hit.join(ratios.select(F.col("title").alias("x"), F.col("s_title").alias("y"), "best"), F.col("title").eqNullSafe(F.col("x")) & F.col("s_title").eqNullSafe(F.col("y")))
+    return scored.groupBy("ordinal").agg(F.min_by("id", F.struct((-F.col("best")).alias("b"), "id")).alias("id"))
 
 
 def has_news(old: str = "o", new: str = "n") -> Column:

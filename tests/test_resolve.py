@@ -175,6 +175,27 @@ def test_stored_matches_equal_brute_force(spark):
     assert got == want and len(want) > 50
 
 
+def test_a_crowded_venue_compares_distinct_titles(spark, monkeypatch):
+    """Where all rows share a venue and few titles recur, ratios are worked out for pairs of titles, not of rows."""
+    names = ["Jazz Night", "Night of Jazz", "Open Mic", "Comedy Hour", "Hour of Comedy and Jazz"]
+    stored = [event(k, names[k % 5], 30 * k, venue_name="The Hall") for k in range(400)]
+    incoming = [event(k, names[k % 4], 30 * k + 7, venue_name="the hall (big room)") for k in range(400)]
+    kept, keep = {}, resolve.written
+
+    def seen(frame, name):
+        kept[name] = keep(frame, name)
+        return kept[name]
+
+    monkeypatch.setattr(resolve, "written", seen)
+    got = {r["ordinal"]: r["id"] for r in resolve.match_stored(frame(spark, incoming), frame(spark, stored).withColumnRenamed("ordinal", "id")).collect()}
+    want = {}
+    for r in incoming:
+        hits = [(-max(plain_score(r, s)), s["ordinal"]) for s in stored if plain_duplicate(r, s)]
+        if hits:
+            want[r["ordinal"]] = min(hits)[1]
+    assert got == want and kept["spoken"].count() <= 20
+
+
 def test_similar_titles_equal_brute_force(spark):
     rng = random.Random(9)
     base = ["".join(rng.choice("abcde f") for _ in range(rng.randint(1, 24))).strip() for _ in range(60)]
