@@ -33,7 +33,7 @@ def copies(seed, many, length, most, words=10_000):
     return out
 
 
-@pytest.mark.parametrize("crowd", [2, 16, 500])
+@pytest.mark.parametrize("crowd", [2, 500])
 def test_large_group_of_near_copies(docs_of, monkeypatch, crowd):
     """Some are linked to the base only, some to each other only, some not at all; in crowded columns and in others."""
     monkeypatch.setattr(ngramjoin, "CROWD", crowd)
@@ -43,7 +43,7 @@ def test_large_group_of_near_copies(docs_of, monkeypatch, crowd):
     assert got(docs_of(texts.items())) == found
 
 
-@pytest.mark.parametrize("crowd", [3, 16])
+@pytest.mark.parametrize("crowd", [3])
 def test_passage_in_many_documents(docs_of, monkeypatch, crowd):
     """A passage and a first half that many texts share link only those that are near copies beside."""
     monkeypatch.setattr(ngramjoin, "CROWD", crowd)
