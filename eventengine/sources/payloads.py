@@ -72,7 +72,8 @@ def group_events(nodes: DataFrame, lat: float, lon: float) -> DataFrame:
     ).where("title is not null and start_at is not null")
 
 
-# What stands behind 'at' as a venue, and a clock time.
+# Where a first sentence ends, what stands behind 'at' as a venue, and a clock time.
+SENTENCE_END = r"(?<=[.!?])\s"
 VENUE_AFTER_AT = r"\bat\s+([A-Z][A-Za-z0-9&' .-]{2,80}?)(?=\s+(?:this|next|on|tonight|tomorrow)\b|[,.!]|$)"
 POST_CLOCK = r"\b(\d{1,2})(?::(\d{2}))?\s*(am|pm)\b"
 TITLE_CHARS = 120
@@ -86,7 +87,7 @@ def post_hints(posts: DataFrame, tz: str = timex.TZ) -> DataFrame:
     """
     t = text.collapse(F.coalesce("text", F.lit("")))
     low = F.lower(t)
-    question = F.get(F.split(t, r"(?<=[.!?])\s", 2), F.lit(0)).endswith("?")
+    question = F.get(F.split(t, SENTENCE_END, 2), F.lit(0)).endswith("?")
     venue = F.nullif(F.regexp_replace(F.trim(F.regexp_extract(t, VENUE_AFTER_AT, 1)), "[.,]+$", ""), F.lit(""))
     posted = F.from_utc_timestamp("posted_at", tz).cast("date")
     weekday = F.coalesce(*[F.when(low.contains(d), i) for i, d in enumerate(text.WEEKDAYS)])

@@ -5,10 +5,10 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from eventengine.operators import health, profile, quality, social
+from eventengine.operators import digest, health, profile, quality, rank, social
 from eventengine.sources import canonical, documents, markup, payloads
 from eventengine.sources.registry import SourceRegistry
-from eventengine.functions import timex
+from eventengine.functions import text, timex
 
 T0 = datetime(2026, 6, 1)
 
@@ -184,3 +184,26 @@ def test_stored_rows_and_payloads(spark):
     assert tuple(got["same"])[1:] == row()
     assert [got["bare"][c] for c in ("status", "tags", "attendee_count", "location_confidence", "is_free", "description")] == ["postponed", [], 0, 1.0, False, None]
     assert [(got[k]["status"], got[k]["title"], got[k]["price"]) for k in ("worse", "better", "odd")] == [("cancelled", "New", Decimal("5.00")), ("postponed", "T", None), ("postponed", "T", Decimal("5.00"))]
+
+
+def test_texts_of_models(spark):
+    say = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
+    assert say(text.model_tags(F.lit("- live music, #Jazz | * late night\n•food,# ,,live  music,one,two"))) == ["#livemusic", "#Jazz", "#latenight", "#food", "#one"]
+    assert say(text.model_tags(F.lit(None).cast("string"))) == []
+    assert say(text.json_object(F.lit('Sure! {"a": {"b": 1}} Hope it helps'))) == '{"a": {"b": 1}}'
+    assert [say(text.json_object(F.lit(x).cast("string"))) for x in ("no braces", "{broken", "{a} and {b}", None)] == [None] * 4
+
+
+def test_the_scorer_without_a_cap(spark):
+    events = spark.createDataFrame([(1, ["#a", "#b", "#c"]), (2, ["#d"])], "id long, tags array<string>")
+    preferred = spark.createDataFrame([(7, "#A"), (7, "b")], "user_id long, tag string")
+    profile_ = spark.createDataFrame([(7, "#c", 3.0)], "user_id long, tag string, score double")
+    score = lambda capped: {(r["user_id"], r["id"]): (r["vibe_score"], r["matched_tags"]) for r in rank.tag_scores(events, preferred, profile_, capped=capped).collect()}
+    assert score(True) == {(7, 1): (100.0, ["#a", "#b", "#c"])} and score(False) == {(7, 1): (230.0, ["#a", "#b", "#c"])}
+
+
+def test_a_digest_is_one_file_in_order(spark, tmp_path):
+    lines = spark.createDataFrame([(k, f"line {k}") for k in range(30)], "n int, line string").repartition(5)
+    digest.write_digest(lines, f"{tmp_path}/digest")
+    (part,) = (tmp_path / "digest").glob("part-*")
+    assert part.read_text().splitlines() == [f"line {k}" for k in range(30)]
