@@ -146,13 +146,19 @@ def _labelled(docs: DataFrame, threshold: int, shingle: int) -> DataFrame:
     # what is counted by column is written before it is joined, so that Spark can split the join of a crowded column
     shared = cut(spread.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "columns")
     cells = cut(spread.join(grown(shared), "key"), "cells")
+    whole, classes = classes, cut(classes.drop("columns"), "classes")
+    for done in (whole, shared):
+        forget(done)
     able = cells.groupBy("rep").agg(F.sum((F.col("key") < LOW).cast("int")).alias("met"))
     sizes = classes.select("rep", "n", (F.col("n") - F.col("low")).alias("high"), "least.doc_id", "least.th")
     able = cut(able.join(grown(sizes), "rep").where(100 * (F.col("met") + F.col("high")) >= threshold * F.col("n")), "able")
 
-    kept = cut(cells.join(grown(able.select("rep", "n", "high")), "rep"), "cells")
-    counts = cut(kept.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "columns")
-    kept = cut(kept.join(grown(counts), "key"), "cells")
+    some = cut(cells.join(grown(able.select("rep", "n", "high")), "rep"), "cells")
+    forget(cells)
+    counts = cut(some.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "columns")
+    kept = cut(some.join(grown(counts), "key"), "cells")
+    for done in (some, counts):
+        forget(done)
     crowded = kept.where(F.col("c") > CROWD)
     held = cut(crowded.groupBy("rep").agg(F.sum((F.col("key") < LOW).cast("int")).alias("crowded")), "held")
     # low columns that aren't crowded come first in a set's order, then the crowded ones: few sets need these to meet a partner
@@ -226,8 +232,8 @@ def _labelled(docs: DataFrame, threshold: int, shingle: int) -> DataFrame:
     placed = cut(placed.select("set_key", "comp", "doc_id"), "placed")
     least = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     label = cut(placed.join(grown(least), "comp").select("set_key", "component_id"), "labels")
-    whole = labelled.join(grown(label), "set_key", "left")
-    return whole.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    found = labelled.join(grown(label), "set_key", "left")
+    return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def linked(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
