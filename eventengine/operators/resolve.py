@@ -11,10 +11,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import datetime, timedelta
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import similarity, text
 from ..functions.text import STATUS_SEVERITY
@@ -24,6 +25,7 @@ from .scratch import written
 
 WINDOW = timedelta(hours=2)
 EPOCH = datetime(1970, 1, 1)
+MICRO = timedelta(microseconds=1)
 TITLE_OVER, TOKENS_FROM = titles.OVER, 60.0
 RICHER = ["title", "description", "external_url", "venue_name", "raw_address", "image_url", "location", "source_event_id", "currency", "source_name", "organizer_name"]
 
@@ -89,8 +91,27 @@ def duplicate_groups(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     return components(cut.select(F.col("ordinal").alias("id")), edges).select(F.col("id").alias("ordinal"), "component")
 
 
+def _micros(at: datetime | int) -> int:
+    """Microseconds since the epoch. Inside tasks instants are such numbers: pandas ends in 2262 and datetime in 9999."""
+    return at if isinstance(at, int) else (at - EPOCH) // MICRO
+
+
+TIMES = [f.name for f in CANON.fields if isinstance(f.dataType, T.TimestampType)]
+#: The canonical columns as tasks have them.
+INSIDE = [T.StructField(f.name, T.LongType()) if f.name in TIMES else f for f in CANON.fields]
+
+
+def _inside(of: str = "") -> list[Column]:
+    """The canonical columns, or those of a struct, with instants as microseconds."""
+    return [F.unix_micros(F.col(of + c)).alias(c) if c in TIMES else F.col(of + c).alias(c) for c in CANON.fieldNames()]
+
+
+def _outside(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: F.timestamp_micros(F.col(c)) for c in TIMES})
+
+
 def _missing(v) -> bool:
-    return v is None or v is pd.NaT or (isinstance(v, float) and v != v) or (isinstance(v, str) and not v.strip()) or (hasattr(v, "__len__") and not isinstance(v, str) and len(v) == 0)
+    return v is None or (isinstance(v, float) and v != v) or (isinstance(v, str) and not v.strip()) or (hasattr(v, "__len__") and not isinstance(v, str) and len(v) == 0)
 
 
 def _none(v):
@@ -98,7 +119,7 @@ def _none(v):
 
 
 def is_duplicate(a: dict, b: dict) -> bool:
-    if abs(a["start_at"] - b["start_at"]) > WINDOW:
+    if abs(_micros(a["start_at"]) - _micros(b["start_at"])) > WINDOW // MICRO:
         return False
     left, right = ((x.get("external_url") or "").strip().rstrip("/") for x in (a, b))
     if left and left == right:
@@ -143,7 +164,7 @@ class Representatives:
         self.places: dict[int, set[int]] = {}
 
     def _bucket(self, row: dict) -> int:
-        return (row["start_at"] - EPOCH) // WINDOW
+        return _micros(row["start_at"]) // (WINDOW // MICRO)
 
     def add(self, row: dict) -> None:
         """Fold a row into the first representative that it repeats, or make it one."""
@@ -161,27 +182,30 @@ class Representatives:
         self.rows.append(row | {"members": 1})
 
 
-FOLDED = T.StructType([T.StructField("ordinal", T.LongType()), *CANON.fields, T.StructField("members", T.IntegerType())])
+FOLDED = T.StructType([T.StructField("ordinal", T.LongType()), *INSIDE, T.StructField("members", T.IntegerType())])
+CHANGED = T.StructType([T.StructField("id", T.LongType()), *INSIDE])
 
 
 def dedupe(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Canonical rows with ordinal -> one row for each cluster, with the ordinal of its first and the number of its members."""
     placed = rows.select("ordinal", *CANON.fieldNames()).join(duplicate_groups(rows, by), "ordinal")
+    kind = to_arrow_schema(FOLDED)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # components come one after another, in input order; only the representatives of one are held
         of, held = None, Representatives()
-        for pdf in batches:
+        for batch in batches:
             done = []
-            for component, row in zip(pdf["component"], pdf.drop(columns="component").to_dict("records"), strict=True):
+            for row in batch.to_pylist():
+                component = row.pop("component")
                 if component != of:
                     done += held.rows
                     of, held = component, Representatives()
                 held.add(row)
-            yield pd.DataFrame(done, columns=FOLDED.fieldNames())
-        yield pd.DataFrame(held.rows, columns=FOLDED.fieldNames())
+            yield pa.RecordBatch.from_pylist(done, kind)
+        yield pa.RecordBatch.from_pylist(held.rows, kind)
 
-    return placed.repartition("component").sortWithinPartitions("component", "ordinal").select("component", "ordinal", *CANON.fieldNames()).mapInPandas(run, FOLDED)
+    return _outside(placed.repartition("component").sortWithinPartitions("component", "ordinal").select("component", "ordinal", *_inside()).mapInArrow(run, FOLDED))
 
 
 def match_stored(incoming: DataFrame, stored: DataFrame) -> DataFrame:
@@ -242,22 +266,24 @@ def changes(incoming: DataFrame, stored: DataFrame, top: DataFrame | None = None
     n = clean.select("ordinal", F.struct(*CANON.fieldNames()).alias("n"))
     judged = written(pairs.join(n, "ordinal").join(o, "id").withColumn("news", has_news()), "judged")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = to_arrow_schema(CHANGED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the news of a stored row come one after another, in input order; only what it has become is held
         of, row = None, {}
-        for pdf in batches:
+        for batch in batches:
             done = []
-            for key, old, nxt in zip(pdf["id"], pdf["o"], pdf["n"], strict=True):
-                if key != of:
+            for met in batch.to_pylist():
+                if met["id"] != of:
                     if of is not None:
                         done.append(row)
-                    of, row = key, _stamped(dict(old)) | {"id": key}
-                row = merge(row, _stamped(dict(nxt)))
-            yield pd.DataFrame(done, columns=["id", *CANON.fieldNames()])
-        yield pd.DataFrame([row] if of is not None else [], columns=["id", *CANON.fieldNames()])
+                    of, row = met["id"], met["o"] | {"id": met["id"]}
+                row = merge(row, met["n"])
+            yield pa.RecordBatch.from_pylist(done, kind)
+        yield pa.RecordBatch.from_pylist([row] if of is not None else [], kind)
 
-    news = judged.where("news").select("id", "ordinal", "o", "n")
-    changed = news.repartition("id").sortWithinPartitions("id", "ordinal").mapInPandas(run, T.StructType([T.StructField("id", T.LongType()), *CANON.fields]))
+    news = judged.where("news").select("id", "ordinal", F.struct(*_inside("o.")).alias("o"), F.struct(*_inside("n.")).alias("n"))
+    changed = _outside(news.repartition("id").sortWithinPartitions("id", "ordinal").mapInArrow(run, CHANGED))
     fresh = clean.join(pairs, "ordinal", "left_anti")
     top = F.broadcast(stored.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("top")) if top is None else top)
     rank = fresh.select("ordinal").repartitionByRange("ordinal").sortWithinPartitions("ordinal").withColumn("part", F.spark_partition_id())
@@ -278,12 +304,6 @@ def upsert(incoming: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame
     return kept.unionByName(changed).unionByName(inserted), actions
 
 
-def _stamped(row: dict) -> dict:
-    for c in ("start_at", "end_at"):
-        row[c] = None if row[c] is None or row[c] is pd.NaT else pd.Timestamp(row[c])
-    return row
-
-
 def summarize(actions: DataFrame) -> DataFrame:
     return actions.groupBy("action").agg(F.count("*").alias("n"))
 

@@ -254,6 +254,18 @@ def test_empty_batch(spark):
     assert resolve.dedupe(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("year", [1600, 2263, 4500])
+def test_instants_beyond_those_of_pandas(spark, year):
+    at = {"start_at": datetime(year, 5, 1, 19), "end_at": datetime(year, 5, 1, 23)}
+    late = {"start_at": datetime(year, 5, 1, 20), "end_at": None}
+    (r,) = deduped(spark, event(0, "Far Show", **at), event(1, "Far Show", **late))
+    assert (r["start_at"], r["end_at"], r["members"]) == (at["start_at"], at["end_at"], 2)
+    stored = frame(spark, [event(5, "Far Show", **at), event(6, "Other")]).withColumnRenamed("ordinal", "id")
+    table, actions = resolve.upsert(frame(spark, [event(0, "Far Show", description="d", **late)]), stored)
+    assert [(r["id"], r["action"]) for r in actions.collect()] == [(5, "update")]
+    assert {r["id"]: (r["start_at"], r["end_at"], r["description"]) for r in table.collect()} == {5: (at["start_at"], at["end_at"], "d"), 6: (BASE, None, None)}
+
+
 def test_mark_past(spark):
     df = frame(spark, [event(0, "a"), event(1, "b", end_at=BASE + timedelta(days=3)), event(2, "c", status="cancelled")])
     got = resolve.mark_past(df, F.lit(BASE + timedelta(hours=25)))
