@@ -26,6 +26,14 @@ def titles(table, version=None):
     return sorted((r["title"], r["start_at"], r["description"], r["status"]) for r in table.read(version).collect())
 
 
+def test_batches_beyond_the_instants_of_pandas(spark):
+    table, at = fresh(spark), [{"start_at": datetime(y, 3, 1, 20)} for y in (2262, 2434)]
+    table.load(frame(spark, [event(k, f"Show number {k}", **a) for k, a in enumerate(at)]))
+    told = table.load(frame(spark, [event(k, f"Show number {k}", description="d", **a) for k, a in enumerate(at)]))
+    assert (told.inserted, told.updated, told.deduped) == (0, 2, 0)
+    assert titles(table) == [(f"Show number {k}", a["start_at"], "d", "scheduled") for k, a in enumerate(at)]
+
+
 def test_a_batch_rewrites_the_files_it_touches(spark):
     table = fresh(spark)
     told = table.load(frame(spark, days(60)))
