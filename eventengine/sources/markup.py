@@ -9,12 +9,17 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text, timex
 
@@ -189,19 +194,47 @@ def embedded_state(docs: DataFrame, base: str, cap: int = 50) -> DataFrame:
 _ANCHOR = re.compile(r"""<a\b[^>]*href\s*=\s*["']([^"']+)["'][^>]*>(.*?)</a>""", re.IGNORECASE | re.DOTALL)
 
 
-@pandas_udf(_rows(url=_S, label=_S, context=_S))
-def anchor_contexts(bodies: pd.Series) -> pd.Series:
-    def one(body) -> list[dict]:
-        body = body or ""
-        return [{"url": m.group(1), "label": m.group(2), "context": body[max(0, m.start() - 200) : m.end() + 300]} for m in _ANCHOR.finditer(body)]
+#: Characters of pages in a slice of an Arrow batch, and rows in a batch of links: what a task's Python holds.
+SLICE, LINKS = 1 << 20, 1_000
 
-    return bodies.map(one)
+
+def _slices(batch: pa.RecordBatch, sizes: pa.Array) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about ``SLICE`` in all, one row at least."""
+    first = held = 0
+    for k, size in enumerate(sizes.to_pylist()):
+        if k > first and held + (size or 0) > SLICE:
+            yield batch.slice(first, k - first)
+            first, held = k, 0
+        held += size or 0
+    if first < batch.num_rows:
+        yield batch.slice(first)
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for part in _slices(batch, pc.binary_length(batch.column(1))):
+            for doc_id, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for pos, m in enumerate(_ANCHOR.finditer(body or "")):
+                    yield {"doc_id": doc_id, "pos": pos, "url": m.group(1), "label": m.group(2), "context": body[max(0, m.start() - 200) : m.end() + 300]}
+
+
+def link_batches(batches: Iterator[pa.RecordBatch], kind: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches of (doc_id, body) -> batches of at most ``LINKS`` links, however many a batch of pages has."""
+    rows = _links(batches)
+    while some := list(islice(rows, LINKS)):
+        yield pa.RecordBatch.from_pylist(some, kind)
+
+
+def anchor_contexts(docs: DataFrame) -> DataFrame:
+    """doc_id, pos, url, label and context of each link: the text from 200 characters before it to 300 behind."""
+    kind = T.StructType([docs.schema["doc_id"], T.StructField("pos", T.IntegerType()), *[T.StructField(c, _S) for c in ("url", "label", "context")]])
+    arrow = to_arrow_schema(kind)
+    return docs.select("doc_id", "body").mapInArrow(lambda batches: link_batches(batches, arrow), kind)
 
 
 def anchors(docs: DataFrame, stop_words: list[str], least: int = 5, cap: int = 50) -> DataFrame:
     """Links with a label that is no navigation, and fields of the text around them."""
-    rows = docs.select("doc_id", F.posexplode(anchor_contexts("body")).alias("pos", "a"))
-    out = rows.select("doc_id", "pos", "a.url", text.strip_tags(F.col("a.label")).alias("title"), text.strip_tags(F.col("a.context")).alias("context"))
+    out = anchor_contexts(docs).select("doc_id", "pos", "url", text.strip_tags(F.col("label")).alias("title"), text.strip_tags(F.col("context")).alias("context"))
     out = out.where((F.length("title") >= least) & ~F.lower("title").isin([s.lower() for s in stop_words]))
     return capped(first_seen(context_fields(out), "url"), cap)
 

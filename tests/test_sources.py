@@ -120,3 +120,26 @@ def test_incremental(spark):
     assert documents.since(df, "modified_at", None).count() == 2
     assert documents.since(df, "modified_at", datetime(2026, 1, 2)).count() == 1
     assert [r["url"] for r in documents.crawl_days(spark, F.lit("2026-02-27").cast("date"), 3).collect()] == ["/2026/02/27/", "/2026/02/28/", "/2026/03/01/"]
+
+
+def test_links_of_many_pages_go_a_few_at_a_time():
+    import pyarrow as pa
+
+    page = "".join(f'<p>{"x" * 300}<a href="/e/{k}">Show number {k}</a>' for k in range(1500))
+    kind = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), ("url", pa.string()), ("label", pa.string()), ("context", pa.string())])
+    taken = []
+
+    def pages():
+        for k in range(3):
+            taken.append(k)
+            yield pa.RecordBatch.from_pydict({"doc_id": [10 * k, 10 * k + 1, 10 * k + 2], "body": [page, None, page]})
+
+    got, first = [], None
+    for batch in markup.link_batches(pages(), kind):
+        first = first or list(taken)
+        assert batch.num_rows <= markup.LINKS
+        got += batch.to_pylist()
+    assert first == [0], "the second batch of pages waits for the links of the first"
+    assert [(r["doc_id"], r["pos"], r["url"]) for r in got] == [(d, k, f"/e/{k}") for d in (0, 2, 10, 12, 20, 22) for k in range(1500)]
+    at = page.index('<a href="/e/7"')
+    assert got[7]["context"] == page[at - 200 : page.index("</a>", at) + 304]
