@@ -23,6 +23,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text, timex
 
+#: The character references that stand for a line feed.
+LINE_FEED = r"&(?:#0*10(?![0-9]);?|#[xX]0*[aA](?![0-9a-fA-F]);?|NewLine;)"
 VISIBLE = r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->"
 
 
@@ -286,8 +288,10 @@ def text_blocks(docs: DataFrame, cap: int = 50) -> DataFrame:
 def visible_lines(docs: DataFrame) -> DataFrame:
     """doc_id, pos, line: what a reader sees, line by line."""
     bare = F.regexp_replace(F.regexp_replace("body", VISIBLE, "\n"), r"(?s)<[^>]+>", "\n")
-    rows = docs.select("doc_id", unescape(bare).alias("t")).select("doc_id", F.posexplode(F.split("t", "\n")).alias("pos", "line"))
-    return rows.withColumn("line", text.collapse(F.col("line"))).where("line <> ''")
+    # no reference spans lines, so that Python sees single lines, and of these the ones that may hold one
+    rows = docs.select("doc_id", F.posexplode(F.split(F.regexp_replace(bare, LINE_FEED, "\n"), "\n")).alias("pos", "line")).where(F.col("line").rlike(r"\S"))
+    plain = F.coalesce(unescape(F.when(F.contains("line", F.lit("&")), F.col("line"))), F.col("line"))
+    return rows.withColumn("line", text.collapse(plain)).where("line <> ''")
 
 
 def dated_segments(lines: DataFrame, date_pattern: str, drop_pattern: str | None = None) -> DataFrame:

@@ -143,3 +143,15 @@ def test_links_of_many_pages_go_a_few_at_a_time():
     assert [(r["doc_id"], r["pos"], r["url"]) for r in got] == [(d, k, f"/e/{k}") for d in (0, 2, 10, 12, 20, 22) for k in range(1500)]
     at = page.index('<a href="/e/7"')
     assert got[7]["context"] == page[at - 200 : page.index("</a>", at) + 304]
+
+
+def test_visible_lines_unescapes_lines_not_pages(spark):
+    import html
+
+    bodies = ["A&#10;B &amp; C&#0010D\n&#x0a;&#Xa;E&NewLine;F&NewLine G&#100;H&#10", "&amp;#10;x\n&am\np;&amp\n;&#xAB;\n\xa0\n \n&nbsp;\n&#13;y&lt;b&gt;", "&", "&#10;", "no reference", ""]
+    found = markup.visible_lines(docs(spark, *bodies))
+    want = [(k, pos, " ".join(line.split())) for k, b in enumerate(bodies) for pos, line in enumerate(html.unescape(b).split("\n")) if line.split()]
+    first = min(r["doc_id"] for r in docs(spark, *bodies).collect())
+    assert sorted((r["doc_id"] - first, r["pos"], r["line"]) for r in found.collect()) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("Generate"), "lines are made before Python sees them"
