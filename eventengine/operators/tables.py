@@ -181,11 +181,19 @@ class EventTable(VersionLog):
         return entry
 
     def _reached(self, manifest: DataFrame, incoming: DataFrame) -> DataFrame:
-        """Of a manifest, the files that may hold a match of an incoming row: buckets of two hours meet, not all with all."""
+        """Of a manifest, the files that may hold a match of an incoming row, found by buckets of two hours.
+
+        A file's span is not spread over its buckets, which are many where starts lie far apart: it lies in two nodes, at
+        most, of the level whose nodes are as wide as it is, and asked buckets meet it there."""
         at = lambda c: F.floor(F.unix_seconds(c) / BUCKET)
         asked = incoming.select(F.explode(F.sequence(at("start_at") - 1, at("start_at") + 1)).alias("bucket")).distinct()
-        spans = manifest.withColumn("bucket", F.explode(F.sequence(at("min_start"), at("max_start"))))
-        return manifest.join(spans.join(asked, "bucket").select("file").distinct(), "file", "left_semi")
+        spans = manifest.select("file", at("min_start").alias("low"), at("max_start").alias("high")).withColumn("level", F.length(F.bin(F.col("high") - F.col("low"))))
+        node = lambda c: F.expr(f"shiftright({c}, level)").alias("node")
+        spans = spans.withColumn("node", F.explode(F.array_distinct(F.array(node("low"), node("high")))))
+        # there are 64 levels at most
+        asked = asked.crossJoin(F.broadcast(spans.select("level").distinct())).select("bucket", "level", node("bucket"))
+        met = spans.join(asked, ["level", "node"]).where(F.col("bucket").between(F.col("low"), F.col("high")))
+        return manifest.join(met.select("file").distinct(), "file", "left_semi")
 
     def _attempt(self, incoming: DataFrame, stream: str | None, batch: int | None, before_commit: Callable[[], None] | None) -> Told:
         last = self.entry()

@@ -1,5 +1,6 @@
 """The stored table: what a batch rewrites, who wins a version, and streams that are late or replayed."""
 
+import random
 import tempfile
 from datetime import datetime, timedelta
 
@@ -34,6 +35,19 @@ def test_batches_beyond_the_instants_of_pandas(spark):
     assert titles(table) == [(f"Show number {k}", a["start_at"], "d", "scheduled") for k, a in enumerate(at)]
 
 
+def test_files_are_found_however_far_apart_their_starts_lie(spark):
+    """A span of half a million years has more buckets of two hours than a list can hold; files are found as by all pairs."""
+    hour, rng = 3600, random.Random(3)
+    spans = [(-9_000_000_000_000, 9_000_000_000_000)] + [(lo * hour, (lo + rng.choice([0, 1, 3, 50, 900])) * hour) for lo in rng.sample(range(-5_000, 5_000), 60)]
+    asked = [rng.randint(-6_000, 6_000) * hour for _ in range(25)]
+    at = lambda c: F.timestamp_seconds(F.col(c)).alias(c)
+    manifest = spark.createDataFrame([(f"f{k}", *s) for k, s in enumerate(spans)], "file string, min_start long, max_start long").select("file", at("min_start"), at("max_start"))
+    found = fresh(spark)._reached(manifest, spark.createDataFrame([(a,) for a in asked], "start_at long").select(at("start_at")))
+    b = tables.BUCKET
+    want = [f"f{k}" for k, (low, high) in enumerate(spans) if any(low // b - 1 <= a // b <= high // b + 1 for a in asked)]
+    assert sorted(r["file"] for r in found.select("file").collect()) == sorted(want) and 1 < len(want) < len(spans)
+
+
 def test_a_batch_rewrites_the_files_it_touches(spark):
     table = fresh(spark)
     told = table.load(frame(spark, days(60)))
