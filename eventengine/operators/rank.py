@@ -81,6 +81,11 @@ def _key(total: str, less: float = 0.0) -> Column:
     return F.struct((F.lit(less) - F.col(total)).alias("t"), F.col("start_at").alias("s"), F.col("id").alias("i"))
 
 
+def _doubling(place: str) -> Column:
+    """Whether a place is 1, 2, 4, 8, …"""
+    return F.col(place).bitwiseAND(F.col(place) - 1) == 0
+
+
 def _of_one_category(rows: DataFrame) -> bool:
     found = rows.agg(F.min("category").alias("lo"), F.max("category").alias("hi"), F.count_if(F.col("category").isNull()).alias("none")).first()
     return found["none"] == 0 and found["lo"] == found["hi"]
@@ -92,7 +97,10 @@ def best_matches(events: DataFrame, preferred: DataFrame, profile: DataFrame, co
     The penalty looks at the event before in a user's order of *all* events, but no pair of a user and an event is made
     beyond a depth. Events with the same tags have the same vibe for a user, so that tags are matched with users once for
     each distinct list of tags, and within a list all users share one order. The first ``depth`` matches of a user are among
-    the heads of the lists, and the unmatched ones come from the common order of all events. Down to there the order is
+    the heads of the lists, and the unmatched ones come from the common order of all events. How far each is read is told by
+    marks at the places 1, 2, 4, 8, … of the lists: in a user's order of marks, those up to the one with which they stand for
+    ``depth`` matches have all of these before them, and no list is read to twice its last such mark, so that a user meets at
+    most three times ``depth`` matches, whatever the number of lists. Down to there the order is
     whole. A penalty only lowers a score, so nothing behind that end can come before a final score that reaches the total
     there (or that less the penalty, where all events are of one category and so all behind are penalised): once the ``least``
     best matches do, they are the result. Users for whom they don't are taken up again, four times as deep. Totals are rounded at nine digits, so that equal ones tie.
@@ -112,14 +120,25 @@ def best_matches(events: DataFrame, preferred: DataFrame, profile: DataFrame, co
         liked = vibes.join(open_users, by, "left_semi")
         liked = liked.withColumn("all", F.sum("size").over(Window.partitionBy(by))).withColumn("r", F.row_number().over(Window.partitionBy(by).orderBy("first"))).where(F.col("r") <= depth)
         place = Window.partitionBy("list").orderBy(F.desc("base"), "start_at", "id")
-        tops = listed.where("list is not null").withColumn("n", F.row_number().over(place)).where(F.col("n") <= depth)
+        tops = written(listed.where("list is not null").withColumn("n", F.row_number().over(place)).where(F.col("n") <= depth).drop("size"), "tops")
         # before the heads of r - 1 lists there is no room for more than depth - r + 1 of the next
         total = F.round(VIBE * F.col("vibe_score") + F.col("base"), 9)
-        hits = liked.join(tops.drop("size"), "list").where(F.col("n") + F.col("r") <= depth + 1).select(by, "list", "id", "start_at", "category", total.alias("total"), F.lit(1).alias("hit"), "all")
+        marks = liked.join(tops.where(_doubling("n")), "list").where(F.col("n") + F.col("r") <= depth + 1)
+        # a mark tells of as many matches as there are behind the mark before it in its list
+        marks = marks.withColumn("total", total).withColumn("key", _key("total")).withColumn("gain", F.floor((F.col("n") + 1) / 2))
+        marks = marks.withColumn("sure", F.sum("gain").over(Window.partitionBy(by).orderBy("key").rowsBetween(Window.unboundedPreceding, 0)))
+        marks = written(marks.where(F.col("sure") - F.col("gain") < depth).select(by, "list", "size", "vibe_score", "all", "r", "n", "key", "sure"), "marks")
+        reach = marks.groupBy(by, "list", "size", "vibe_score", "all", "r").agg(F.max("n").alias("n"))
+        take = F.least(2 * F.col("n") - 1, depth + 1 - F.col("r"), F.col("size")).cast("int")
+        hits = reach.withColumn("n", F.explode(F.sequence(F.lit(1), take))).join(tops, ["list", "n"]).select(by, "list", "id", "start_at", "category", total.alias("total"), F.lit(1).alias("hit"), "all")
         wide = 4 * depth
         common = listed.orderBy(F.desc("base"), "start_at", "id").limit(wide).select("id", "start_at", "category", "list", F.col("base").alias("total"))
         common = written(common.withColumn("g", F.row_number().over(Window.orderBy(*order))), "common")  # at most ``wide`` rows
-        each = open_users.select(by, F.explode(F.sequence(F.lit(1), F.lit(wide))).alias("g"))
+        # of the common order, what comes before a user's last mark; all, where the marks tell of fewer than ``depth`` matches
+        upto = marks.groupBy(by).agg(F.when(F.max("sure") >= depth, F.max("key")).alias("upto"))
+        upto = upto.crossJoin(F.broadcast(common.where(_doubling("g")).select("g", _key("total").alias("key")))).where(F.col("upto").isNull() | (F.col("key") <= F.col("upto")))
+        upto = upto.groupBy(by).agg(F.least(2 * F.max("g") - 1, F.lit(wide)).alias("g"))
+        each = upto.select(by, F.explode(F.sequence(F.lit(1), F.col("g"))).alias("g"))
         others = each.join(common, "g").join(vibes.select(by, "list"), [by, "list"], "left_anti").select(by, "list", "id", "start_at", "category", "total", F.lit(0).alias("hit"), F.lit(None).cast("long").alias("all"))
         end = common.where(F.col("g") == wide).collect() if n_events > wide else []
         merged = Window.partitionBy(by).orderBy(*order)

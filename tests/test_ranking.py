@@ -142,6 +142,29 @@ def test_one_category_stops_near_the_limit(spark, monkeypatch):
     assert read["common"] == [164] and max(read["head"]) <= 264, "all rows were read before"
 
 
+def test_matches_of_many_lists_are_read_by_depth_not_by_list(spark, monkeypatch):
+    """Users who like all of 60 lists alike meet a few times ``depth`` matches in all, not that many of each list."""
+    rng = random.Random(5)
+    rows = [ev(i, days=rng.randint(1, 6), age_hours=rng.choice([1, 30, 100, 900]), category=rng.choice(["a", "b"]), tags=["#x", f"#t{i % 60}"] if i % 9 else []) for i in range(3_600)]
+    df, counts = spark.createDataFrame(rows, EVENT), {i: rng.randint(0, 12) for i in range(0, 3_600, 3)}
+    likes, none = spark.createDataFrame([(u, "#x") for u in range(3)], "user_id long, tag string"), spark.createDataFrame([], "user_id long, tag string, score double")
+    reached, keep = [], rank.written
+
+    def seen(frame, name):
+        out = keep(frame, name)
+        if name == "marks":
+            lists = out.where("user_id = 1").groupBy("list").agg(F.max("n").alias("n"))
+            reached.append(lists.agg(F.sum(2 * F.col("n") - 1)).first()[0])
+        return out
+
+    monkeypatch.setattr(rank, "written", seen)
+    best = rank.best_matches(df, likes, none, spark.createDataFrame(list(counts.items()), "event_id long, people_interested long"), F.lit(NOW), 25)
+    got = [(r["id"], round(r["total_score"], 6)) for r in sorted(best.where("user_id = 1").collect(), key=lambda r: r["rank"])]
+    want = brute_best([r.asDict() for r in df.collect()], {"#x"}, {}, counts, 25)
+    assert got == [(e["id"], round(t, 6)) for t, e, v in want if v > 0][:25]
+    assert reached and all(n <= 3 * 41 * 4**k for k, n in enumerate(reached))
+
+
 def test_score_events_of_one_user(spark):
     rng = random.Random(7)
     rows = [ev(i, days=rng.randint(1, 6), age_hours=rng.choice([1, 30, 100, 900]), category="same", tags=rng.sample(["#a", "#b"], rng.randint(0, 1))) for i in range(300)]
