@@ -4,6 +4,9 @@ Rule for two rows: starts at most two hours apart, and the same URL, or a title
 a token-set similarity of at least 60. A cluster is folded in input order against an evolving representative, so that the
 work is cut first into groups that no cluster can cross: time sessions (gaps of more than two hours), and in them the
 connected components of same URL, similar title, same venue. Each component is folded in one task.
+
+Sides that grow with the rows are merged: few bytes in a file, such as those of numbered rows, can be more on the driver than
+a broadcast may take.
 """
 
 from __future__ import annotations
@@ -42,14 +45,14 @@ def sessions(rows: DataFrame, by: list[str] | None = None, gap: timedelta = WIND
     # the last start of the latest earlier day with starts: one row a day
     before = edges.withColumn("__before", F.lag("__last").over(Window.partitionBy(*by or [F.lit(0)]).orderBy("__day"))).select(*by, "__day", "__before")
     inside = Window.partitionBy(*by, "__day").orderBy("start_at")
-    marked = starts.withColumn("__day", day).withColumn("__prev", F.lag(at).over(inside)).join(before, [*by, "__day"])
+    marked = starts.withColumn("__day", day).withColumn("__prev", F.lag(at).over(inside)).join(before.hint("merge"), [*by, "__day"])
     opens = marked.withColumn("__open", F.coalesce(at - F.coalesce("__prev", "__before") > micros, F.lit(True)))
     first = opens.withColumn("__s", F.max(F.when(F.col("__open"), at)).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     # a day that begins inside a session takes it from the days before
     last_open = opens.groupBy(*by, "__day").agg(F.max(F.when(F.col("__open"), at)).alias("__lo"))
     carried = last_open.withColumn("__carry", F.max("__lo").over(Window.partitionBy(*by or [F.lit(0)]).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1))).select(*by, "__day", "__carry")
-    named = first.join(carried, [*by, "__day"]).select(*by, "start_at", F.coalesce("__s", "__carry").alias("session"))
-    return rows.join(named, [*by, "start_at"])
+    named = first.join(carried.hint("merge"), [*by, "__day"]).select(*by, "start_at", F.coalesce("__s", "__carry").alias("session"))
+    return rows.join(named.hint("merge"), [*by, "start_at"])
 
 
 def similar_titles(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -62,11 +65,11 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     both = written(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct(), "edges")
     label = written(nodes.select("id", F.col("id").alias("component")), "label")
     while True:
-        near = both.join(label.select(F.col("id").alias("v"), "component"), "v").groupBy("u").agg(F.min("component").alias("m"))
-        now = label.join(near, F.col("id") == F.col("u"), "left").select("id", F.least("component", F.coalesce("m", "component")).alias("c"), F.col("component").alias("was"))
+        near = both.join(label.select(F.col("id").alias("v"), "component").hint("merge"), "v").groupBy("u").agg(F.min("component").alias("m"))
+        now = label.join(near.hint("merge"), F.col("id") == F.col("u"), "left").select("id", F.least("component", F.coalesce("m", "component")).alias("c"), F.col("component").alias("was"))
         now = written(now, "label")
         up = now.select(F.col("id").alias("c"), F.col("c").alias("top"))
-        jumped = written(now.join(up, "c", "left").select("id", F.coalesce("top", "c").alias("component"), "was"), "label")
+        jumped = written(now.join(up.hint("merge"), "c", "left").select("id", F.coalesce("top", "c").alias("component"), "was"), "label")
         if not jumped.where("component <> was").head(1):
             return jumped.select("id", "component")
         label = jumped.select("id", "component")
@@ -80,11 +83,11 @@ def duplicate_groups(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     pairs = similar_titles(cut, key)
     named = cut.select(*key, "ordinal", titles.title_key(F.col("title")).alias("t"))
     least = named.groupBy(*key, "t").agg(F.min("ordinal").alias("v"))
-    stars = [named.join(least, [*key, "t"]).select(F.col("ordinal").alias("u"), "v")]
+    stars = [named.join(least.hint("merge"), [*key, "t"]).select(F.col("ordinal").alias("u"), "v")]
     for name, value in (("url", text.url_key(F.col("external_url"))), ("venue", F.nullif(text.venue_key(F.col("venue_name")), F.lit("")))):
         own = cut.select(*key, "ordinal", value.alias(name)).where(F.col(name).isNotNull())
-        stars.append(own.join(own.groupBy(*key, name).agg(F.min("ordinal").alias("v")), [*key, name]).select(F.col("ordinal").alias("u"), "v"))
-    alike = pairs.join(least.select(*key, F.col("t").alias("a"), F.col("v").alias("u")), [*key, "a"]).join(least.select(*key, F.col("t").alias("b"), "v"), [*key, "b"]).select("u", "v")
+        stars.append(own.join(own.groupBy(*key, name).agg(F.min("ordinal").alias("v")).hint("merge"), [*key, name]).select(F.col("ordinal").alias("u"), "v"))
+    alike = pairs.join(least.select(*key, F.col("t").alias("a"), F.col("v").alias("u")).hint("merge"), [*key, "a"]).join(least.select(*key, F.col("t").alias("b"), "v").hint("merge"), [*key, "b"]).select("u", "v")
     edges = alike
     for s in stars:
         edges = edges.unionByName(s)
@@ -188,7 +191,7 @@ CHANGED = T.StructType([T.StructField("id", T.LongType()), *INSIDE])
 
 def dedupe(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Canonical rows with ordinal -> one row for each cluster, with the ordinal of its first and the number of its members."""
-    placed = rows.select("ordinal", *CANON.fieldNames()).join(duplicate_groups(rows, by), "ordinal")
+    placed = rows.select("ordinal", *CANON.fieldNames()).join(duplicate_groups(rows, by).hint("merge"), "ordinal")
     kind = to_arrow_schema(FOLDED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,11 +228,11 @@ def match_stored(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     close = F.abs(F.unix_micros("start_at") - F.unix_micros("s_start_at")) <= width * 1_000_000
     # of a venue's rows only distinct titles meet, each pair of titles once over all buckets and venues
     own, other = left.select("bucket", "venue", "title").distinct(), right.select("bucket", "venue", "s_title").distinct()
-    spoken = own.join(other, ["bucket", "venue"]).select("title", "s_title").distinct()
+    spoken = own.join(other.hint("merge"), ["bucket", "venue"]).select("title", "s_title").distinct()
     spoken = written(spoken.withColumn("tokens", similarity.token_set_similarity("title", "s_title")).where(F.col("tokens") >= TOKENS_FROM).select("title", "s_title"), "spoken")
-    by_title = left.join(alike.withColumnRenamed("a", "t"), ["bucket", "t"]).join(right.select("bucket", F.col("t").alias("b"), "id", "s_title", "s_start_at"), ["bucket", "b"])
-    by_url = left.join(right.select("bucket", "url", "id", "s_title", "s_start_at"), ["bucket", "url"])
-    by_venue = left.join(spoken, "title").join(right.select("bucket", "venue", "id", "s_title", "s_start_at"), ["bucket", "venue", "s_title"])
+    by_title = left.join(alike.withColumnRenamed("a", "t").hint("merge"), ["bucket", "t"]).join(right.select("bucket", F.col("t").alias("b"), "id", "s_title", "s_start_at").hint("merge"), ["bucket", "b"])
+    by_url = left.join(right.select("bucket", "url", "id", "s_title", "s_start_at").hint("merge"), ["bucket", "url"])
+    by_venue = left.join(spoken, "title").join(right.select("bucket", "venue", "id", "s_title", "s_start_at").hint("merge"), ["bucket", "venue", "s_title"])
     found = [m.where(close).select("ordinal", "id", "title", "s_title") for m in (by_title, by_url, by_venue)]
     hit = written(found[0].unionByName(found[1]).unionByName(found[2]).distinct(), "hits")
     ratios = hit.select("title", "s_title").distinct().withColumn("best", F.greatest(similarity.title_similarity("title", "s_title"), similarity.token_set_similarity("title", "s_title")))
@@ -264,7 +267,7 @@ def changes(incoming: DataFrame, stored: DataFrame, top: DataFrame | None = None
     pairs = written(match_stored(clean, stored), "matches")
     o = stored.select("id", F.struct(*CANON.fieldNames()).alias("o"))
     n = clean.select("ordinal", F.struct(*CANON.fieldNames()).alias("n"))
-    judged = written(pairs.join(n, "ordinal").join(o, "id").withColumn("news", has_news()), "judged")
+    judged = written(pairs.join(n.hint("merge"), "ordinal").join(o.hint("merge"), "id").withColumn("news", has_news()), "judged")
 
     kind = to_arrow_schema(CHANGED)
 
@@ -284,14 +287,14 @@ def changes(incoming: DataFrame, stored: DataFrame, top: DataFrame | None = None
 
     news = judged.where("news").select("id", "ordinal", F.struct(*_inside("o.")).alias("o"), F.struct(*_inside("n.")).alias("n"))
     changed = _outside(news.repartition("id").sortWithinPartitions("id", "ordinal").mapInArrow(run, CHANGED))
-    fresh = clean.join(pairs, "ordinal", "left_anti")
+    fresh = clean.join(pairs.hint("merge"), "ordinal", "left_anti")
     top = F.broadcast(stored.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("top")) if top is None else top)
     rank = fresh.select("ordinal").repartitionByRange("ordinal").sortWithinPartitions("ordinal").withColumn("part", F.spark_partition_id())
     rank = written(rank.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("ordinal"))), "rank")
     counts = rank.groupBy("part").agg(F.count("*").alias("c"))
     before = counts.select("part", (F.sum("c").over(Window.orderBy("part")) - F.col("c")).alias("b"))
     ids = rank.join(before, "part").crossJoin(top).select("ordinal", (F.col("top") + F.col("b") + F.col("k")).alias("id"))
-    inserted = fresh.join(ids, "ordinal").select("id", *CANON.fieldNames())
+    inserted = fresh.join(ids.hint("merge"), "ordinal").select("id", *CANON.fieldNames())
     actions = judged.select("ordinal", "id", F.when(F.col("news"), "update").otherwise("skip").alias("action")).unionByName(ids.select("ordinal", "id", F.lit("insert").alias("action")))
     return changed, inserted, actions
 
@@ -300,7 +303,7 @@ def upsert(incoming: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame
     """(the new stored table, ordinal -> action and id); see :func:`changes`."""
     changed, inserted, actions = changes(incoming, stored)
     news = actions.where("action = 'update'").select("id").distinct()
-    kept = stored.select("id", *CANON.fieldNames()).join(news, "id", "left_anti")
+    kept = stored.select("id", *CANON.fieldNames()).join(news.hint("merge"), "id", "left_anti")
     return kept.unionByName(changed).unionByName(inserted), actions
 
 

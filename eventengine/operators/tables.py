@@ -207,8 +207,8 @@ class EventTable(VersionLog):
         top = manifest.agg(F.coalesce(F.max("max_id"), F.lit(0)).alias("top"))
         changed, inserted, actions = resolve.changes(incoming, stored, top)
         changed, inserted, actions = written(changed, "changed"), written(inserted, "inserted"), written(actions, "actions")
-        touched = sorted(r["file"] for r in placed.join(changed.select("id"), "id", "left_semi").select("file").distinct().collect()) if near else []
-        kept = self._rows(touched).join(changed.select("id"), "id", "left_anti")
+        touched = sorted(r["file"] for r in placed.join(changed.select("id").hint("merge"), "id", "left_semi").select("file").distinct().collect()) if near else []
+        kept = self._rows(touched).join(changed.select("id").hint("merge"), "id", "left_anti")
         count = {r["action"]: r["n"] for r in resolve.summarize(actions).collect()}
         told = Told(last.version + 1, True, count.get("insert", 0), count.get("update", 0), count.get("skip", 0), incoming.count() - sum(count.values()), len(near), len(touched))
         new = self._write(kept.unionByName(changed).unionByName(inserted))

@@ -43,7 +43,7 @@ def similar(left: DataFrame, right: DataFrame | None, key: list[str]) -> DataFra
     other = own if right is None else right.where("t <> ''").select(*key, "t").distinct()
     both = own.select("t") if right is None else own.select("t").union(other.select("t"))
     rarity = both.distinct().select(F.explode(_bigrams(F.col("t"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-    met = _prefixes(own, rarity, key).withColumnRenamed("t", "a").join(_prefixes(other, rarity, key).withColumnRenamed("t", "b"), [*key, "gram"])
+    met = _prefixes(own, rarity, key).withColumnRenamed("t", "a").join(_prefixes(other, rarity, key).withColumnRenamed("t", "b").hint("merge"), [*key, "gram"])
     bound = F.ceil(F.lit(1 - OVER / 100) * (F.length("a") + F.length("b"))).cast("int")
     near = met.where((F.col("a") < F.col("b")) if right is None else F.lit(True)).where(F.abs(F.length("a") - F.length("b")) < bound).select(*key, "a", "b").distinct()
     # the insert/delete distance is at least the edit distance

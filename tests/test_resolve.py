@@ -301,3 +301,18 @@ def test_a_representative_that_moves_is_found_at_its_new_start():
         held.add(row)
     (r,) = held.rows
     assert r["members"] == 3 and r["ordinal"] == 0 and r["start_at"] == BASE + timedelta(minutes=120)
+
+
+def test_sides_that_grow_are_not_broadcast(spark, monkeypatch):
+    """Numbered rows are few bytes in a file, so that Spark would build a broadcast of a million of them on the driver."""
+    plans, keep = {}, resolve.written
+
+    def seen(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(resolve, "written", seen)
+    rows = frame(spark, [event(k, f"Show {k % 3}", 40 * k) for k in range(12)])
+    resolve.changes(rows, rows.withColumnRenamed("ordinal", "id"))
+    assert {"sessions", "edges", "label", "incoming", "matches"} <= plans.keys()
+    assert not [name for name in ("sessions", "label", "incoming") for plan in plans[name] if "BroadcastHashJoin" in plan]
