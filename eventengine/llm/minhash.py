@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, joined
 from .words import WordHashes, hash_words, mix, ngrams, split_words
 from .work import cut, grown, keyed
 
@@ -176,7 +176,7 @@ def _labelled(docs: DataFrame, threshold: int, bands: int, rows: int, shingle: i
     pairs = active.join(grown(heads), "key").where(F.col("rep") != F.col("a")).where(100 * F.least("n", "an") >= threshold * F.greatest("n", "an"))
     pairs = pairs.select("a", F.col("rep").alias("b")).distinct()
     links = cut(verified(pairs, texts, threshold, shingle), "found")
-    comps = cut(components(links), "components")
+    comps = components(links)
 
     def open_buckets(members: DataFrame) -> DataFrame:
         """Of the members with their components, those in buckets where two are unconnected."""
@@ -211,8 +211,7 @@ def _labelled(docs: DataFrame, threshold: int, bands: int, rows: int, shingle: i
         pairs = members.join(grown(heads.select("key", "c")), "key").where(possible).select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()
         found = cut(verified(pairs, texts, threshold, shingle), "found")
         if not found.isEmpty():
-            links = links.unionByName(found)
-            comps = cut(components(links), "components")
+            comps = joined(comps, found)
         members, centres = open_buckets(members.where("not is_centre").drop("comp", "is_centre")), centres * CENTRES
 
     placed = classes.select("set_key", "rep", "least.doc_id").join(grown(comps.withColumnRenamed("node", "rep")), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))

@@ -36,10 +36,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, joined
 from .minhash import shingle_set, verified
 from .words import WordHashes
-from .work import cut, forget, grown
+from .work import cut, forget, grown, step
 
 SHINGLE = 5
 #: 100 * intersection >= THRESHOLD * union
@@ -144,53 +144,49 @@ def _labelled(docs: DataFrame, threshold: int, shingle: int) -> DataFrame:
 
     spread = classes.select("rep", F.explode("columns").alias("key"))
     # what is counted by column is written before it is joined, so that Spark can split the join of a crowded column
-    shared = cut(spread.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "columns")
-    cells = cut(spread.join(grown(shared), "key"), "cells")
+    shared = step(spread.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "columns")
     whole, classes = classes, cut(classes.drop("columns"), "classes")
+    sizes = classes.select("rep", "n", (F.col("n") - F.col("low")).alias("high"), "least.doc_id", "least.th")
+    of_set = Window.partitionBy("rep").orderBy("key")
+    every = of_set.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    met = F.sum((F.col("key") < LOW).cast("int")).over(every)
+    cells = spread.join(grown(shared), "key").withColumn("met", met).join(grown(sizes.select("rep", "n", "high")), "rep")
+    some = cut(cells.where(100 * (F.col("met") + F.col("high")) >= threshold * F.col("n")).select("key", "rep", "n", "high"), "cells")
     for done in (whole, shared):
         forget(done)
-    able = cells.groupBy("rep").agg(F.sum((F.col("key") < LOW).cast("int")).alias("met"))
-    sizes = classes.select("rep", "n", (F.col("n") - F.col("low")).alias("high"), "least.doc_id", "least.th")
-    able = cut(able.join(grown(sizes), "rep").where(100 * (F.col("met") + F.col("high")) >= threshold * F.col("n")), "able")
-
-    some = cut(cells.join(grown(able.select("rep", "n", "high")), "rep"), "cells")
-    forget(cells)
-    counts = cut(some.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "columns")
-    kept = cut(some.join(grown(counts), "key"), "cells")
+    counts = step(some.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "columns")
+    crowd = F.col("c") > CROWD
+    kept = some.join(grown(counts), "key").withColumn("crowded", F.sum((crowd & (F.col("key") < LOW)).cast("int")).over(every))
+    kept = cut(kept.withColumn("place", F.sum(crowd.cast("int")).over(of_set.rowsBetween(Window.unboundedPreceding, Window.currentRow))), "cells")
     for done in (some, counts):
         forget(done)
-    crowded = kept.where(F.col("c") > CROWD)
-    held = cut(crowded.groupBy("rep").agg(F.sum((F.col("key") < LOW).cast("int")).alias("crowded")), "held")
     # low columns that aren't crowded come first in a set's order, then the crowded ones: few sets need these to meet a partner
     first = F.col("n") - F.ceil(F.col("n") * threshold / F.lit(100)) + 1 - (F.col("n") - F.col("high") - F.col("crowded"))
-    place = F.row_number().over(Window.partitionBy("rep").orderBy("key"))
-    needed = crowded.select("key", "rep", "n", "high").join(grown(held), "rep").withColumn("place", place).where(F.col("place") <= first)
-    needed = cut(needed.select("key", "rep", "n"), "needed")
-    few = kept.where(F.col("c") <= CROWD).select("key", "rep", "n", "high").join(grown(held), "rep", "left").withColumn("crowded", F.coalesce("crowded", F.lit(0)))
+    needed = cut(kept.where(crowd & (F.col("place") <= first)).select("key", "rep", "n"), "needed")
+    few = kept.where(~crowd).select("key", "rep", "n", "high", "crowded")
     candidates = cut(multiplied(few, threshold), "candidates")
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     ends = candidates.select(F.col("a").alias("rep")).unionByName(candidates.select(F.col("b").alias("rep"))).unionByName(needed.select("rep")).distinct()
-    wanted = able.select("rep", "doc_id", "th").join(grown(ends), "rep", "left_semi")
+    wanted = sizes.select("rep", "doc_id", "th").join(grown(ends), "rep", "left_semi")
     # the text of the least document of a class, once where its row is repeated
-    texts = cut(plain.join(grown(wanted), ["doc_id", "th"]).dropDuplicates(["rep"]).select("rep", "text"), "texts")
+    texts = cut(plain.join(grown(wanted), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select("rep", "text"), "texts")
 
     best = candidates.groupBy("b").agg(F.max_by("a", F.struct("overlap", -F.col("a"))).alias("a")).select("a", "b")
-    links = cut(verified(best, texts, threshold, shingle), "links")
-    comps = cut(components(links), "components")
+    links = step(verified(best, texts, threshold, shingle), "links")
+    comps = components(links)
     named = lambda c: comps.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
     apart = candidates.join(grown(named("a")), "a", "left").join(grown(named("b")), "b", "left")
     apart = apart.where(F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).join(grown(best), ["a", "b"], "left_anti").select("a", "b")
-    more = cut(verified(cut(apart, "apart"), texts, threshold, shingle), "links")
+    more = step(verified(step(apart, "apart"), texts, threshold, shingle), "links")
     if not more.isEmpty():
-        links = links.unionByName(more)
-        comps = cut(components(links), "components")
+        comps = joined(comps, more)
 
     def open_columns(members: DataFrame) -> DataFrame:
         """Of the members with their components, those in columns where two are unconnected."""
         known = members.join(grown(comps.withColumnRenamed("node", "rep")), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-        still = cut(known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "open")
-        return cut(known.join(grown(still), "key"), "members")
+        still = step(known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "open")
+        return step(known.join(grown(still), "key"), "members")
 
     members = open_columns(needed)
     if not members.isEmpty():
@@ -199,39 +195,34 @@ def _labelled(docs: DataFrame, threshold: int, shingle: int) -> DataFrame:
         own = members.groupBy("rep").agg(F.first("comp").alias("comp"))
         low = kept.where(F.col("key") < LOW).select("key", "rep").join(grown(own), "rep")
         part = cut(_second_part(texts.join(grown(own), "rep"), shingle).unionByName(low), "part")
-        shared = cut(part.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", F.lit(1).alias("met")), "columns")
+        shared = step(part.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", F.lit(1).alias("met")), "columns")
         again = part.join(grown(shared), "key", "left").groupBy("rep").agg(F.sum(F.coalesce("met", F.lit(0))).alias("met"), F.sum((F.col("key") >= LOW).cast("int")).alias("second"))
-        chosen = able.select("rep", "n", "high", F.col("doc_id").alias("d")).join(grown(again), "rep").where(100 * (F.col("met") + F.col("high") - F.col("second")) >= threshold * F.col("n"))
-        chosen = cut(chosen.select("rep", "d"), "chosen")
+        chosen = sizes.select("rep", "n", "high", F.col("doc_id").alias("d")).join(grown(again), "rep").where(100 * (F.col("met") + F.col("high") - F.col("second")) >= threshold * F.col("n"))
+        chosen = step(chosen.select("rep", "d"), "chosen")
         forget(part)
         odd = _parities(texts.join(grown(chosen), "rep", "left_semi"), shingle)
-        members = open_columns(members.drop("comp").join(grown(cut(chosen.join(grown(odd), "rep"), "parities")), "rep"))
+        members = open_columns(members.drop("comp").join(grown(step(chosen.join(grown(odd), "rep"), "parities")), "rep"))
     centres = 1
     while not members.isEmpty():
         slot = F.pmod(F.xxhash64("rep", F.lit(centres)), F.lit(centres))
-        placed = members.withColumn("slot", slot)
-        heads = cut(placed.groupBy("key", "slot").agg(F.min_by(F.struct("rep", "n", "comp", *PARITY), F.struct("d", "rep")).alias("c")), "centres")
-        first = heads.select("key", "slot", F.col("c.rep").alias("first"))
-        members = cut(placed.join(grown(first), ["key", "slot"]).withColumn("is_centre", F.col("rep") == F.col("first")).drop("slot", "first"), "members")
+        heads = step(members.withColumn("slot", slot).groupBy("key", "slot").agg(F.min_by(F.struct("rep", "n", "comp", *PARITY), F.struct("d", "rep")).alias("c")), "centres")
         possible = (
             (F.col("comp") != F.col("c.comp"))
-            # two centres meet once
-            & (~F.col("is_centre") | (F.col("c.rep") < F.col("rep")))
             & (100 * F.least("n", "c.n") >= threshold * F.greatest("n", "c.n"))
             # an n-gram of one set alone changes the parity of one block, so that the sets differ in so many at least
             & ((100 + threshold) * sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"c.{c}"))) for c in PARITY) <= (100 - threshold) * (F.col("n") + F.col("c.n")))
         )
         pairs = members.join(grown(heads.select("key", "c")), "key").where(possible).select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()
-        more = cut(verified(pairs, texts, threshold, shingle), "links")
+        more = step(verified(pairs, texts, threshold, shingle), "links")
         if not more.isEmpty():
-            links = links.unionByName(more)
-            comps = cut(components(links), "components")
-        members, centres = open_columns(members.where("not is_centre").drop("comp", "is_centre")), centres * CENTRES
+            comps = joined(comps, more)
+        done = heads.select("key", F.col("c.rep").alias("rep"))
+        members, centres = open_columns(members.drop("comp").join(grown(done), ["key", "rep"], "left_anti")), centres * CENTRES
 
     placed = classes.select("set_key", "rep", "least.doc_id").join(grown(comps.withColumnRenamed("node", "rep")), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    placed = cut(placed.select("set_key", "comp", "doc_id"), "placed")
+    placed = step(placed.select("set_key", "comp", "doc_id"), "placed")
     least = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    label = cut(placed.join(grown(least), "comp").select("set_key", "component_id"), "labels")
+    label = step(placed.join(grown(least), "comp").select("set_key", "component_id"), "labels")
     found = labelled.join(grown(label), "set_key", "left")
     return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Tasks a core that write the table of a step.
+WAVES = 8
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,6 +35,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def step(df: DataFrame, name: str) -> DataFrame:
+    """cut() for the tables of iterative steps, written by at most ``WAVES`` tasks a core: a file for each shuffle partition
+    would cost more than their rows."""
+    return cut(df.coalesce(WAVES * df.sparkSession.sparkContext.defaultParallelism), name)
+
+
 def grown(df: DataFrame) -> DataFrame:
     """A join side that grows with the input: merged, never broadcast, so that plans are the same at every size."""
     return df.hint("merge")

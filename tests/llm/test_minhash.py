@@ -139,3 +139,36 @@ def test_components(spark, links):
             parent[max(a, b)] = min(a, b)
     rows = components(spark.createDataFrame(links, "u long, v long")).collect()
     assert sorted(map(tuple, rows)) == sorted((x, top(x)) for x in list(parent))
+
+
+def test_components_take_few_tasks(spark):
+    """A hot node, a chain and a lattice over 64 partitions that stay as many: no more tasks than a few shuffles have."""
+    links = [(2_000 - i % 7, i) for i in range(1_900)] + [(i + 1, i) for i in range(3_000, 3_200)] + [(4_000 + (i * 37) % 211, 4_000 + i) for i in range(211)]
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    sc, group = spark.sparkContext, "components-tasks"
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup(group, group)
+        rows = components(spark.createDataFrame(links, "u long, v long").repartition(16)).collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    parent = {x: x for e in links for x in e}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for u, v in links:
+        a, b = top(u), top(v)
+        parent[max(a, b)] = min(a, b)
+    linked = {x for u, v in links if u != v for x in (u, v)}
+    assert sorted(map(tuple, rows)) == sorted((x, top(x)) for x in linked)
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    tasks = sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s)))
+    assert tasks < 1_200, tasks
