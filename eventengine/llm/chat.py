@@ -20,21 +20,30 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .bpe import encode_text, encoding
 from .work import cut
 
 TREE_TOKENS = 1 << 15
+#: Leaves that a task's Python takes out of an Arrow batch at a time.
+LEAVES = 64
+#: Parquet options of tables of conversations and trees. A reader takes 4,096 rows of a row group at once, and a tree is a
+#: row of a quarter of a megabyte: row groups of 8 MiB, looked at every few rows, bound what a task holds.
+GROUPS = {"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 4}
 LEARNED = "assistant"
 END = "<|end|>\n"
 _TURN = re.compile(r"<\|([^|]*)\|>\n(.*?)<\|end\|>\n", re.DOTALL)
 _ESCAPED = re.compile("%3C|%7C|%0A|%25")
 NODE = "struct<parent:int,start:int,end:int,loss_start:int,loss_end:int,attends:array<struct<start:int,end:int>>>"
 TREE = f"tree_id long, ids array<int>, positions array<int>, nodes array<{NODE}>, leaves array<struct<leaf:string,node:int>>"
+BACK = "leaf string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
 def escape(text: str) -> str:
@@ -105,56 +114,78 @@ def build_trees(leaves: DataFrame, ranks_path: str, pattern: str, tree_tokens: i
     path = F.transform("turns", lambda x: F.xxhash64(x["role"], x["text"]))
     ordered = leaves.select("leaf", "turns", path.alias("path")).repartitionByRange("path", "leaf").sortWithinPartitions("path", "leaf")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = to_arrow_schema(T.StructType.fromDDL(TREE))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, pat = encoding(ranks_path, pattern), regex.compile(pattern)
         ids_of = lambda text: encode_text(text, enc, pat)
         tree, number, part = Tree(ids_of), 0, 0
 
-        def out() -> pd.DataFrame:
-            return pd.DataFrame({"tree_id": [(part << 32) + number], "ids": [tree.ids], "positions": [tree.positions], "nodes": [tree.nodes], "leaves": [tree.leaves]})
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{"tree_id": (part << 32) + number, "ids": tree.ids, "positions": tree.positions, "nodes": tree.nodes, "leaves": tree.leaves}], kind)
 
-        for pdf in batches:
-            for leaf, turns, p in zip(pdf["leaf"], pdf["turns"], pdf["part"], strict=True):
-                part = int(p)
-                if len(tree.ids) > tree_tokens:
-                    yield out()
-                    tree, number = Tree(ids_of), number + 1
-                tree.add(leaf, [(t["role"], t["text"]) for t in turns])
+        for row in _rows(batches, LEAVES):
+            part = row["part"]
+            if len(tree.ids) > tree_tokens:
+                yield out()
+                tree, number = Tree(ids_of), number + 1
+            tree.add(row["leaf"], [(t["role"], t["text"]) for t in row["turns"]])
         if tree.leaves:
             yield out()
 
-    return ordered.select("leaf", "turns", F.spark_partition_id().alias("part")).mapInPandas(run, TREE)
+    return ordered.select("leaf", "turns", F.spark_partition_id().alias("part")).mapInArrow(run, TREE)
+
+
+def _rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[dict]:
+    """The rows of the batches, of which ``size`` are Python objects at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, size):
+            yield from batch.slice(k, size).to_pylist()
+
+
+def _within(lists: pa.ListArray, k: int) -> slice:
+    return slice(lists.offsets[k].as_py(), lists.offsets[k + 1].as_py())
+
+
+def digest_batches(batches: Iterator[pa.RecordBatch], kind: pa.Schema, ranks_path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    """Batches of (ids, nodes, leaves) -> a batch of digests for each tree; one tree at a time is Python objects."""
+    enc = encoding(ranks_path, pattern)
+    numbers = lambda rows, *names: [rows.field(n).to_numpy() for n in names]
+    for batch in batches:
+        all_ids, all_nodes, all_leaves = batch.columns
+        spans_of = all_nodes.values.field("attends")
+        tokens, (above_start, above_end) = all_ids.values.to_numpy(), numbers(spans_of.values, "start", "end")
+        columns = numbers(all_nodes.values, "parent", "start", "end", "loss_start", "loss_end")
+        for k in range(batch.num_rows):
+            ids, own = tokens[_within(all_ids, k)].tolist(), _within(all_nodes, k)
+            parent, start, end, loss_start, loss_end = (c[own].tolist() for c in columns)
+            text_of = lambda a, b: enc.decode_bytes(ids[a:b]).decode("utf-8")  # noqa: B023, E731
+            rows = []
+            for leaf in all_leaves.values[_within(all_leaves, k)].to_pylist():
+                at = leaf["node"]
+                above = _within(spans_of, own.start + at)
+                spans = [*zip(above_start[above].tolist(), above_end[above].tolist(), strict=True), (start[at], end[at])]
+                formatted = "".join(text_of(a, b) for a, b in spans)
+                losses = []
+                while at >= 0:
+                    if loss_start[at] >= 0:
+                        losses.append(unescape(text_of(loss_start[at], loss_end[at])))
+                    at = parent[at]
+                loss = "".join(reversed(losses))
+                turns = read_turns(formatted)
+                said = "".join(f"{r}\n{t}\n" for r, t in turns)
+                rows.append((leaf["leaf"], len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
 
 
 def read_back(trees: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """trees -> leaf, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read from the tokens alone."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoding(ranks_path, pattern)
-        for pdf in batches:
-            for ids, nodes, leaves in zip(pdf["ids"], pdf["nodes"], pdf["leaves"], strict=True):
-                ids, rows = ids.tolist(), []
-                text_of = lambda a, b: enc.decode_bytes(ids[a:b]).decode("utf-8")  # noqa: B023, E731
-                for leaf in leaves:
-                    node = nodes[leaf["node"]]
-                    spans = [*((x["start"], x["end"]) for x in node["attends"]), (node["start"], node["end"])]
-                    formatted = "".join(text_of(a, b) for a, b in spans)
-                    losses, at = [], leaf["node"]
-                    while at >= 0:
-                        if nodes[at]["loss_start"] >= 0:
-                            losses.append(unescape(text_of(nodes[at]["loss_start"], nodes[at]["loss_end"])))
-                        at = nodes[at]["parent"]
-                    loss = "".join(reversed(losses))
-                    turns = read_turns(formatted)
-                    said = "".join(f"{r}\n{t}\n" for r, t in turns)
-                    rows.append((leaf["leaf"], len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted)))
-                yield pd.DataFrame(rows, columns=["leaf", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-
-    return trees.mapInPandas(run, "leaf string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    kind = to_arrow_schema(T.StructType.fromDDL(BACK))
+    return trees.select("ids", "nodes", "leaves").mapInArrow(lambda batches: digest_batches(batches, kind, ranks_path, pattern), BACK)
 
 
 def format_chats(rows: DataFrame, ranks_path: str, pattern: str, tree_tokens: int = TREE_TOKENS) -> tuple[DataFrame, DataFrame]:
     """conversations by turn -> (trees; conv_id, leaf of each conversation)."""
-    whole = cut(conversations_of(rows), "conversations")
+    whole = cut(conversations_of(rows), "conversations", **GROUPS)
     leaves = whole.groupBy("leaf").agg(F.first("turns").alias("turns"))
-    return build_trees(cut(leaves, "leaves"), ranks_path, pattern, tree_tokens), whole.select("conv_id", "leaf")
+    return build_trees(cut(leaves, "leaves", **GROUPS), ranks_path, pattern, tree_tokens), whole.select("conv_id", "leaf")

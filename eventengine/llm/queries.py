@@ -60,7 +60,7 @@ def op9_prefix_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(SAID).alias("text"))
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     trees, convs = chat.format_chats(rows.unionByName(more), ranks, pattern)
-    digests = cut(chat.read_back(cut(trees, "trees"), ranks, pattern), "digests")
+    digests = cut(chat.read_back(cut(trees, "trees", **chat.GROUPS), ranks, pattern), "digests")
     return convs.join(digests, "leaf").drop("leaf")
 
 

@@ -28,10 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the plan ends there, and a lost executor costs a reread only."""
+def cut(df: DataFrame, name: str, **options: int) -> DataFrame:
+    """Write df to the shared folder and read it back: the plan ends there, and a lost executor costs a reread only.
+    ``options`` are the Parquet writer's."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,14 +1,21 @@
+import glob
 import hashlib
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+import regex
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from eventengine.llm import bpe, chat, classifier, hnsw, quality_rules, sharding
 from eventengine.llm.queries import ORACLE_SQL, QUERIES, op2_virtual_slot_sharding, op3_quality_classifier, op7_sharded_hnsw
+from eventengine.llm.work import shared_dir
 from helpers import duck, rows
 
 
@@ -361,6 +368,32 @@ def test_read_back_whatever_the_size_of_trees(spark, tree_tokens):
         assert got[c]["loss_sha256"] == hashlib.sha256("".join(x for r, x in turns if r == "assistant").encode()).hexdigest()
 
 
+def test_a_task_holds_few_trees(spark):
+    ids = bpe.encode_text(f"<|user|>\nhi{chat.END}", bpe.encoding(RANKS, PATTERN), regex.compile(PATTERN))
+    node, kind = {"parent": -1, "start": 0, "end": len(ids), "loss_start": -1, "loss_end": -1, "attends": []}, to_arrow_schema(T.StructType.fromDDL(chat.TREE))
+    batch = pa.RecordBatch.from_pylist([{"tree_id": k, "ids": ids, "positions": list(range(len(ids))), "nodes": [node], "leaves": [{"leaf": str(k), "node": 0}]} for k in range(100)], kind)
+    got = list(chat.digest_batches(iter([batch.select(["ids", "nodes", "leaves"])]), to_arrow_schema(T.StructType.fromDDL(chat.BACK)), RANKS, PATTERN))
+    assert [b.num_rows for b in got] == [1] * 100 and [b.column("leaf")[0].as_py() for b in got] == [str(k) for k in range(100)]
+    assert {b.column("turns_sha256")[0].as_py() for b in got} == {hashlib.sha256(b"user\nhi\n").hexdigest()}
+
+
+def test_trees_are_stored_in_small_row_groups(spark, tmp_path):
+    """Spark reads up to 4,096 rows of a row group at once; 300 trees of 32,768 tokens in one group would be 80 MB of it."""
+    words = np.random.default_rng(0).integers(100, 999, (300, 22_000)).astype(str)
+    spark.createDataFrame([(k, 0, "user", " ".join(w)) for k, w in enumerate(words)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    before = set(glob.glob(f"{shared_dir(spark)}/trees-*"))
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    try:
+        got = QUERIES["op9_prefix_tree_chat"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert {r["conv_id"]: r["turns_sha256"] for r in got if r["conv_id"] >= 0} == {k: hashlib.sha256(f"user\n{' '.join(w)}\n".encode()).hexdigest() for k, w in enumerate(words)}
+    (made,) = set(glob.glob(f"{shared_dir(spark)}/trees-*")) - before
+    (file,) = glob.glob(f"{made}/*.parquet")
+    groups = [pq.ParquetFile(file).metadata.row_group(k) for k in range(pq.ParquetFile(file).metadata.num_row_groups)]
+    assert sum(g.num_rows for g in groups) >= 300 and max(g.total_byte_size for g in groups) < 16 << 20
+
+
 @pytest.mark.parametrize("text", ["", "%", "<|end|>\n", "%3C|x", "<|user|>\nhi<|end|>", "a<", "<|", "é%25", "[INST] </s>", "\n\n"])
 def test_escapes_are_reversible(text):
     assert chat.unescape(chat.escape(text)) == text
