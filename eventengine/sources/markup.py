@@ -234,11 +234,11 @@ def anchor_contexts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "body").mapInArrow(lambda batches: link_batches(batches, arrow), kind)
 
 
-def anchors(docs: DataFrame, stop_words: list[str], least: int = 5, cap: int = 50) -> DataFrame:
-    """Links with a label that is no navigation, and fields of the text around them."""
+def anchors(docs: DataFrame, stop_words: list[str], least: int = 5) -> DataFrame:
+    """All links with a label that is no navigation, the first of each URL in a document, and fields of the text around them."""
     out = anchor_contexts(docs).select("doc_id", "pos", "url", text.strip_tags(F.col("label")).alias("title"), text.strip_tags(F.col("context")).alias("context"))
     out = out.where((F.length("title") >= least) & ~F.lower("title").isin([s.lower() for s in stop_words]))
-    return capped(first_seen(context_fields(out), "url"), cap)
+    return first_seen(context_fields(out), "url")
 
 
 def context_fields(rows: DataFrame) -> DataFrame:

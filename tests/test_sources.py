@@ -2,6 +2,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from eventengine.plans.queries import QUERIES
 from eventengine.sources import documents, markup, payloads
 from eventengine.sources.registry import SourceRegistry
 
@@ -145,6 +146,14 @@ def test_links_of_many_pages_go_a_few_at_a_time():
     assert got[7]["context"] == page[at - 200 : page.index("</a>", at) + 304]
 
 
+def test_page_anchors_has_every_link_of_a_page(spark, tmp_path):
+    links = [f'<a href="/e/{k}">Show number {k}</a>' for k in range(300)]
+    pages = {1: links + links[::-1] + ['<a href="/home">Home</a>', '<a href="/s">Show</a>'], 2: links[:50], 3: ["no link"], 4: []}
+    spark.createDataFrame([(k, "u", " ".join(x)) for k, x in pages.items()], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((r["doc_id"], r["pos"], r["url"], r["title"]) for r in QUERIES["page_anchors"](spark, str(tmp_path)).collect())
+    assert got == [(d, k, f"/e/{k}", f"Show number {k}") for d, n in ((1, 300), (2, 50)) for k in range(n)]
+
+
 def test_visible_lines_unescapes_lines_not_pages(spark):
     import html
 
